@@ -66,7 +66,7 @@ class Writer:
     def __init__(self, path: str, dtype: str, bits: bool):
         self.fs, self.path = pafs.FileSystem.from_uri(path)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         self.out.write(MAGIC)
         self.dtype, self.bits, self.at = dtype, bits, len(MAGIC)
         self.held, self.n_held, self.blocks, self.docs = [], 0, [], []

@@ -78,7 +78,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_DEDUP) -> DataF
             for i in range(batch.num_rows):
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = squeeze.compress(record(*(c[i].as_py() for c in columns))) + squeeze.flush()
                 out.write(member)
