@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import mixing, sharding, token_files, warc
+from spanframe.llm import html_text, mixing, quality, sharding, token_counts, token_files, warc
 from spanframe.llm.common import materialize, scratch, word_count
 
 
@@ -26,6 +26,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "size").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, sf_dir, "documents").select(
@@ -47,6 +60,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_html_text": op4_html_text,
     "op7_interleave_shards": op7_interleave_shards,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
