@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import html_text, mixing, quality, sharding, token_counts, token_files, warc
+from spanframe.llm import decontam, html_text, mixing, quality, sharding, token_counts, token_files, warc
 from spanframe.llm.common import materialize, scratch, word_count
 
 
@@ -48,6 +48,10 @@ def op7_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(spark, _table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_html_text": op4_html_text,
     "op7_interleave_shards": op7_interleave_shards,
+    "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
 }
