@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, token_counts, token_files, warc
+from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, substring, token_counts, token_files, warc
 from spanframe.llm.common import materialize, scratch, word_count
 
 
@@ -43,6 +43,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, sf_dir, "documents").select(
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_html_text": op4_html_text,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_interleave_shards": op7_interleave_shards,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
