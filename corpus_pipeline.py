@@ -1,11 +1,65 @@
-"""The corpus pipeline: STAGES in order, each a function of (spark, docs, sf_dir)."""
+"""The corpus pipeline: quality rules, near-duplicate removal, benchmark
+decontamination, source mixing and token files, each over the whole corpus.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir). All but the last return the
+columns of ``documents``; the driver of a stage may write its result and read it
+again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanframe.llm import decontam, jaccard, mixing, quality, token_files
+from spanframe.llm.common import materialize, word_count
+from spanframe.llm.queries import tokenizer_path
+
+#: Near-duplicates: word shingles of this length, at least this similar (%).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the log-likelihood ratio accept."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, labels)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, that with the smallest id."""
+    return jaccard.drop_similar(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of the sources take it."""
+    return mixing.emit(docs.withColumn("_size", word_count(F.col("text"))), size="_size").select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.token_output(spark, docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID output", token_output),
+]
+
+#: Hashed n-grams, similarity components and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import group_key, hex_number, ranked
+from spanframe.llm.common import group_key, hex_number, join_sized, materialize, ranked
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source is taken more than this many times over.
 MAX_REPEAT = 3
+#: Up to this many sources their targets are broadcast, else joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, source: str, size: str, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -64,7 +66,7 @@ def mix(docs: DataFrame, size: str, *, key: str = "doc_id", source: str = "sourc
     t = t.withColumn("_source", group_key(source)).withColumn("_hash", hashed)
     t = t.withColumn("_cell", klass.cast("long") * 256 + hex_number(F.col("_hash"), 1, 2))
     t = ranked(t, ["_source"], "_cell", [size, "_hash", key], "_rank")
-    t = t.join(shares, "_source")
+    t = join_sized(t, materialize(shares, "shares"), ["_source"], "inner", BROADCAST_SOURCES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = hex_number(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_source"))), 1, 8) / F.lit(4294967296.0)
     passed = lambda rank: F.floor(offset + rate * rank)

@@ -112,3 +112,13 @@ def judge(docs: DataFrame, ratios: list[float], *, text: str = "text", threshold
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit on ``docs`` and ``labels`` and judge every document of ``docs``."""
     return judge(docs, fit_ratios(docs, labels), **options)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The row number keeps the optimizer from moving the filter below the columns
+    that it is made of, which would compute each of them again for every use.
+    """
+    judged = quality(docs, labels, **options).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
