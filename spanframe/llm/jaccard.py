@@ -30,8 +30,12 @@ COUNTER_BITS = 20
 STAND_OUT = 5.0
 #: Classes of frequent tokens.
 CLASSES = 64
-#: Cells of the sketch that bounds an overlap from above.
-CELLS = 64
+#: A sketch counts tokens by hash cell, in at least this many cells of about
+#: CELL_LOAD tokens; it bounds an overlap from above.
+CELLS, CELL_LOAD = 64, 8
+#: Lists that a set must share with their first set to be compared with it ahead
+#: of the rest, from this size on; the comparison of whole lists needs none.
+SHARED_LISTS, SHARED_FROM = 2, 20
 #: Members of a list that are compared as one block.
 BLOCK = 4096
 #: Members that one copy of a text is compared with.
@@ -99,7 +103,18 @@ def keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    return np.bincount(((tokens >> np.uint64(32)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).clip(max=65535).astype("<u2").tobytes()
+    """Tokens by the low bits of their hashes, a byte a cell; a power of two of
+    cells, so that a longer sketch folds onto a shorter one."""
+    cells = CELLS
+    while cells * CELL_LOAD < len(tokens):
+        cells *= 2
+    while (counts := np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).max() > 255:
+        cells *= 2
+    return counts.astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[np.ndarray], cells: int) -> np.ndarray:
+    return np.array([s.reshape(-1, cells).sum(axis=0, dtype=np.int32) for s in sketches])
 
 
 def linked(common, total, percent: int):
@@ -227,17 +242,22 @@ def near_in_lists(members: DataFrame, percent: int) -> DataFrame:
         if len(rows) < 2:
             return
         ids, comps, sizes, blocks = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
-        cells = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u2").reshape(len(rows), CELLS).astype(np.int32)
+        sketches = [np.frombuffer(r[4], dtype=np.uint8) for r in rows]
+        lengths = np.array([len(x) for x in sketches])
+        tables = {int(c): folded([x for x in sketches if len(x) >= c], int(c)) for c in np.unique(lengths)}
+        rank = {c: np.cumsum(lengths >= c) - 1 for c in tables}
         one_block = blocks.min() == blocks.max()
         for i in range(len(rows) - 1):
             last = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
             j = np.arange(i + 1, last)
             j = j[(comps[j] != comps[i]) & (one_block | (blocks[j] != blocks[i]))]
-            if len(j):
-                j = j[linked(np.minimum(cells[i], cells[j]).sum(axis=1), sizes[i] + sizes[j], percent)]
-            if len(j):
-                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for cells in np.unique(np.minimum(lengths[i], lengths[j])).tolist():
+                some = j[np.minimum(lengths[i], lengths[j]) == cells]
+                table, at = tables[cells], rank[cells]
+                some = some[linked(np.minimum(table[at[i]], table[at[some]]).sum(axis=1), sizes[i] + sizes[some], percent)]
+                if len(some):
+                    a, b = np.minimum(ids[i], ids[some]), np.maximum(ids[i], ids[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     # a list of over BLOCK members is compared by pairs of blocks, each in its own task
     by_key = Window.partitionBy("key")
@@ -257,7 +277,8 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     the smallest doc_id reachable.
 
     1. Equal sets collapse into one, named by their smallest doc_id.
-    2. In every list of sets that share a key, all are compared with the first.
+    2. In every list of sets that share a key, those that share more such lists
+       with its first set are compared with that.
     3. Lists that still span several components have their members of different
        components compared, behind a size and sketch bound; nothing is capped.
 
@@ -280,7 +301,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     lists = lists.withColumn("_first", F.min(F.struct("id", "n")).over(in_list)).withColumn("_last", F.max("id").over(in_list))
     lists = materialize(lists.where("_first.id < _last").select("key", "id", "n", F.col("_first.id").alias("a"), F.col("_first.n").alias("_an")), "lists")
     sized = lists.where((F.least("n", "_an") * 100 >= F.greatest("n", "_an") * percent) & (F.col("a") < F.col("id")))
-    links = materialize(verify(materialize(sized.select("a", F.col("id").alias("b")).distinct(), "pairs"), docs, words, percent).union(several), "links")
+    ahead = sized.groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("_n"), F.max("n").alias("_size"))
+    ahead = materialize(ahead.where((F.col("_n") >= SHARED_LISTS) | (F.col("_size") < SHARED_FROM)).select("a", "b"), "pairs")
+    links = materialize(verify(ahead, docs, words, percent).union(several), "links")
     comps = connected_components(links)
 
     spread = lists.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))

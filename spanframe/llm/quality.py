@@ -19,6 +19,8 @@ BUCKETS = 1 << 16
 TRUSTED_MAX = 20_000
 #: Added to every bucket's count.
 SMOOTHING = 1.0
+#: Buckets with fewer n-grams in the corpus say nothing: their ratio is 0.
+MIN_COUNT = 25
 #: A document is kept from this mean log-likelihood ratio per n-gram on.
 THRESHOLD = -0.2
 #: Base rules: fewer words, or a larger share (%) of words in repeated windows, fail.
@@ -58,7 +60,7 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: s
     if not sum(trusted_n):
         return [0.0] * BUCKETS
     log_p = lambda counts: [math.log((c + SMOOTHING) / (sum_ + SMOOTHING * BUCKETS)) for sum_ in [sum(counts)] for c in counts]
-    return [round(a - b, 6) for a, b in zip(log_p(trusted_n), log_p(raw))]
+    return [round(a - b, 6) if n >= MIN_COUNT else 0.0 for a, b, n in zip(log_p(trusted_n), log_p(raw), raw)]
 
 
 def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ and plane lengths, so any id range is read without its predecessors.
 from __future__ import annotations
 
 import io
+import json
 import uuid
 import zlib
 from functools import lru_cache
@@ -142,25 +143,58 @@ def _tokenizer(path: str):
     return t, "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-class WordIds(dict):
-    """Word (bytes) -> its ids (bytes), asked of the tokenizers library once.
+#: The pre-tokenizer pattern under which letters, digits and other signs part (fixed value).
+_PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class WordIds:
+    """Ids of texts, by a memory of their words' ids.
 
     This tokenizer drops white space and no rule of it reaches across white
-    space, so a text's ids are its words' ids in order.
+    space, so a text's ids are its words' ids in order. Each word's come from
+    the tokenizers library. Where the tokenizer folds case, words are remembered
+    with A-Z folded, and where its pattern parts letters from a final stop or
+    comma, such a word is looked up without it. The first MEMO words stay, later
+    ones share a second memory that is emptied when full.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.dtype = _tokenizer(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        self[word] = ids
-        return ids
+        rules = json.loads(self.tokenizer.to_str())
+        self.folds = '"Lowercase"' in json.dumps(rules["normalizer"])
+        self.parts = json.dumps(_PARTING) in json.dumps(rules["pre_tokenizer"])
+        self.specials = [t["content"].lower().encode() for t in rules["added_tokens"]]
+        self.first, self.later = {}, {}
+
+    def _encode(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        found = self.first.get(word) or self.later.get(word)
+        if found is None:
+            stem = word[:-1]
+            if self.parts and word[-1:] in (b".", b",") and stem and stem.decode("utf-8", "replace").isalpha():
+                found = self._word(stem) + self._word(word[-1:])
+            else:
+                found = self._encode(word)
+            if len(self.first) < MEMO:
+                self.first[word] = found
+            else:
+                if len(self.later) >= MEMO:
+                    self.later.clear()
+                self.later[word] = found
+        return found
 
     def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        text = text or b""
+        low = text.lower()
+        if any(s in low for s in self.specials):  # their spelling matters
+            return b"".join(map(self._encode, text.split()))
+        words = (low if self.folds else text).split()
+        ids = list(map(self.first.get, words))
+        if None in ids:
+            ids = [self._word(w) if x is None else x for x, w in zip(ids, words)]
+        return b"".join(ids)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, bits: bool = False, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
