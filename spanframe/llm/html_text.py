@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanframe.llm.common import in_slices
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*+)>|(?P<text>[^<]+|<)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*+)>|(?P<text>[^<]+|<(?!/?[a-zA-Z]))""", re.S
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -30,8 +30,8 @@ CLOSES = (
     | {"li": (("li", "p"), ("ul", "ol", "menu", "dir"))}
     | {tag: (("dt", "dd", "p"), ("dl",)) for tag in ("dt", "dd")}
     | {tag: (("td", "th"), ("table",)) for tag in ("td", "th")}
-    | {"tr": (("tr",), ("table",))}
-    | {tag: (("thead", "tbody", "tfoot", "caption"), ("table",)) for tag in ("thead", "tbody", "tfoot")}
+    | {"tr": (("tr", "td", "th"), ("table",))}
+    | {tag: (("thead", "tbody", "tfoot", "caption", "tr", "td", "th"), ("table",)) for tag in ("thead", "tbody", "tfoot")}
     | {"option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",))}
 )
 #: An end tag does not reach past these.
@@ -83,8 +83,6 @@ def build_tree(source: str) -> Element:
                 continue
             if tag in CLOSES:
                 _close(stack, *CLOSES[tag])
-                if tag in ("tr", "thead", "tbody", "tfoot"):
-                    _close(stack, ("tr",), ("table",))
             element = Element(tag, _attributes(m["rest"]))
             stack[-1].children.append(element)
             if tag in RAW:

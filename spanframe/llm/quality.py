@@ -17,10 +17,9 @@ BUCKETS = 1 << 16
 #: The trusted target is fitted on at most this many labelled documents, those
 #: with the smallest hashes of their ids; the raw side counts all documents.
 TRUSTED_MAX = 20_000
-#: Added to every bucket's count.
-SMOOTHING = 1.0
-#: Buckets with fewer n-grams in the corpus say nothing: their ratio is 0.
-MIN_COUNT = 25
+#: Strength of the prior that a bucket is as likely in trusted text as in raw text:
+#: so many n-grams are added to its expected and its observed count.
+PRIOR = 2.0
 #: A document is kept from this mean log-likelihood ratio per n-gram on.
 THRESHOLD = -0.2
 #: Base rules: fewer words, or a larger share (%) of words in repeated windows, fail.
@@ -47,7 +46,9 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: s
     """log p(bucket | trusted) - log p(bucket | raw) for each bucket.
 
     Raw counts cover all documents. Trusted documents are those labelled
-    quality 1 and not toxic. Without any, all ratios are 0.
+    quality 1 and not toxic. Without any, all ratios are 0. The trusted
+    multinomial is shrunk towards the raw one by PRIOR, so that buckets too rare
+    to be expected in the trusted sample say little, however small that is.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").where(F.col(key).isNotNull()).select(key).distinct()
     trusted = good.orderBy(F.xxhash64(key), key).limit(trusted_max).withColumn("_trusted", F.lit(1))
@@ -57,10 +58,12 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: s
     raw, trusted_n = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
         raw[row.bucket], trusted_n[row.bucket] = row.raw, row.trusted
-    if not sum(trusted_n):
+    if not (n_trusted := sum(trusted_n)):
         return [0.0] * BUCKETS
-    log_p = lambda counts: [math.log((c + SMOOTHING) / (sum_ + SMOOTHING * BUCKETS)) for sum_ in [sum(counts)] for c in counts]
-    return [round(a - b, 6) if n >= MIN_COUNT else 0.0 for a, b, n in zip(log_p(trusted_n), log_p(raw), raw)]
+    expected = [n_trusted * n / sum_ for sum_ in [sum(raw)] for n in raw]
+    shrunk = [(c + PRIOR) / (e + PRIOR) for c, e in zip(trusted_n, expected)]  # p(trusted) / p(raw), up to the total
+    total = sum(e * x for e, x in zip(expected, shrunk)) / n_trusted
+    return [round(math.log(x / total), 6) if n else 0.0 for x, n in zip(shrunk, raw)]
 
 
 def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
