@@ -40,6 +40,9 @@ SHARED_LISTS, SHARED_FROM = 2, 20
 BLOCK = 4096
 #: Members that one copy of a text is compared with.
 GROUP = 512
+#: Rounds in which every set tries its most promising partner only, before all
+#: pairs that still lie between components are compared.
+BEST_ROUNDS = 3
 #: Pairs up to this many are broadcast to fetch their texts, else joined by shuffle.
 BROADCAST_PAIRS = 400_000
 
@@ -225,8 +228,9 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 def near_in_lists(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) in one list (key, block) and in different components whose
-    sizes and sketches leave the similarity possible. Compares block by block in
-    arrays; only pairs that pass become rows."""
+    sizes and sketches leave the similarity possible, with the ``bound`` that the
+    sketches set (parts per million). Compares block by block in arrays; only
+    pairs that pass become rows."""
 
     def run(batches):
         key, rows = None, []
@@ -254,10 +258,12 @@ def near_in_lists(members: DataFrame, percent: int) -> DataFrame:
             for cells in np.unique(np.minimum(lengths[i], lengths[j])).tolist():
                 some = j[np.minimum(lengths[i], lengths[j]) == cells]
                 table, at = tables[cells], rank[cells]
-                some = some[linked(np.minimum(table[at[i]], table[at[some]]).sum(axis=1), sizes[i] + sizes[some], percent)]
-                if len(some):
+                common, total = np.minimum(table[at[i]], table[at[some]]).sum(axis=1), sizes[i] + sizes[some]
+                passed = linked(common, total, percent)
+                if passed.any():
+                    some, common, total = some[passed], common[passed].astype(np.int64), total[passed]
                     a, b = np.minimum(ids[i], ids[some]), np.maximum(ids[i], ids[some])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(common * 1_000_000 // (total - common))], ["a", "b", "bound"])
 
     # a list of over BLOCK members is compared by pairs of blocks, each in its own task
     by_key = Window.partitionBy("key")
@@ -265,7 +271,21 @@ def near_in_lists(members: DataFrame, percent: int) -> DataFrame:
     t = t.withColumn("block", F.expr(f"_at div {BLOCK}")).withColumn("_other", F.explode(F.expr(f"sequence(0L, (_n - 1) div {BLOCK})")))
     t = t.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "id", "comp", "n", "block", "sketch")
     lined = t.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "id")
-    return lined.mapInArrow(run, "a long, b long").distinct()
+    return lined.mapInArrow(run, "a long, b long, bound long").groupBy("a", "b").agg(F.max("bound").alias("bound"))
+
+
+def between_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Those of the pairs whose ends lie in different components."""
+    of = lambda end: comps.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
+    t = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return t.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "bound")
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """For every end of a pair the pair with the highest bound: (a, b)."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("_e"), "bound")
+    best = ends.groupBy("_e.x").agg(F.max(F.struct("bound", (-F.col("_e.y")).alias("y"))).alias("_m")).select("x", (-F.col("_m.y")).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -280,7 +300,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     2. In every list of sets that share a key, those that share more such lists
        with its first set are compared with that.
     3. Lists that still span several components have their members of different
-       components compared, behind a size and sketch bound; nothing is capped.
+       components compared, behind a size and sketch bound: first each set with
+       its most promising partner, then all pairs that still lie between
+       components. A pair inside one component changes nothing; no pair between
+       components is left out.
 
     Nulls and empty texts have no shingles and link with nothing; a null doc_id
     links with nothing and has a null component. Rows that repeat a doc_id are
@@ -313,8 +336,15 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     same = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_a"), F.max("id").alias("_b"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y"))
     chosen = same.groupBy("_n", "_a", "_b", "_x", "_y").agg(F.min("key").alias("key")).select("key")
     members = spread.join(chosen, "key", "left_semi").join(ones.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "id")
-    more = materialize(near_in_lists(members.select("key", "id", "comp", "n", "sketch"), percent), "pairs")
-    links = links.union(materialize(verify(more, docs, words, percent), "links"))
+    pairs = materialize(near_in_lists(members.select("key", "id", "comp", "n", "sketch"), percent), "pairs")
+    for _ in range(BEST_ROUNDS):
+        best = materialize(best_partners(pairs), "best")
+        if best.isEmpty():
+            break
+        links = links.union(materialize(verify(best, docs, words, percent), "links"))
+        comps = connected_components(links)
+        pairs = materialize(between_components(pairs.join(best, ["a", "b"], "left_anti"), comps), "pairs")
+    links = links.union(materialize(verify(pairs.select("a", "b"), docs, words, percent), "links"))
     comps = materialize(connected_components(links), "components")
 
     found = rows.join(comps, "id", "left").select("doc_id", "f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
