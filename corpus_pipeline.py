@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import decontam, jaccard, mixing, quality, token_files
-from spanframe.llm.common import materialize, word_count
+from spanframe.llm.common import materialize, small_batches, word_count
 from spanframe.llm.queries import tokenizer_path
 
 #: Near-duplicates: word shingles of this length, at least this similar (%).
@@ -27,11 +27,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, that with the smallest id."""
+    small_batches(spark)
     return jaccard.drop_similar(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
@@ -42,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    small_batches(spark)
     return token_files.token_output(spark, docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 

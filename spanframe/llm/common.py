@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,14 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, limit
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send Python workers at most ``rows`` rows at once, unless the session has
+    its own number: whole texts of 10,000 documents, as by default, fill them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 # ---------------------------------------------------------------- columns
 
 
@@ -163,7 +173,14 @@ def hash_grams(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def in_slices(rows: list, size, most: int = 1 << 21) -> Iterator[list]:
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, and the
+    next stage's executor memory also holds what they keep."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_slices(rows: list, size, most: int = 1 << 20) -> Iterator[list]:
     """Cut ``rows`` into runs of about ``most`` bytes, so that the arrays made
     of them stay small whatever Arrow's batch size; one huge row is a run."""
     run, held = [], 0

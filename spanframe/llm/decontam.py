@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import hash_grams, in_slices, join_sized, materialize
+from spanframe.llm.common import give_back, hash_grams, in_slices, join_sized, materialize
 
 #: Template tokens in a window; items with fewer (but MIN_WINDOW at least) form one window of their length.
 WINDOW = 8
@@ -21,7 +21,7 @@ MIN_LITERALS = 4
 FILTER_MAX = 4_000_000
 #: Up to this many contaminated ids are broadcast to drop their documents.
 DROP_BROADCAST_MAX = 500_000
-MEMO = 400_000
+MEMO = 100_000
 
 #: Fixed word lists for the typed placeholders.
 NUMBER_WORDS = frozenset(
@@ -130,6 +130,8 @@ def template_windows(table: DataFrame, key: str, text: str, sizes: list[int] | N
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["id", "at", "size", "hash", "slots", "literals"])
+        memo.reset()
+        give_back()
 
     return table.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(run, WINDOWS)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import hash_grams, hash_words, in_slices, join_sized, materialize, mix64
+from spanframe.llm.common import give_back, hash_grams, hash_words, in_slices, join_sized, materialize, mix64
 from spanframe.llm.components import connected_components
 
 WORDS, PERCENT = 3, 90
@@ -40,9 +40,10 @@ SHARED_LISTS, SHARED_FROM = 2, 20
 BLOCK = 4096
 #: Members that one copy of a text is compared with.
 GROUP = 512
-#: Rounds in which every set tries its most promising partner only, before all
-#: pairs that still lie between components are compared.
-BEST_ROUNDS = 3
+#: Rounds in which every set tries its most promising partner only: first among
+#: the first sets of its lists, then among all members, before all pairs that
+#: still lie between components are compared.
+AHEAD_ROUNDS, BEST_ROUNDS = 2, 1
 #: Pairs up to this many are broadcast to fetch their texts, else joined by shuffle.
 BROADCAST_PAIRS = 400_000
 
@@ -189,6 +190,7 @@ def index_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
+        give_back()
 
     def _batch(rows):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -221,6 +223,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                 elif any(linked(len(np.intersect1d(x, tokens, assume_unique=True)), len(x) + len(tokens), percent) for x in left):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        give_back()
 
     lined = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return lined.mapInArrow(run, "a long, b long")
@@ -241,6 +244,7 @@ def near_in_lists(members: DataFrame, percent: int) -> DataFrame:
                     key, rows = row[:3], []
                 rows.append(row[3:])
         yield from pairs(rows)
+        give_back()
 
     def pairs(rows):
         if len(rows) < 2:
@@ -298,7 +302,8 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
 
     1. Equal sets collapse into one, named by their smallest doc_id.
     2. In every list of sets that share a key, those that share more such lists
-       with its first set are compared with that.
+       with its first set may be compared with that: each with the first set that
+       it shares most lists with, twice.
     3. Lists that still span several components have their members of different
        components compared, behind a size and sketch bound: first each set with
        its most promising partner, then all pairs that still lie between
@@ -325,9 +330,20 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     lists = materialize(lists.where("_first.id < _last").select("key", "id", "n", F.col("_first.id").alias("a"), F.col("_first.n").alias("_an")), "lists")
     sized = lists.where((F.least("n", "_an") * 100 >= F.greatest("n", "_an") * percent) & (F.col("a") < F.col("id")))
     ahead = sized.groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("_n"), F.max("n").alias("_size"))
-    ahead = materialize(ahead.where((F.col("_n") >= SHARED_LISTS) | (F.col("_size") < SHARED_FROM)).select("a", "b"), "pairs")
-    links = materialize(verify(ahead, docs, words, percent).union(several), "links")
-    comps = connected_components(links)
+    ahead = materialize(ahead.where((F.col("_n") >= SHARED_LISTS) | (F.col("_size") < SHARED_FROM)).select("a", "b", F.col("_n").alias("bound")), "pairs")
+
+    def try_best(pairs, links, rounds):
+        comps = connected_components(links)
+        for _ in range(rounds):
+            best = materialize(best_partners(pairs), "best")
+            if best.isEmpty():
+                break
+            links = links.union(materialize(verify(best, docs, words, percent), "links"))
+            comps = connected_components(links)
+            pairs = materialize(between_components(pairs.join(best, ["a", "b"], "left_anti"), comps), "pairs")
+        return pairs, links, comps
+
+    _, links, comps = try_best(ahead, materialize(several.select("a", "b"), "links"), AHEAD_ROUNDS)
 
     spread = lists.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
     whole = F.min("comp").over(in_list) < F.max("comp").over(in_list)
@@ -337,13 +353,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     chosen = same.groupBy("_n", "_a", "_b", "_x", "_y").agg(F.min("key").alias("key")).select("key")
     members = spread.join(chosen, "key", "left_semi").join(ones.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "id")
     pairs = materialize(near_in_lists(members.select("key", "id", "comp", "n", "sketch"), percent), "pairs")
-    for _ in range(BEST_ROUNDS):
-        best = materialize(best_partners(pairs), "best")
-        if best.isEmpty():
-            break
-        links = links.union(materialize(verify(best, docs, words, percent), "links"))
-        comps = connected_components(links)
-        pairs = materialize(between_components(pairs.join(best, ["a", "b"], "left_anti"), comps), "pairs")
+    pairs, links, _ = try_best(pairs, links, BEST_ROUNDS)
     links = links.union(materialize(verify(pairs.select("a", "b"), docs, words, percent), "links"))
     comps = materialize(connected_components(links), "components")
 

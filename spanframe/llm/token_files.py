@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import in_slices, materialize, scratch
+from spanframe.llm.common import give_back, in_slices, materialize, scratch
 
 MAGIC = b"SFPLANE1"
 BLOCK = 1 << 16
@@ -37,7 +37,7 @@ END_ID = 1
 ROWS_PER_FILE = 2000
 MAX_FILES = 10_000
 #: A worker's memory of encoded words is emptied at this many entries.
-MEMO = 400_000
+MEMO = 150_000
 
 
 # ---------------------------------------------------------------- blocks
@@ -221,11 +221,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, bits: bool
         width = np.dtype(memo.dtype).itemsize
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1)))
-            for run in in_slices(rows, lambda r: len(r[1].as_py() or b""), 1 << 24):
+            for run in in_slices(rows, lambda r: len(r[1].as_py() or b""), 1 << 22):
                 ids = [memo.of(t.as_py()) + end for _, t in run]
                 keys = [d for d, _ in run]
                 part = [0 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "n", "ids"])
+        del memo
+        give_back()
 
     def write(batches):
         dtype = _tokenizer(tokenizer)[1]
