@@ -326,6 +326,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
 
     in_list = Window.partitionBy("key")
     lists = ones.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    # a row whose neighbours by size are too small or too large has no partner in its list
+    by_size = in_list.orderBy("n", "id")
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
+    lists = lists.withColumn("_fits", fits).where("_fits").drop("_fits")
     lists = lists.withColumn("_first", F.min(F.struct("id", "n")).over(in_list)).withColumn("_last", F.max("id").over(in_list))
     lists = materialize(lists.where("_first.id < _last").select("key", "id", "n", F.col("_first.id").alias("a"), F.col("_first.n").alias("_an")), "lists")
     sized = lists.where((F.least("n", "_an") * 100 >= F.greatest("n", "_an") * percent) & (F.col("a") < F.col("id")))
