@@ -17,6 +17,9 @@ WINDOW = 8
 MIN_WINDOW = 5
 #: A window needs this many words that are not placeholders.
 MIN_LITERALS = 4
+#: Items without such a window are found by all their words, hashed apart from templates.
+TEMPLATE, WHOLE = 0, 2
+_WHOLE_SALT = np.uint64(0x5851F42D4C957F2D)
 #: Up to this many benchmark windows go to every task as a filter before the join.
 FILTER_MAX = 4_000_000
 #: Up to this many contaminated ids are broadcast to drop their documents.
@@ -57,14 +60,16 @@ def template_token(word: str, starts: bool) -> tuple[str, str | None]:
 
 class Templates(dict):
     """Word (bytes) -> its place in parallel lists: hashes of its template
-    token inside and at the start of a sentence (0: none), whether it ends one."""
+    token inside and at the start of a sentence (0: none), whether it ends one,
+    hash of the case-folded word without punctuation at its edges (bare
+    punctuation is kept)."""
 
     def __init__(self):
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.inside, self.start, self.ends = [], [], []
+        self.inside, self.start, self.ends, self.folded = [], [], [], []
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -72,22 +77,25 @@ class Templates(dict):
             token = template_token(text, starts)[0]
             into.append(xxhash.xxh64_intdigest(token) or 1 if token else 0)
         self.ends.append(_STOP.search(text) is not None)
+        self.folded.append(xxhash.xxh64_intdigest((_EDGES.sub("", text) or text).casefold()))
         self[word] = n = len(self.ends) - 1
         return n
 
     def tokens(self, texts: list[bytes]):
-        """For each text: hashes of its template tokens, the words they come
-        from, and whether each starts a sentence."""
+        """For each text: hashes of its template tokens, its words, the places
+        of the tokens in them, whether each word starts a sentence, and the
+        hashes of all case-folded words."""
         if len(self) > MEMO:
             self.reset()
         split = [t.split() for t in texts]
         places = [np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)) for words in split]
         inside, start, ends = np.array(self.inside, dtype=np.uint64), np.array(self.start, dtype=np.uint64), np.array(self.ends, dtype=bool)
+        folded = np.array(self.folded, dtype=np.uint64)
         for words, at in zip(split, places):
             starts = np.concatenate([[True], ends[at][:-1]]) if len(at) else np.zeros(0, bool)
             hashes = np.where(starts, start[at], inside[at])
             real = np.flatnonzero(hashes)
-            yield hashes[real], words, real, starts
+            yield hashes[real], words, real, starts, folded[at]
 
 
 def _slots(words: list[bytes], real, starts, at: int, n: int) -> tuple[list, int]:
@@ -97,16 +105,26 @@ def _slots(words: list[bytes], real, starts, at: int, n: int) -> tuple[list, int
     return slots, n - len(slots)
 
 
-WINDOWS = "id long, at int, size int, hash long, slots array<string>, literals int"
+WINDOWS = "id long, row long, form int, at int, size int, need int, hash long, slots array<string>"
 
 
-def template_windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, only: np.ndarray | None = None) -> DataFrame:
-    """Windows of template tokens: id, position, size, hash, slot values, literals.
+def _within(only: np.ndarray | None, grams: np.ndarray):
+    """Places of the hashes that are in the sorted ``only`` (None: all)."""
+    if only is None:
+        return range(len(grams))
+    if not len(grams) or not len(only):
+        return ()
+    place = np.searchsorted(only, grams)
+    place[place == len(only)] = 0
+    return np.flatnonzero(only[place] == grams)
 
-    ``sizes`` names the window sizes; None takes WINDOW, or the whole text if
-    that is shorter. ``only`` (sorted hashes) keeps windows whose hash is in it.
-    """
-    sent = None if only is None else table.sparkSession.sparkContext.broadcast(only)
+
+def _whole(folded: np.ndarray, n: int) -> np.ndarray:
+    return hash_grams(folded, n) ^ np.uint64(n) ^ _WHOLE_SALT
+
+
+def _windows(table: DataFrame, key: str, text: str, windows_of) -> DataFrame:
+    """The WINDOWS rows that windows_of gives for what Templates.tokens gives for a text."""
 
     def run(batches):
         memo = Templates()
@@ -114,28 +132,63 @@ def template_windows(table: DataFrame, key: str, text: str, sizes: list[int] | N
             rows = [(k.as_py(), t.as_py() or b"") for k, t in zip(batch.column(0), batch.column(1))]
             for some in in_slices(rows, lambda r: len(r[1])):
                 out = []
-                for (doc, _), (hashes, words, real, starts) in zip(some, memo.tokens([t for _, t in some])):
-                    for n in sizes or [min(WINDOW, max(len(hashes), 1))]:
-                        grams = hash_grams(hashes, n) ^ np.uint64(n)
-                        if sent is None:
-                            found = range(len(grams))
-                        elif len(grams):
-                            place = np.searchsorted(sent.value, grams)
-                            place[place == len(sent.value)] = 0
-                            found = np.flatnonzero(sent.value[place] == grams)
-                        else:
-                            found = ()
-                        for i in found:
-                            out.append((doc, int(i), n, int(grams[i].astype(np.int64)), *_slots(words, real, starts, i, n)))
+                for (doc, t), tokens in zip(some, memo.tokens([t for _, t in some])):
+                    if found := list(windows_of(*tokens)):
+                        row = xxhash.xxh64_intdigest(t) - (1 << 63)
+                        out += [(doc, row, *f) for f in found]
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["id", "at", "size", "hash", "slots", "literals"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+                    names = ["id", "row", "form", "at", "size", "need", "hash", "slots"]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
         memo.reset()
         give_back()
 
     return table.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(run, WINDOWS)
 
 
+def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """Windows of template tokens of the items: id, row (a hash of the text),
+    form, position, size, hash, slot values. An item without a window of
+    MIN_WINDOW tokens and MIN_LITERALS literals has all windows of its
+    case-folded words instead (form WHOLE), of which a copy holds ``need``: all."""
+
+    def windows_of(hashes, words, real, starts, folded):
+        n, good = min(WINDOW, len(hashes)), False
+        if n >= MIN_WINDOW:
+            grams = (hash_grams(hashes, n) ^ np.uint64(n)).view(np.int64)
+            for i in range(len(grams)):
+                slots, literals = _slots(words, real, starts, i, n)
+                if literals >= MIN_LITERALS:
+                    good = True
+                    yield TEMPLATE, i, n, 0, int(grams[i]), slots
+        if not good and len(folded):
+            n = min(WINDOW, len(folded))
+            grams = _whole(folded, n).view(np.int64)
+            for i in range(len(grams)):
+                yield WHOLE, i, n, len(grams), int(grams[i]), []
+
+    return _windows(benchmark, key, text, windows_of)
+
+
+def document_windows(docs: DataFrame, key: str, text: str, sizes: dict[int, list[int]], only: np.ndarray | None) -> DataFrame:
+    """The same of documents, for the window sizes of each form. ``only``
+    (sorted hashes) keeps windows whose hash is in it."""
+    sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+
+    def windows_of(hashes, words, real, starts, folded):
+        known = None if sent is None else sent.value
+        for n in sizes.get(TEMPLATE, ()):
+            grams = hash_grams(hashes, n) ^ np.uint64(n)
+            for i in _within(known, grams):
+                yield TEMPLATE, int(i), n, 0, int(grams[i].astype(np.int64)), _slots(words, real, starts, i, n)[0]
+        for n in sizes.get(WHOLE, ()):
+            grams = _whole(folded, n)
+            for i in _within(known, grams):
+                yield WHOLE, int(i), n, 0, int(grams[i].astype(np.int64)), []
+
+    return _windows(docs, key, text, windows_of)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs of documents and benchmark items that they contain, literally or
     with other numbers, names or units: doc_id, item_id, n_windows, n_slots,
@@ -146,22 +199,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", it
     counts if its slots are consistent: one item value always stands for one
     document value, and different names stay different.
 
+    Items that are too short for a template window, or whose windows are nearly
+    all placeholders, are found where all their words occur in order, whatever
+    their case and the punctuation at words' edges; so an item of one word is
+    in every document that has this word.
+
     Nulls and empty texts have no windows; a null id is reported as null (such
     rows as one document). Repeated rows add to n_windows. Empty tables give an
     empty result. Other columns play no part.
     """
-    items = materialize(template_windows(benchmark, item, text, None).where((F.col("size") >= MIN_WINDOW) & (F.col("literals") >= MIN_LITERALS)), "benchmark-windows")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW - MIN_WINDOW + 1
+    items = materialize(item_windows(benchmark, item, text), "benchmark-windows")
+    sizes = {}
+    for form, size in sorted(items.select("form", "size").distinct().collect()):  # at most 2 * WINDOW
+        sizes.setdefault(form, []).append(size)
     few = items.select("hash").distinct().limit(FILTER_MAX + 1)
     only = np.array([r[0] for r in few.collect()], dtype=np.int64).view(np.uint64) if few.count() <= FILTER_MAX else None
-    windows = template_windows(docs, key, text, sizes or [WINDOW], None if only is None else np.sort(only))
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("_item_at"), "hash", F.col("slots").alias("_item_slots"))
+    windows = document_windows(docs, key, text, sizes, None if only is None else np.sort(only))
+    right = items.select(F.col("id").alias("item_id"), F.col("row").alias("_item_row"), F.col("at").alias("_item_at"), F.col("need").alias("_need"), "hash", F.col("slots").alias("_item_slots"))
     pairs = windows.join(right, "hash").withColumn("_diagonal", F.col("at") - F.col("_item_at"))
+    own = [F.when(F.col("form") == WHOLE, F.col(c)).alias(c) for c in ("row", "_item_row")]  # a copy lies in one text
     slots = F.transform(F.arrays_zip("_item_slots", "slots"), lambda s: F.struct(s["_item_slots"].alias("a"), s["slots"].alias("b")))
-    at = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "_diagonal").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("s"))
+    at = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "_diagonal", "form", "_need", *own).agg(
+        F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("s"), F.size(F.collect_set(F.when(F.col("form") == WHOLE, F.col("at")))).alias("_found")
+    )
     side = lambda pairs, x: F.size(F.array_distinct(F.transform(pairs, lambda s: s[x])))
     names = F.filter("s", lambda s: s["a"].startswith("<name>"))
-    at = at.where((side(F.col("s"), "a") == F.size("s")) & (side(names, "b") == F.size(names)))
+    at = at.where((side(F.col("s"), "a") == F.size("s")) & (side(names, "b") == F.size(names)) & (F.col("_found") == F.col("_need")))
     found = at.groupBy("doc_id", "item_id").agg(
         F.sum("n").alias("n_windows"), F.max(F.size("s")).cast("long").alias("n_slots"), F.max(F.exists("s", lambda s: s["a"] != s["b"])).alias("changed")
     )

@@ -370,6 +370,19 @@ def test_leaks(spark):
     assert decontam.find_leaks(t.limit(0), bench).count() == 0 and decontam.find_leaks(t, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_and_of_items_of_placeholders(spark):
+    sums, names = "What is 12 + 45 + 78 + 90?", "Add 1 2 3 4 5 6 7 8 9 10 Anna Smith Tom Brown 11 12 13"
+    bench = spark.createDataFrame([(1, sums), (2, names), (3, "Who wrote it?"), (4, "= ?"), (5, "")], "item_id long, text string")
+    cut = names.replace("8 9", "8 and 9")
+    rows = [
+        (1, "so WHAT is 12 + 45 + 78 + 90, then"), (2, sums.replace("45", "46")), (3, f"x y z {names}. {names}"), (4, cut), (5, "he asked who wrote it"),
+        (6, names[:30]), (6, "- - - " + names[26:]), (7, "who wrote this, is = ? asked"), (None, names[:36]), (None, names[22:]),
+    ]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_slots, r.changed) for r in decontam.find_leaks(t, bench).collect()} == {(1, 1, 0, False), (3, 2, 0, False), (5, 3, 0, False), (7, 4, 0, False)}
+    assert sorted(r.doc_id or 0 for r in decontam.decontaminate(t, bench).collect()) == [0, 0, 2, 4, 6, 6]
+
+
 # ---------------------------------------------------------------- warc
 
 
