@@ -10,15 +10,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import give_back, hash_grams, in_slices, join_sized, materialize
+from spanframe.llm.common import _P as GRAM_FACTOR
+from spanframe.llm.common import give_back, hash_grams, in_slices, join_sized, materialize, mix64
 
 #: Template tokens in a window; items with fewer (but MIN_WINDOW at least) form one window of their length.
 WINDOW = 8
 MIN_WINDOW = 5
 #: A window needs this many words that are not placeholders.
 MIN_LITERALS = 4
-#: Items without such a window are found by all their words, hashed apart from templates.
-TEMPLATE, WHOLE = 0, 2
+#: Forms of a window: its template, its case-folded words (hashed alike, so that
+#: forms without slots meet), and those of an item without a template window,
+#: which is found by all its words, hashed apart.
+TEMPLATE, FOLDED, WHOLE = 0, 1, 2
 _WHOLE_SALT = np.uint64(0x5851F42D4C957F2D)
 #: Up to this many benchmark windows go to every task as a filter before the join.
 FILTER_MAX = 4_000_000
@@ -83,8 +86,9 @@ class Templates(dict):
 
     def tokens(self, texts: list[bytes]):
         """For each text: hashes of its template tokens, its words, the places
-        of the tokens in them, whether each word starts a sentence, and the
-        hashes of all case-folded words."""
+        of the tokens in them, whether each word starts a sentence, the hashes
+        of all case-folded words, and those of the tokens in the other form,
+        inside for at the start of a sentence and the reverse."""
         if len(self) > MEMO:
             self.reset()
         split = [t.split() for t in texts]
@@ -94,13 +98,15 @@ class Templates(dict):
         for words, at in zip(split, places):
             starts = np.concatenate([[True], ends[at][:-1]]) if len(at) else np.zeros(0, bool)
             hashes = np.where(starts, start[at], inside[at])
+            other = np.where(starts, inside[at], start[at])
             real = np.flatnonzero(hashes)
-            yield hashes[real], words, real, starts, folded[at]
+            yield hashes[real], words, real, starts, folded[at], other[real]
 
 
-def _slots(words: list[bytes], real, starts, at: int, n: int) -> tuple[list, int]:
-    """Slots of the window at ``at`` as "type:value", and its number of literals."""
-    forms = [template_token(words[real[k]].decode("utf-8", "replace"), bool(starts[real[k]])) for k in range(at, at + n)]
+def _slots(words: list[bytes], real, starts, at: int, n: int, other: bool = False) -> tuple[list, int]:
+    """Slots of the window at ``at`` as "type:value", and its number of literals;
+    with ``other`` its first word is taken in the other form."""
+    forms = [template_token(words[real[k]].decode("utf-8", "replace"), bool(starts[real[k]]) != (other and k == at)) for k in range(at, at + n)]
     slots = [f"{kind}{value}" for kind, value in forms if value is not None]
     return slots, n - len(slots)
 
@@ -119,6 +125,23 @@ def _within(only: np.ndarray | None, grams: np.ndarray):
     return np.flatnonzero(only[place] == grams)
 
 
+def _mixed(places: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Starts of the m windows of n tokens that hold one of the places."""
+    edge = np.zeros(m + n, dtype=np.int64)
+    np.add.at(edge, np.maximum(places - n + 1, 0), 1)
+    np.add.at(edge, np.minimum(places + 1, m), -1)
+    return np.flatnonzero(np.cumsum(edge[:m]) > 0)
+
+
+def _rolled(first: np.ndarray, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes, as hash_grams has them, of the windows at the places ``at`` with
+    their first tokens from ``first``."""
+    out = first[at]
+    for i in range(1, n):
+        out = out * GRAM_FACTOR + tokens[at + i]
+    return mix64(out) ^ np.uint64(n)
+
+
 def _whole(folded: np.ndarray, n: int) -> np.ndarray:
     return hash_grams(folded, n) ^ np.uint64(n) ^ _WHOLE_SALT
 
@@ -148,19 +171,22 @@ def _windows(table: DataFrame, key: str, text: str, windows_of) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """Windows of template tokens of the items: id, row (a hash of the text),
-    form, position, size, hash, slot values. An item without a window of
+    form, position, size, hash, slot values; each also as its case-folded words
+    if these differ. An item without a window of
     MIN_WINDOW tokens and MIN_LITERALS literals has all windows of its
     case-folded words instead (form WHOLE), of which a copy holds ``need``: all."""
 
-    def windows_of(hashes, words, real, starts, folded):
+    def windows_of(hashes, words, real, starts, folded, other):
         n, good = min(WINDOW, len(hashes)), False
         if n >= MIN_WINDOW:
-            grams = (hash_grams(hashes, n) ^ np.uint64(n)).view(np.int64)
+            grams, plain = hash_grams(hashes, n) ^ np.uint64(n), hash_grams(folded[real], n) ^ np.uint64(n)
             for i in range(len(grams)):
                 slots, literals = _slots(words, real, starts, i, n)
                 if literals >= MIN_LITERALS:
                     good = True
-                    yield TEMPLATE, i, n, 0, int(grams[i]), slots
+                    yield TEMPLATE, i, n, 0, int(grams[i].astype(np.int64)), slots
+                    if plain[i] != grams[i]:
+                        yield FOLDED, i, n, 0, int(plain[i].astype(np.int64)), []
         if not good and len(folded):
             n = min(WINDOW, len(folded))
             grams = _whole(folded, n).view(np.int64)
@@ -171,16 +197,27 @@ def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, key: str, text: str, sizes: dict[int, list[int]], only: np.ndarray | None) -> DataFrame:
-    """The same of documents, for the window sizes of each form. ``only``
-    (sorted hashes) keeps windows whose hash is in it."""
+    """The same of documents, for the window sizes of each form. A window whose
+    first word depends on whether it starts a sentence has a second template:
+    before an item there may be no full stop, or one that the item lacks.
+    ``only`` (sorted hashes) keeps windows whose hash is in it."""
     sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
-    def windows_of(hashes, words, real, starts, folded):
+    def windows_of(hashes, words, real, starts, folded, other):
         known = None if sent is None else sent.value
+        plain = folded[real]
         for n in sizes.get(TEMPLATE, ()):
             grams = hash_grams(hashes, n) ^ np.uint64(n)
             for i in _within(known, grams):
                 yield TEMPLATE, int(i), n, 0, int(grams[i].astype(np.int64)), _slots(words, real, starts, i, n)[0]
+            at = np.flatnonzero(other[: len(grams)] != hashes[: len(grams)])
+            grams = _rolled(other, hashes, at, n)
+            for i in _within(known, grams):
+                yield TEMPLATE, int(at[i]), n, 0, int(grams[i].astype(np.int64)), _slots(words, real, starts, at[i], n, True)[0]
+            at = _mixed(np.flatnonzero(plain != hashes), n, max(len(hashes) - n + 1, 0))
+            grams = _rolled(plain, plain, at, n)
+            for i in _within(known, grams):
+                yield FOLDED, int(at[i]), n, 0, int(grams[i].astype(np.int64)), []
         for n in sizes.get(WHOLE, ()):
             grams = _whole(folded, n)
             for i in _within(known, grams):
@@ -194,7 +231,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", it
     with other numbers, names or units: doc_id, item_id, n_windows, n_slots,
     changed (some slot has another value).
 
-    Template windows are joined by hash. Windows of a document and an item that
+    Template windows are joined by hash, and so are their case-folded words, so
+    that literal copies are found in any case. Windows of a document and an item that
     lie on one diagonal (document place - item place) are one occurrence; it
     counts if its slots are consistent: one item value always stands for one
     document value, and different names stay different.
@@ -215,12 +253,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", it
     few = items.select("hash").distinct().limit(FILTER_MAX + 1)
     only = np.array([r[0] for r in few.collect()], dtype=np.int64).view(np.uint64) if few.count() <= FILTER_MAX else None
     windows = document_windows(docs, key, text, sizes, None if only is None else np.sort(only))
-    right = items.select(F.col("id").alias("item_id"), F.col("row").alias("_item_row"), F.col("at").alias("_item_at"), F.col("need").alias("_need"), "hash", F.col("slots").alias("_item_slots"))
+    right = items.select(F.col("id").alias("item_id"), F.col("row").alias("_item_row"), F.col("form").alias("_item_form"), F.col("at").alias("_item_at"), F.col("need").alias("_need"), "hash", F.col("slots").alias("_item_slots"))
     pairs = windows.join(right, "hash").withColumn("_diagonal", F.col("at") - F.col("_item_at"))
-    own = [F.when(F.col("form") == WHOLE, F.col(c)).alias(c) for c in ("row", "_item_row")]  # a copy lies in one text
     slots = F.transform(F.arrays_zip("_item_slots", "slots"), lambda s: F.struct(s["_item_slots"].alias("a"), s["slots"].alias("b")))
-    at = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "_diagonal", "form", "_need", *own).agg(
-        F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("s"), F.size(F.collect_set(F.when(F.col("form") == WHOLE, F.col("at")))).alias("_found")
+    # a window that meets in several forms is one
+    forms = F.concat("form", "_item_form")
+    met = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "_diagonal", "at", "row", "_item_row", "_need", forms.alias("_forms"), (F.col("form") == WHOLE).alias("_whole")).agg(
+        F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set(slots)).alias("s")
+    )
+    place = ["doc_id", "item_id", "_diagonal", "row", "_item_row", "_need", "_whole"]
+    met = met.groupBy(*place, "at").agg(F.max("n").alias("n"), F.flatten(F.collect_set("s")).alias("s"))
+    own = [F.when(F.col("_whole"), F.col(c)).alias(c) for c in ("row", "_item_row")]  # a copy of all words lies in one text
+    at = met.groupBy("doc_id", "item_id", "_diagonal", "_need", "_whole", *own).agg(
+        F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"), F.size(F.collect_set(F.when(F.col("_whole"), F.col("at")))).alias("_found")
     )
     side = lambda pairs, x: F.size(F.array_distinct(F.transform(pairs, lambda s: s[x])))
     names = F.filter("s", lambda s: s["a"].startswith("<name>"))

@@ -383,6 +383,20 @@ def test_leaks_of_short_items_and_of_items_of_placeholders(spark):
     assert sorted(r.doc_id or 0 for r in decontam.decontaminate(t, bench).collect()) == [0, 0, 2, 4, 6, 6]
 
 
+def test_leaks_in_other_case_and_context(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Anna Smith walked with Tom Brown for 12 miles and then Anna Smith rested for 3 hours before dinner.")], "item_id long, text string")
+    short, long = (r.text for r in bench.orderBy("item_id").collect())
+    rows = [
+        (1, f"asked here {short}"), (2, f"asked here {short.replace('France', 'Spain')}"), (3, short.upper()), (4, long.upper()), (5, long.lower()), (6, long.title()),
+        (7, f"X {long} Y"), (8, long.replace("then Anna", "then Mary").lower()), (9, long.replace("Anna", "Eve").replace("and then Eve", "and then Tom")), (10, "What is the price of France?"),
+    ]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.changed) for r in decontam.find_leaks(t, bench).collect()}
+    assert {k: v for k, v in got.items() if k[1] == 1} == {(1, 1): (1, False), (2, 1): (1, True), (3, 1): (1, False)}
+    assert {k: v for k, v in got.items() if k[0] in (4, 5, 6, 7)} == {(k, 2): (9, False) for k in (4, 5, 6, 7)}
+    assert set(got) - {(8, 2)} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 2)}
+
+
 # ---------------------------------------------------------------- warc
 
 
