@@ -112,17 +112,21 @@ def _close(stack: list, tags: tuple, barriers) -> None:
 
 class Page:
     """Lines of a block: inline text gathers until a break; breaks of 1 end the
-    line, breaks of 2 leave a blank line before the next."""
+    line, breaks of 2 leave a blank line before the next. With ``pre`` lines
+    keep their indents."""
 
-    def __init__(self):
-        self.lines, self.inline, self.gap = [], "", 0
+    def __init__(self, pre: bool = False):
+        self.lines, self.inline, self.gap, self.pre = [], "", 0, pre
 
     def text(self, s: str) -> None:
         s = _SPACES.sub(" ", s)
         self.inline += s.lstrip(" ") if not self.inline or self.inline[-1] in " \n" else s
 
     def flush(self, gap: int) -> None:
-        if self.inline.strip(" \n"):
+        if self.pre:
+            if (body := self.inline.strip("\n")).strip():
+                self.put([line.rstrip() for line in body.split("\n")])
+        elif self.inline.strip(" \n"):
             self.put([line.strip(" ") for line in self.inline.strip("\n").split("\n")])
         self.inline = ""
         self.gap = max(self.gap, gap)
@@ -159,10 +163,11 @@ def _render(nodes: list, page: Page, in_pre: bool = False) -> None:
             page.flush(2)
         elif tag in ("pre", "listing", "xmp"):
             page.flush(2)
-            inner = Page()
+            inner = Page(pre=True)
             _render(node.children, inner, True)
-            if (body := inner.inline.strip("\n")).strip():
-                page.put(inner.lines + [x.rstrip() for x in body.split("\n")])
+            inner.flush(0)
+            if inner.lines:
+                page.put(inner.lines)
             page.flush(2)
         elif tag in ("blockquote", "dd"):
             page.flush(2 if tag == "blockquote" else 1)

@@ -202,6 +202,20 @@ def test_render(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<pre><div>a</div><div>  b</div></pre>", "a\n  b"),
+        ("<pre>  x\n<ul><li>y</ul></pre>z", "  x\n\n- y\n\nz"),
+        ("<listing><div>a</div>  b</listing>", "a\n  b"),
+        ("<pre><table><td>a<td>b</table></pre>", "a  b"),
+        ("<pre>\t \n</pre>a", "a"),
+    ],
+)
+def test_render_blocks_in_pre(source, text):
+    assert html_text.render(source) == text
+
+
 def test_render_deep_and_wide():
     assert html_text.render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert html_text.render("<p title='" + "a" * 10) == ""
