@@ -16,12 +16,13 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_FOREIGN = re.compile(r"<(?:svg|math)\b", re.I)
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 #: Fixed values of the HTML standard, as far as they matter for layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript datalist title iframe noembed noframes object audio video canvas svg math meta link base param source track area col colgroup".split())
+UNSEEN = frozenset("head script style template noscript datalist title iframe noembed noframes object audio video canvas annotation annotation-xml meta link base param source track area col colgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre listing xmp blockquote figure hr fieldset form".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer header hgroup html legend li main nav optgroup option search section summary caption".split())
 #: A start tag closes these open elements, unless one of the barriers lies above.
@@ -38,6 +39,13 @@ CLOSES = (
 SCOPE = frozenset("table td th caption html template".split())
 #: These end tags reach past cells, up to their table.
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+#: Of a drawing only these show text, unless one of the others lies above.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask marker pattern".split())
+#: HTML start tags that end an open drawing or formula, but not inside these elements of it.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = frozenset(["svg", "math"])
+INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 #: Deeper elements are hung on the one at this depth.
 MAX_DEPTH = 200
 
@@ -67,6 +75,7 @@ def build_tree(source: str) -> Element:
     root = Element("html", {})
     stack = [root]
     at, size = 0, len(source)
+    foreign = _FOREIGN.search(source) is not None
     while at < size:
         m = _TOKEN.match(source, at)
         if m is None:  # a tag that never ends
@@ -81,6 +90,13 @@ def build_tree(source: str) -> Element:
                     stack[-1].children.append(Element("br", {}))
                 _close(stack, (tag,), ({"table"} if tag in TABLE_PARTS else SCOPE) - {tag})
                 continue
+            if foreign and tag in BREAKS:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in INSIDE:
+                        break
+                    if stack[i].tag in FOREIGN:
+                        del stack[i:]
+                        break
             if tag in CLOSES:
                 _close(stack, *CLOSES[tag])
             element = Element(tag, _attributes(m["rest"]))
@@ -92,7 +108,7 @@ def build_tree(source: str) -> Element:
                 at = stop.start() if stop else size
                 if stop:
                     at = (source.find(">", at) + 1) or size
-            elif tag not in VOID and len(stack) < MAX_DEPTH:
+            elif tag not in VOID and len(stack) < MAX_DEPTH and not (foreign and m["rest"].endswith("/") and (tag in FOREIGN or any(e.tag in FOREIGN for e in stack))):
                 stack.append(element)
     return root
 
@@ -183,12 +199,26 @@ def _render(nodes: list, page: Page, in_pre: bool = False) -> None:
             page.flush(gap)
             _render(node.children, page, in_pre)
             page.flush(gap)
+        elif tag == "svg":
+            for part in _svg_texts(node):
+                page.text(" ")
+                _render(part.children, page)
+                page.text(" ")
         elif tag == "q":
             _render(['"', *node.children, '"'], page, in_pre)
         else:
             _render(node.children, page, in_pre)
 
 
+def _svg_texts(node: Element) -> list[Element]:
+    """The visible elements of a drawing that show text."""
+    out = []
+    for child in node.children:
+        if isinstance(child, Element) and child.visible() and child.tag not in SVG_UNSEEN:
+            out += [child] if child.tag in SVG_TEXT else _svg_texts(child)
+    return out
+
+
 def _lines(nodes: list) -> list[str]:
     page = Page()
     _render(nodes, page)
@@ -215,6 +245,29 @@ def _list(node: Element) -> list[str]:
     return out
 
 
+def _has_cells(node: Element) -> bool:
+    """Whether cells of the row around hang on this element of it."""
+    return node.tag != "table" and any(isinstance(c, Element) and c.visible() and (c.tag in ("td", "th") or _has_cells(c)) for c in node.children)
+
+
+def _cells(row: Element, above: list[str]) -> list[Element]:
+    """Visible cells of a row, at whatever depth; other visible text goes above."""
+    out = []
+    for child in row.children:
+        if isinstance(child, str):
+            if child.strip():
+                above.extend(_lines([child]))
+        elif not child.visible():
+            continue
+        elif child.tag in ("td", "th"):
+            out.append(child)
+        elif _has_cells(child):
+            out += _cells(child, above)
+        else:
+            above.extend(_lines([child]))
+    return out
+
+
 def _table(node: Element) -> list[str]:
     """Rows of cells padded to their columns' widths, two spaces between."""
     above, rows = [], []
@@ -230,7 +283,7 @@ def _table(node: Element) -> list[str]:
             elif child.tag in ("thead", "tbody", "tfoot"):
                 gather(child)
             elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and c.visible()])
+                rows.append(_cells(child, above))
                 row = None
             elif child.tag in ("td", "th"):  # a row is implied
                 if row is None:

@@ -216,6 +216,22 @@ def test_render_blocks_in_pre(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr>text<td>x<td>y</table>", "text\nx  y"),
+        ("<table><tr><div>u<table><td>v</table></div><td hidden>h<td>x</table>", "u\n\nv\nx"),
+        ("a <svg><title>t</title><defs/><path d='M0'/><text>b</text><g><text>c<tspan>d</tspan></text></g>z</svg> e", "a b cd e"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
+        ("<svg><path><p>after</p>", "after"),
+        ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ],
+)
+def test_render_all_visible_text(source, text):
+    assert html_text.render(source) == text
+
+
 def test_render_deep_and_wide():
     assert html_text.render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert html_text.render("<p title='" + "a" * 10) == ""
