@@ -56,3 +56,10 @@ EMPTY = {"F-13"}
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
     QUERIES[name](spark, SF).collect()
+
+
+def test_frame_difference_has_every_frame(spark):
+    frames = QUERIES["U-03-frames"](spark, SF)
+    per_fight = lambda t: {r.fight_id: r.n for r in t.collect()}
+    assert per_fight(frames.groupBy("fight_id").agg({"*": "count"}).toDF("fight_id", "n")) == per_fight(QUERIES["I-03"](spark, SF).toDF("fight_id", "n"))
+    assert frames.where("frame % 100 = 0").exceptAll(QUERIES["U-03"](spark, SF)).isEmpty() and QUERIES["U-03"](spark, SF).exceptAll(frames).isEmpty()
