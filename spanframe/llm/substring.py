@@ -7,7 +7,8 @@ occurs in another document go to the shard of their anchor, so that equal window
 meet in one shard, and a shard's size follows the repeated text only. A shard
 indexes its distinct segments and runs them through backward search: 13 steps
 give each window's interval in the suffix array, and the smallest document
-number in that interval says who had it first.
+number in that interval says who had it first. An anchor with more words than a
+block is not indexed in one shard: its windows are dealt out each by its own hash.
 """
 
 from __future__ import annotations
@@ -244,6 +245,17 @@ def search_shards(distinct: DataFrame, length: int) -> DataFrame:
     return lined.mapInArrow(run, "sid long, owners array<long>")
 
 
+def crowded_hits(parts: DataFrame, length: int) -> DataFrame:
+    """d, t, at: the windows of segments (d, t, start, words) that an earlier
+    document also has, each window grouped by the hash of all its words."""
+    window = lambda k: F.substring(F.col("words"), k * PACKED + 1, F.lit(length * PACKED))
+    last = F.expr(f"length(words) div {PACKED} - {length}").cast("int")
+    ids = F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(window(k)))
+    each = parts.select("d", "t", "start", F.posexplode(ids).alias("_k", "wid"))
+    firsts = each.groupBy("wid").agg(F.min("d").alias("_first"), F.max("d").alias("_last")).where("_first < _last").select("wid", "_first")
+    return each.join(firsts, "wid").where("d > _first").select("d", "t", F.array(F.col("start") + F.col("_k")).alias("at"))
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -262,11 +274,17 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     shared = anchors(single, length).withColumn("_a", F.min("d").over(of_key)).withColumn("_b", F.max("d").over(of_key)).where("_a < _b")
     shared = shared.groupBy("d").agg(F.collect_list("key").alias("keys"))
     parts = materialize(segments(single.join(shared, "d"), length), "segments")
-    distinct = parts.groupBy("key", "sid", "words").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    heavy = parts.groupBy("key").agg(F.sum(F.length("words")).alias("_bytes")).where(F.col("_bytes") > BLOCK_WORDS * PACKED)
+    heavy = materialize(heavy.select("key"), "heavy")
+    crowded = not heavy.isEmpty()
+    calm = join_sized(parts, heavy, ["key"], "left_anti", BROADCAST_DOCS) if crowded else parts
+    distinct = calm.groupBy("key", "sid", "words").agg(F.min("d").alias("first"), F.max("d").alias("last"))
     owners = search_shards(distinct, length)
-    hits = parts.select("d", "t", "start", "sid").join(owners, "sid")
+    hits = calm.select("d", "t", "start", "sid").join(owners, "sid")
     earlier = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("d"), F.col("start") + k)), lambda x: x.isNotNull())
     hits = hits.select("d", "t", earlier.alias("at")).where(F.size("at") > 0)
+    if crowded:
+        hits = hits.unionByName(crowded_hits(join_sized(parts, heavy, ["key"], "left_semi", BROADCAST_DOCS), length))
     starts = hits.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     apart = lambda x, y: y - x > length
     begins = F.filter("at", lambda x, i: (i == 0) | apart(F.get("at", i - 1), x))

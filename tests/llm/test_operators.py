@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, substring, token_counts, token_files, warc
 from spanframe.llm.common import scratch
@@ -342,6 +343,26 @@ def test_remove_repeats(spark, docs, length):
     assert sorted(map(tuple, substring.remove_repeats(t, length=length).collect()), key=str) == brute_removal(rows, length)
 
 
+def test_remove_repeats_bounds_a_block(spark, monkeypatch):
+    # one passage in every document, each time between other words
+    rng = random.Random(3)
+    words = vocabulary(300)
+    say = lambda k: [rng.choice(words) for _ in range(k)]
+    passage = say(20)
+    rows = [(i, " ".join(say(20) + passage[i % 3 :] + say(20))) for i in range(60)] + [(None, " ".join(passage))]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, search = [], substring.search_shards
+
+    def watched(distinct, length):
+        sizes.extend(r[0] // substring.PACKED for r in distinct.groupBy("key").agg(F.sum(F.length("words")).alias("n")).select("n").collect())
+        return search(distinct, length)
+
+    monkeypatch.setattr(substring, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(substring, "search_shards", watched)
+    assert sorted(map(tuple, substring.remove_repeats(t).collect()), key=str) == brute_removal(rows, 13)
+    assert max(sizes, default=0) <= 200
+
+
 def test_fm_index_counts_occurrences():
     rng = np.random.default_rng(7)
     parts = [rng.integers(1, 5, rng.integers(6, 40)) for _ in range(30)]
