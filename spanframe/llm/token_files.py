@@ -16,10 +16,8 @@ and plane lengths, so any id range is read without its predecessors.
 from __future__ import annotations
 
 import io
-import json
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import give_back, in_slices, materialize, scratch
+from spanframe.llm.word_ids import tokenizer as _tokenizer
+from spanframe.llm.word_ids import word_ids
 
 MAGIC = b"SFPLANE1"
 BLOCK = 1 << 16
@@ -36,8 +36,6 @@ END_ID = 1
 #: Rows of a file at most about this many, while there are under MAX_FILES files.
 ROWS_PER_FILE = 2000
 MAX_FILES = 10_000
-#: A worker's memory of encoded words is emptied at this many entries.
-MEMO = 150_000
 
 
 # ---------------------------------------------------------------- blocks
@@ -132,69 +130,7 @@ def read_documents(path: str):
             ready, start = joined[n:], start + n
 
 
-# ---------------------------------------------------------------- encoding
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    return t, "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-
-
-#: The pre-tokenizer pattern under which letters, digits and other signs part (fixed value).
-_PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-class WordIds:
-    """Ids of texts, by a memory of their words' ids.
-
-    This tokenizer drops white space and no rule of it reaches across white
-    space, so a text's ids are its words' ids in order. Each word's come from
-    the tokenizers library. Where the tokenizer folds case, words are remembered
-    with A-Z folded, and where its pattern parts letters from a final stop or
-    comma, such a word is looked up without it. The first MEMO words stay, later
-    ones share a second memory that is emptied when full.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer, self.dtype = _tokenizer(path)
-        rules = json.loads(self.tokenizer.to_str())
-        self.folds = '"Lowercase"' in json.dumps(rules["normalizer"])
-        self.parts = json.dumps(_PARTING) in json.dumps(rules["pre_tokenizer"])
-        self.specials = [t["content"].lower().encode() for t in rules["added_tokens"]]
-        self.first, self.later = {}, {}
-
-    def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        found = self.first.get(word) or self.later.get(word)
-        if found is None:
-            stem = word[:-1]
-            if self.parts and word[-1:] in (b".", b",") and stem and stem.decode("utf-8", "replace").isalpha():
-                found = self._word(stem) + self._word(word[-1:])
-            else:
-                found = self._encode(word)
-            if len(self.first) < MEMO:
-                self.first[word] = found
-            else:
-                if len(self.later) >= MEMO:
-                    self.later.clear()
-                self.later[word] = found
-        return found
-
-    def of(self, text: bytes | None) -> bytes:
-        text = text or b""
-        low = text.lower()
-        if any(s in low for s in self.specials):  # their spelling matters
-            return b"".join(map(self._encode, text.split()))
-        words = (low if self.folds else text).split()
-        ids = list(map(self.first.get, words))
-        if None in ids:
-            ids = [self._word(w) if x is None else x for x, w in zip(ids, words)]
-        return b"".join(ids)
+# ---------------------------------------------------------------- documents
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, bits: bool = False, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
@@ -216,17 +152,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, bits: bool
     cuts = np.unique(np.array(docs.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else [], dtype=np.float64))
 
     def encode(batches):
-        memo = WordIds(tokenizer)
+        memo = word_ids(tokenizer)
         end = np.array([END_ID], dtype=memo.dtype).tobytes()
         width = np.dtype(memo.dtype).itemsize
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1)))
             for run in in_slices(rows, lambda r: len(r[1].as_py() or b""), 1 << 22):
-                ids = [memo.of(t.as_py()) + end for _, t in run]
+                ids = [x.tobytes() + end for x in memo.of([t.as_py() or b"" for _, t in run])]
                 keys = [d for d, _ in run]
                 part = [0 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "n", "ids"])
-        del memo
         give_back()
 
     def write(batches):
