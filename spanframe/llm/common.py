@@ -173,6 +173,19 @@ def hash_grams(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def worker_memory(name, make):
+    """What an operator keeps in a Python worker from task to task. A worker keeps
+    the memory of one operator only: the last."""
+    if name not in _memory:
+        _memory.clear()
+        give_back()
+        _memory[name] = make()
+    return _memory[name]
+
+
+_memory: dict = {}
+
+
 def give_back() -> None:
     """Return what a task has freed to the system: Python workers live on, and the
     next stage's executor memory also holds what they keep."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import _P as GRAM_FACTOR
-from spanframe.llm.common import give_back, hash_grams, in_slices, join_sized, materialize, mix64
+from spanframe.llm.common import give_back, hash_grams, hash_words, in_slices, join_sized, materialize, worker_memory
+from spanframe.llm.hash_memo import HashMemo
 
 #: Template tokens in a window; items with fewer (but MIN_WINDOW at least) form one window of their length.
 WINDOW = 8
@@ -23,147 +24,192 @@ MIN_LITERALS = 4
 #: which is found by all its words, hashed apart.
 TEMPLATE, FOLDED, WHOLE = 0, 1, 2
 _WHOLE_SALT = np.uint64(0x5851F42D4C957F2D)
-#: Up to this many benchmark windows go to every task as a filter before the join.
-FILTER_MAX = 4_000_000
+#: Bits of the filter that goes to every task before the join; a window whose
+#: hash hits none of the benchmark's is not sent. It is as large for any benchmark.
+FILTER_BITS = 1 << 26
+#: Up to this many benchmark windows are broadcast to the documents' windows.
+BROADCAST_WINDOWS = 300_000
 #: Up to this many contaminated ids are broadcast to drop their documents.
 DROP_BROADCAST_MAX = 500_000
-MEMO = 100_000
-
-#: Fixed word lists for the typed placeholders.
-NUMBER_WORDS = frozenset(
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
-)
-UNITS = frozenset(
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros degree degrees meter meters metre metres kilometer kilometers kilometre kilometres mph kmh watt watts volt volts".split()
+#: Words that a worker remembers.
+MEMO = 1_000_000
+
+#: Number words: units, teens, tens (with a unit behind a hyphen), multiples, as
+#: cardinals, ordinals or plurals.
+_ONES = "one|two|three|four|five|six|seven|eight|nine|first|third|fourth|fifth|sixth|seventh|eighth|ninth"
+_TENS = "(?:twen|thir|for|fif|six|seven|eigh|nine)t(?:y|ies|ieth)"
+_TEENS = "(?:thir|four|fif|six|seven|eigh|nine)teen(?:th)?|ten(?:th)?|eleven(?:th)?|twel(?:ve|fth)|zero|half"
+_NUMERAL = re.compile(rf"(?:(?:{_TENS}|{_TEENS}|{_ONES}|(?:hundred|thousand|[mbtr]{{1,2}}illion|dozen)(?:s|th)?|and|a)-?\b)+")
+#: Unit words, metric ones with any prefix, and unit signs (case matters).
+_UNIT_WORD = re.compile(
+    r"(?:kilo|centi|milli|micro|nano|mega|giga|tera|deci|hecto)?(?:met(?:er|re)|gram(?:me)?|lit(?:er|re)|watt|volt|byte|bit|joule|pascal|newton|calorie|ampere|ohm)s?|(?:kilo|mega|giga)?hertz"
+    r"|(?:inch(?:es)?|foot|feet|fahrenheit|celsius|kelvin|percent|mph|kmh|rpm|fps|lbs?|oz|ft|yds?|gal|tsps?|tbsps?|hrs?|mins?|secs?)"
+    r"|(?:yard|mile|pound|ounce|ton|tonne|gallon|pint|quart|cup|acre|hectare|tablespoon|teaspoon|second|minute|hour|day|week|month|year|decade|dollar|cent|euro|degree|franc|yen|rupee|peso|kilo)s?"
 )
+_UNIT_SIGN = re.compile(r"(?:[kMGmcdnµu](?:m|g|l|L|W|V|Hz|N|Pa|J|eV|Wh|bps)|[kMGT][Bb]|[mg]|Hz|km/h|m/s|°[CF])[²³23]?")
 _EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,/:]*%?(?:st|nd|rd|th)?")
 _QUANTITY = re.compile(r"[$€£]?[+-]?\d[\d.,/:]*-?[^\W\d_]+")
 _STOP = re.compile(r"[.!?…:][\"')\]»”’]*$")
 
 
+def _placeholder(core: str, low: str) -> str | None:
+    """The type of a number, quantity or unit."""
+    if not low.isalpha():
+        if _NUMBER.fullmatch(low) or "-" in low and _NUMERAL.fullmatch(low):
+            return "<number>"
+        if _QUANTITY.fullmatch(low):
+            return "<quantity>"
+    elif low not in ("and", "a") and _NUMERAL.fullmatch(low):
+        return "<number>"
+    if len(core) < 6 and _UNIT_SIGN.fullmatch(core) or _UNIT_WORD.fullmatch(low):
+        return "<unit>"
+    return None
+
+
 def template_token(word: str, starts: bool) -> tuple[str, str | None]:
     """The template form of a word ("" for bare punctuation) and, if that is a
     placeholder, the slot's value. A capitalised word is a name unless it
-    starts a sentence."""
-    core = _EDGES.sub("", word)
+    starts a sentence; one with capitals inside it always is."""
+    core = word if word.isalnum() else _EDGES.sub("", word)
     low = core.lower()
     if not low:
         return "", None
-    if _NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-        return "<number>", low
-    if _QUANTITY.fullmatch(low):
-        return "<quantity>", low
-    if low in UNITS:
-        return "<unit>", low
-    if core[0].isupper() and not starts:
+    if kind := _placeholder(core, low):
+        return kind, low
+    if core != low and (not starts and core[0].isupper() or core[1:] != low[1:] and not core.isupper()):
         return "<name>", low
     return low, None
 
 
-class Templates(dict):
-    """Word (bytes) -> its place in parallel lists: hashes of its template
-    token inside and at the start of a sentence (0: none), whether it ends one,
+def _properties(word: str) -> tuple[int, int, bool, int]:
+    """What Templates keeps of a word."""
+    core = word if word.isalnum() else _EDGES.sub("", word)
+    low = core.lower()
+    plain = xxhash.xxh64_intdigest(low) or 1
+    folded = plain if low.isascii() and low else xxhash.xxh64_intdigest((core or word).casefold())
+    ends = word[-1] not in core[-1:] and _STOP.search(word) is not None
+    if not low:
+        return 0, 0, ends, folded
+    if core == low:
+        inside = start = _type_hash(kind) if (kind := _placeholder(core, low)) else plain
+    else:
+        inside, start = (plain if token == low else _type_hash(token) for token in (template_token(core, False)[0], template_token(core, True)[0]))
+    return inside, start, ends, folded
+
+
+@lru_cache
+def _type_hash(kind: str) -> int:
+    return xxhash.xxh64_intdigest(kind)
+
+
+class Templates:
+    """What a worker remembers of words: hashes of the template token inside and
+    at the start of a sentence (0: none), whether the word ends one, and the
     hash of the case-folded word without punctuation at its edges (bare
     punctuation is kept)."""
 
     def __init__(self):
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.inside, self.start, self.ends, self.folded = [], [], [], []
-
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        for into, starts in ((self.inside, False), (self.start, True)):
-            token = template_token(text, starts)[0]
-            into.append(xxhash.xxh64_intdigest(token) or 1 if token else 0)
-        self.ends.append(_STOP.search(text) is not None)
-        self.folded.append(xxhash.xxh64_intdigest((_EDGES.sub("", text) or text).casefold()))
-        self[word] = n = len(self.ends) - 1
-        return n
+        self.memo = HashMemo(MEMO, inside=np.uint64, start=np.uint64, ends=bool, folded=np.uint64)
 
     def tokens(self, texts: list[bytes]):
-        """For each text: hashes of its template tokens, its words, the places
-        of the tokens in them, whether each word starts a sentence, the hashes
-        of all case-folded words, and those of the tokens in the other form,
-        inside for at the start of a sentence and the reverse."""
-        if len(self) > MEMO:
-            self.reset()
-        split = [t.split() for t in texts]
-        places = [np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)) for words in split]
-        inside, start, ends = np.array(self.inside, dtype=np.uint64), np.array(self.start, dtype=np.uint64), np.array(self.ends, dtype=bool)
-        folded = np.array(self.folded, dtype=np.uint64)
-        for words, at in zip(split, places):
-            starts = np.concatenate([[True], ends[at][:-1]]) if len(at) else np.zeros(0, bool)
-            hashes = np.where(starts, start[at], inside[at])
-            other = np.where(starts, inside[at], start[at])
-            real = np.flatnonzero(hashes)
-            yield hashes[real], words, real, starts, folded[at], other[real]
-
-
-def _slots(words: list[bytes], real, starts, at: int, n: int, other: bool = False) -> tuple[list, int]:
-    """Slots of the window at ``at`` as "type:value", and its number of literals;
-    with ``other`` its first word is taken in the other form."""
-    forms = [template_token(words[real[k]].decode("utf-8", "replace"), bool(starts[real[k]]) != (other and k == at)) for k in range(at, at + n)]
-    slots = [f"{kind}{value}" for kind, value in forms if value is not None]
-    return slots, n - len(slots)
+        """Of all words of the texts in order: their four properties, whether each
+        starts a sentence, and the bounds of the texts."""
+        hashes, bounds = hash_words(texts)
+
+        def learn(first):
+            owner = np.searchsorted(bounds, first, side="right") - 1
+            words, now, split = [""] * len(first), None, []
+            for k in np.argsort(first).tolist():
+                if owner[k] != now:
+                    now, split = owner[k], texts[owner[k]].split()
+                words[k] = split[first[k] - bounds[now]].decode("utf-8", "replace")
+            inside, start, ends, folded = zip(*map(_properties, words))
+            return {"inside": np.array(inside, dtype=np.uint64), "start": np.array(start, dtype=np.uint64), "ends": ends, "folded": np.array(folded, dtype=np.uint64)}
+
+        rows = self.memo.rows(hashes, learn) if len(hashes) else np.zeros(0, dtype=np.int64)
+        inside, start, ends, folded = (self.memo[c][rows] for c in ("inside", "start", "ends", "folded"))
+        starts = np.concatenate([[True], ends[:-1]])[: len(rows)]
+        starts[bounds[:-1][bounds[:-1] < len(rows)]] = True
+        return inside, start, folded, starts, bounds
 
 
 WINDOWS = "id long, row long, form int, at int, size int, need int, hash long, slots array<string>"
 
 
-def _within(only: np.ndarray | None, grams: np.ndarray):
-    """Places of the hashes that are in the sorted ``only`` (None: all)."""
-    if only is None:
-        return range(len(grams))
-    if not len(grams) or not len(only):
-        return ()
-    place = np.searchsorted(only, grams)
-    place[place == len(only)] = 0
-    return np.flatnonzero(only[place] == grams)
-
-
-def _mixed(places: np.ndarray, n: int, m: int) -> np.ndarray:
-    """Starts of the m windows of n tokens that hold one of the places."""
-    edge = np.zeros(m + n, dtype=np.int64)
-    np.add.at(edge, np.maximum(places - n + 1, 0), 1)
-    np.add.at(edge, np.minimum(places + 1, m), -1)
-    return np.flatnonzero(np.cumsum(edge[:m]) > 0)
-
-
-def _rolled(first: np.ndarray, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hashes, as hash_grams has them, of the windows at the places ``at`` with
-    their first tokens from ``first``."""
-    out = first[at]
-    for i in range(1, n):
-        out = out * GRAM_FACTOR + tokens[at + i]
-    return mix64(out) ^ np.uint64(n)
-
-
-def _whole(folded: np.ndarray, n: int) -> np.ndarray:
-    return hash_grams(folded, n) ^ np.uint64(n) ^ _WHOLE_SALT
+def _slots(words: list[str], starts, apart: bool) -> tuple[list, int]:
+    """Slots of a window as "type:value", and its number of literals; ``apart``
+    takes words at the start of a sentence as such, else as names if capitalised."""
+    forms = [template_token(w, bool(s) and apart) for w, s in zip(words, starts)]
+    slots = [f"{kind}{value}" for kind, value in forms if value is not None]
+    return slots, len(words) - len(slots)
+
+
+class Slice:
+    """The windows of some texts: of the words that are no bare punctuation, read
+    with sentence starts apart, without, and case-folded; and of all words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        self.inside, start, self.folded, self.starts, self.bounds = worker_memory("templates", Templates).tokens(texts)
+        self.real = np.flatnonzero(self.inside)
+        tokens = np.where(self.starts, start, self.inside)
+        self.forms = [x[self.real] for x in (tokens, self.inside, self.folded)]
+        self.split = {}
+
+    def _within(self, places: np.ndarray, n: int) -> np.ndarray:
+        """Which runs of n of the words at ``places`` lie in one text."""
+        text = np.searchsorted(self.bounds, places, side="right")
+        return text[: max(len(places) - n + 1, 0)] == text[n - 1 :]
+
+    def windows(self, n: int):
+        """(form, sentence starts apart, starts of windows, their hashes); a form
+        of a window that equals an earlier form of it is left out."""
+        good = self._within(self.real, n)
+        made = []
+        for form, apart, tokens in zip((TEMPLATE, TEMPLATE, FOLDED), (True, False, False), self.forms):
+            grams = hash_grams(tokens, n) ^ np.uint64(n)
+            new = good.copy()
+            for before in made:
+                new &= grams != before
+            made.append(grams)
+            at = np.flatnonzero(new)
+            yield form, apart, at, grams[at]
+
+    def whole(self, n: int):
+        """The same of all words, case-folded."""
+        at = np.flatnonzero(self._within(np.arange(len(self.folded)), n))
+        return at, (hash_grams(self.folded, n) ^ np.uint64(n) ^ _WHOLE_SALT)[at]
+
+    def place(self, at: int, whole: bool) -> tuple[int, int]:
+        """Text of a window and its place among the text's tokens or words."""
+        text = int(np.searchsorted(self.bounds, at if whole else self.real[at], side="right")) - 1
+        first = self.bounds[text]
+        return text, int(at - (first if whole else np.searchsorted(self.real, first)))
+
+    def slots(self, at: int, n: int, apart: bool) -> tuple[list, int]:
+        places = self.real[at : at + n]
+        text = int(np.searchsorted(self.bounds, places[0], side="right")) - 1
+        if text not in self.split:
+            self.split = {text: self.texts[text].split()}
+        words = [self.split[text][i - self.bounds[text]].decode("utf-8", "replace") for i in places]
+        return _slots(words, self.starts[places], apart)
 
 
 def _windows(table: DataFrame, key: str, text: str, windows_of) -> DataFrame:
-    """The WINDOWS rows that windows_of gives for what Templates.tokens gives for a text."""
+    """The WINDOWS rows that windows_of gives for a Slice: of each the text's
+    number, form, place, size, need, hash and slots."""
 
     def run(batches):
-        memo = Templates()
         for batch in batches:
             rows = [(k.as_py(), t.as_py() or b"") for k, t in zip(batch.column(0), batch.column(1))]
             for some in in_slices(rows, lambda r: len(r[1])):
-                out = []
-                for (doc, t), tokens in zip(some, memo.tokens([t for _, t in some])):
-                    if found := list(windows_of(*tokens)):
-                        row = xxhash.xxh64_intdigest(t) - (1 << 63)
-                        out += [(doc, row, *f) for f in found]
+                hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in some]
+                out = [(some[t][0], hashes[t], *f) for t, *f in windows_of(Slice([t for _, t in some]))]
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
                     names = ["id", "row", "form", "at", "size", "need", "hash", "slots"]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
-        memo.reset()
         give_back()
 
     return table.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(run, WINDOWS)
@@ -171,57 +217,63 @@ def _windows(table: DataFrame, key: str, text: str, windows_of) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """Windows of template tokens of the items: id, row (a hash of the text),
-    form, position, size, hash, slot values; each also as its case-folded words
-    if these differ. An item without a window of
-    MIN_WINDOW tokens and MIN_LITERALS literals has all windows of its
-    case-folded words instead (form WHOLE), of which a copy holds ``need``: all."""
-
-    def windows_of(hashes, words, real, starts, folded, other):
-        n, good = min(WINDOW, len(hashes)), False
-        if n >= MIN_WINDOW:
-            grams, plain = hash_grams(hashes, n) ^ np.uint64(n), hash_grams(folded[real], n) ^ np.uint64(n)
-            for i in range(len(grams)):
-                slots, literals = _slots(words, real, starts, i, n)
-                if literals >= MIN_LITERALS:
-                    good = True
-                    yield TEMPLATE, i, n, 0, int(grams[i].astype(np.int64)), slots
-                    if plain[i] != grams[i]:
-                        yield FOLDED, i, n, 0, int(plain[i].astype(np.int64)), []
-        if not good and len(folded):
-            n = min(WINDOW, len(folded))
-            grams = _whole(folded, n).view(np.int64)
-            for i in range(len(grams)):
-                yield WHOLE, i, n, len(grams), int(grams[i]), []
+    form, position, size, hash, slot values. A window whose words at the start of
+    sentences may be names has a second template, and a third form is its
+    case-folded words. An item without a window of MIN_WINDOW tokens and
+    MIN_LITERALS literals has all windows of its case-folded words instead (form
+    WHOLE), of which a copy holds ``need``: all."""
+
+    def windows_of(some: Slice):
+        for t in range(len(some.texts)):
+            one = Slice(some.texts[t : t + 1])
+            n, good = min(WINDOW, len(one.real)), set()
+            for form, apart, at, grams in one.windows(n) if n >= MIN_WINDOW else ():
+                for i, gram in zip(at.tolist(), grams.view(np.int64).tolist()):
+                    slots, literals = one.slots(i, n, apart)
+                    if form == TEMPLATE and literals >= MIN_LITERALS:
+                        good.add(i)
+                        yield t, form, i, n, 0, gram, slots
+                    elif form == FOLDED and i in good:
+                        yield t, form, i, n, 0, gram, []
+            if not good and len(one.folded):
+                n = min(WINDOW, len(one.folded))
+                at, grams = one.whole(n)
+                for i, gram in zip(at.tolist(), grams.view(np.int64).tolist()):
+                    yield t, WHOLE, i, n, len(at), gram, []
 
     return _windows(benchmark, key, text, windows_of)
 
 
-def document_windows(docs: DataFrame, key: str, text: str, sizes: dict[int, list[int]], only: np.ndarray | None) -> DataFrame:
-    """The same of documents, for the window sizes of each form. A window whose
-    first word depends on whether it starts a sentence has a second template:
-    before an item there may be no full stop, or one that the item lacks.
-    ``only`` (sorted hashes) keeps windows whose hash is in it."""
-    sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+def window_filter(items: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, as uint64 words: those at the hashes of the windows."""
+    bit = F.col("hash").bitwiseAND(FILTER_BITS - 1)
+    words = items.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def document_windows(docs: DataFrame, key: str, text: str, sizes: dict[int, list[int]], known: np.ndarray) -> DataFrame:
+    """The same of documents, in all forms, for the window sizes of each form and
+    as far as ``known`` (see window_filter) has their hashes."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def passed(at, grams):
+        bit = grams & np.uint64(FILTER_BITS - 1)
+        hit = (sent.value[bit >> np.uint64(6)] >> (grams & np.uint64(63))) & np.uint64(1) == 1
+        return zip(at[hit].tolist(), grams[hit].view(np.int64).tolist())
 
-    def windows_of(hashes, words, real, starts, folded, other):
-        known = None if sent is None else sent.value
-        plain = folded[real]
+    def windows_of(some: Slice):
         for n in sizes.get(TEMPLATE, ()):
-            grams = hash_grams(hashes, n) ^ np.uint64(n)
-            for i in _within(known, grams):
-                yield TEMPLATE, int(i), n, 0, int(grams[i].astype(np.int64)), _slots(words, real, starts, i, n)[0]
-            at = np.flatnonzero(other[: len(grams)] != hashes[: len(grams)])
-            grams = _rolled(other, hashes, at, n)
-            for i in _within(known, grams):
-                yield TEMPLATE, int(at[i]), n, 0, int(grams[i].astype(np.int64)), _slots(words, real, starts, at[i], n, True)[0]
-            at = _mixed(np.flatnonzero(plain != hashes), n, max(len(hashes) - n + 1, 0))
-            grams = _rolled(plain, plain, at, n)
-            for i in _within(known, grams):
-                yield FOLDED, int(at[i]), n, 0, int(grams[i].astype(np.int64)), []
+            for form, apart, at, grams in some.windows(n):
+                for i, gram in passed(at, grams):
+                    t, place = some.place(i, False)
+                    yield t, form, place, n, 0, gram, some.slots(i, n, apart)[0] if form == TEMPLATE else []
         for n in sizes.get(WHOLE, ()):
-            grams = _whole(folded, n)
-            for i in _within(known, grams):
-                yield WHOLE, int(i), n, 0, int(grams[i].astype(np.int64)), []
+            for i, gram in passed(*some.whole(n)):
+                t, place = some.place(i, True)
+                yield t, WHOLE, place, n, 0, gram, []
 
     return _windows(docs, key, text, windows_of)
 
@@ -250,11 +302,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", it
     sizes = {}
     for form, size in sorted(items.select("form", "size").distinct().collect()):  # at most 2 * WINDOW
         sizes.setdefault(form, []).append(size)
-    few = items.select("hash").distinct().limit(FILTER_MAX + 1)
-    only = np.array([r[0] for r in few.collect()], dtype=np.int64).view(np.uint64) if few.count() <= FILTER_MAX else None
-    windows = document_windows(docs, key, text, sizes, None if only is None else np.sort(only))
+    windows = document_windows(docs, key, text, sizes, window_filter(items))
     right = items.select(F.col("id").alias("item_id"), F.col("row").alias("_item_row"), F.col("form").alias("_item_form"), F.col("at").alias("_item_at"), F.col("need").alias("_need"), "hash", F.col("slots").alias("_item_slots"))
-    pairs = windows.join(right, "hash").withColumn("_diagonal", F.col("at") - F.col("_item_at"))
+    pairs = join_sized(windows, right, ["hash"], "inner", BROADCAST_WINDOWS).withColumn("_diagonal", F.col("at") - F.col("_item_at"))
     slots = F.transform(F.arrays_zip("_item_slots", "slots"), lambda s: F.struct(s["_item_slots"].alias("a"), s["slots"].alias("b")))
     # a window that meets in several forms is one
     forms = F.concat("form", "_item_form")

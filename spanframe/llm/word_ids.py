@@ -8,11 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from spanframe.llm.common import in_slices, mix64
+from spanframe.llm.common import in_slices, mix64, worker_memory
 from spanframe.llm.hash_memo import HashMemo
 
 #: Parts that a worker remembers, and letters that one call of the tokenizer gets at most.
-MEMO = 1_500_000
+MEMO = 1_200_000
 CALL = 1 << 18
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 20
@@ -183,7 +183,6 @@ class WordIds:
                 yield next(found) if p else self._by_words(t)
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """The worker's memory for a tokenizer."""
-    return WordIds(path)
+    return worker_memory(("ids", path), lambda: WordIds(path))
