@@ -21,16 +21,27 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, with
+    the scheme of Hadoop's default file system where it has none, so that it is the
+    same place for Spark and for the file readers inside tasks.
 
-    Only where the session names none (local tests) a fresh temporary folder
-    is made and set, once for the session.
+    Only where the session names none and runs on one machine, as in tests, a
+    temporary folder is made, once for the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spanframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spanframe-")
+        named = _own_dirs[app]
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}".rstrip("/")
+
+
+_own_dirs: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, label: str) -> str:

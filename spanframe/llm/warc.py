@@ -21,8 +21,9 @@ MIN_DEDUP = 1000
 SPLIT = 4 << 20
 READ = 1 << 20
 GZIP_MAGIC = b"\x1f\x8b\x08"
-#: A member whose headers do not end within this many decoded bytes is no record.
-MAX_HEADERS = 1 << 18
+#: A stored deflate block holds fewer bytes: members inside a member cannot follow
+#: one another for longer.
+STORED = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 RECORDS = "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -129,54 +130,91 @@ def decode_member(stream: Stream) -> tuple[bytes, int] | None:
                 return None
             if b"\r\n\r\n" in head:
                 checked = True
-            elif len(head) > MAX_HEADERS:
-                return None
     return (b"".join(parts), used - len(expand.unused_data)) if checked else None
 
 
-def owned_records(file, start: int, end: int):
-    """Decoded records whose members start in [start, end). Finds the first by
-    its magic number, follows members from there, and searches again after
-    bytes that are no sound member."""
+def members(file, start: int):
+    """(position, decoded record or None, position after it) of the sound members
+    from ``start`` on. Finds the first by its magic number, follows members from
+    there, and searches again after bytes that are no sound member."""
     stream = Stream(file, start)
-    while stream.at < end:
+    while True:
         found = stream.held.find(GZIP_MAGIC)
         if found < 0:
             keep = len(GZIP_MAGIC) - 1
             if len(stream.held) > keep:
                 stream.skip(len(stream.held) - keep)
-            if stream.at >= end or not stream.more():
+            if not stream.more():
                 return
             continue
         stream.skip(found)
-        if stream.at >= end:
-            return
         member = decode_member(stream)
         if member is None:
             stream.skip(1)
             continue
-        yield member[0]
+        yield stream.at, member[0], stream.at + member[1]
         stream.skip(member[1])
 
 
+def owned_records(file, start: int, end: int):
+    """Decoded records whose members start in [start, end).
+
+    A payload may itself hold members. Those from a range's first member on are
+    the file's own if each begins where the one before ends, over more bytes than
+    a stored block has or up to the file's end. Where that chain breaks, by such a
+    payload or by damage, members are followed from the file's beginning instead.
+    """
+    size, held, first, after = file.size(), [], None, None
+    for at, data, to in members(file, start):
+        if first is None and at >= end:
+            return
+        if first is not None and at != after:
+            break
+        if at < end:
+            held.append(data)
+        first, after = at if first is None else first, to
+        if to >= size or to >= end and to >= first + STORED:
+            yield from held
+            return
+    if start == 0 or first is not None:
+        for at, data, _ in members(file, 0):
+            if at >= end:
+                return
+            if at >= start:
+                yield data
+
+
+def _sha1(name: str | None) -> str | None:
+    """Hexadecimal form of a sha1 digest in base 32 or 16; None if it is neither."""
+    kind, _, value = (name or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[a-zA-Z2-7]{32}", value) else None
+
+
 def parse_record(data: bytes) -> tuple | None:
-    """A row of RECORDS and the payload; None for other record types. Raises if
-    a stored payload does not have the digest that its header names."""
+    """A row of RECORDS and the payload; None for other record types. Records of
+    other writers may lack a digest, or name one of the payload before decoding;
+    a record of this module's writer that differs from its digest raises."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
     kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = rest[: int(fields["content-length"])]
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdecimal() else rest.removesuffix(b"\r\n\r\n")
     http, _, payload = block.partition(b"\r\n\r\n")
     number = lambda field: int(m[1]) if (m := re.fullmatch(rf"<{URN}(-?\d+)>", fields.get(field, ""))) else None
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    named = _sha1(fields.get("warc-payload-digest"))
     if kind == "response":
-        size = len(payload)
-        if hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        if fields.get("warc-record-id", "").startswith(f"<{URN}") and named not in (None, digest):
+            raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
     else:
-        size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        size, digest = int(length[1]) if length else None, named
     return number("warc-record-id"), fields.get("warc-target-uri"), kind, number("warc-refers-to"), size, digest, payload
 
 
