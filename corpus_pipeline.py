@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights of the sources take it."""
-    return mixing.emit(docs.withColumn("_size", word_count(F.col("text"))), size="_size").select(*docs.columns)
+    return mixing.emit(docs, size=word_count(F.col("text")))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import group_key, hex_number, join_sized, materialize, ranked
@@ -70,12 +70,15 @@ def mix(docs: DataFrame, size: str, *, key: str = "doc_id", source: str = "sourc
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = hex_number(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_source"))), 1, 8) / F.lit(4294967296.0)
     passed = lambda rank: F.floor(offset + rate * rank)
-    t = t.withColumn("copies", (passed(F.col("_rank")) - passed(F.col("_rank") - 1)).cast("long"))
+    t = t.withColumn("copies", F.least((passed(F.col("_rank")) - passed(F.col("_rank") - 1)).cast("long"), F.lit(max_repeat).cast("long")))
     return t.withColumn("taken", F.col("copies") * F.col(size)).drop("_source", "_hash", "_cell", "_rank", "_z", "_p")
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    columns = docs.columns
-    mixed = mix(docs, **options).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+def emit(docs: DataFrame, *, size: str | Column, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken. ``size``
+    is a column or an expression over ``docs``. The rows' own columns travel as one
+    struct, so that none is taken for a new column of the same name."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own")
+    t = docs.select(own, F.col(key).alias("_key"), F.col(source).alias("_from"), (F.col(size) if isinstance(size, str) else size).alias("_size"))
+    mixed = mix(t, "_size", key="_key", source="_from", **options).where("copies > 0")
+    return mixed.select("_own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_own.*")

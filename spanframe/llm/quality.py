@@ -119,11 +119,14 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return judge(docs, fit_ratios(docs, labels), **options)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    The row number keeps the optimizer from moving the filter below the columns
-    that it is made of, which would compute each of them again for every use.
+    Those travel as one struct, so that none is taken for a new column of the same
+    name. The row number keeps the optimizer from moving the filter below the
+    columns that it is made of, which would compute each of them again for every use.
     """
-    judged = quality(docs, labels, **options).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    ratios = fit_ratios(docs, labels, text=text)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), F.col(text).alias("_text"))
+    judged = judge(own, ratios, text="_text", **options).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select("_own.*")
