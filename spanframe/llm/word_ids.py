@@ -12,10 +12,10 @@ from spanframe.llm.common import in_slices, mix64, worker_memory
 from spanframe.llm.hash_memo import HashMemo
 
 #: Parts that a worker remembers, and letters that one call of the tokenizer gets at most.
-MEMO = 1_200_000
+MEMO = 600_000
 CALL = 1 << 18
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: The pre-tokenizer pattern under which letters, digits and other signs part (fixed value).
 _PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
@@ -49,17 +49,21 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
     return kinds, lower
 
 
-@lru_cache(maxsize=2)
-def _powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(factor: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """factor**i and factor**-i modulo 2**64 for i < n."""
-    inverse = np.uint64(pow(factor, -1, 1 << 64))
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, f)]), dtype=np.uint64) for f in (np.uint64(factor), inverse))
+    if factor not in _powers.known or len(_powers.known[factor][0]) < n:
+        inverse = np.uint64(pow(int(factor), -1, 1 << 64))
+        one = np.ones(1, dtype=np.uint64)
+        _powers.known[factor] = tuple(np.cumprod(np.concatenate([one, np.full(n - 1, f)]), dtype=np.uint64) for f in (factor, inverse))
+    return _powers.known[factor]
+
+
+_powers.known = {}
 
 
 def _hashes(chars: np.ndarray, begin: np.ndarray, end: np.ndarray, factor: np.uint64) -> np.ndarray:
     """64-bit hashes of the runs chars[begin:end]."""
-    size = 1 << max(21, int(len(chars) - 1).bit_length())
-    up, down = _powers(int(factor), size)
+    up, down = _powers(factor, len(chars))
     total = np.zeros(len(chars) + 1, dtype=np.uint64)
     np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=total[1:])
     return mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
