@@ -49,14 +49,10 @@ class Model:
     @cached_property
     def events(self) -> DataFrame:
         """fight_id, event_id, frame, k, source, corner, fighter_id, action, state, target, success, value."""
-        t = self.table("events").select(
-            F.col("user_id").cast("long").alias("fight_id"),
-            F.col("event_id").cast("long").alias("event_id"),
-            F.expr("cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 6e7) as bigint) + 1").alias("frame"),
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
-            "event_type",
-            "value",
-        )
+        frame = F.expr("cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 6e7) as bigint) + 1").alias("frame")
+        k = F.get_json_object("props", "$.k").cast("int").alias("k")
+        # a generator of one row: else the optimizer parses the JSON anew for every use of k
+        t = self.table("events").select(F.col("user_id").cast("long").alias("fight_id"), F.col("event_id").cast("long").alias("event_id"), F.inline(F.array(F.struct(frame, k))), "event_type", "value")
         t = t.withColumn("source", F.when(F.col("k") % 2 == 0, "prediction").otherwise("label"))
         place = F.expr("(k div 2) % 4").cast("int") + 1
         pick = lambda values: F.element_at(F.array(*map(F.lit, values)), place)
