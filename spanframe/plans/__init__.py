@@ -1,6 +1,6 @@
 """Registered queries, by the operator that they apply."""
 
-from spanframe.plans import events, quality_checks, spans, statistics  # noqa: F401
+from spanframe.plans import events, quality_checks, scalars, spans, statistics  # noqa: F401
 from spanframe.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
