@@ -2,13 +2,17 @@
 
 A window is 13 consecutive words of one document. Each window has an anchor, the
 word 5-gram of smallest hash inside it; equal windows have equal anchors. The
-windows of one anchor place form a segment of words. Segments whose anchor also
-occurs in another document go to the shard of their anchor, so that equal windows
-meet in one shard, and a shard's size follows the repeated text only. A shard
-indexes its distinct segments and runs them through backward search: 13 steps
-give each window's interval in the suffix array, and the smallest document
-number in that interval says who had it first. An anchor with more words than a
-block is not indexed in one shard: its windows are dealt out each by its own hash.
+windows of one anchor place form a segment of words. Anchors only route: the
+segments whose anchor also occurs in another document go to the shard of their
+anchor, so that equal windows meet in one shard, and a shard's size follows the
+repeated text only. Segments of an anchor that would overfill a shard are cut into
+their windows, which are routed each by its own hash.
+
+A shard indexes its distinct segments and streams the documents' segments through
+backward search. That gives matching statistics: for every word the longest run of
+words ending there that a segment of an earlier document holds, that is, whose
+interval in the suffix array holds an earlier owner. Runs of 13 words and more are
+reported as intervals.
 """
 
 from __future__ import annotations
@@ -18,14 +22,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import hash_grams, hash_words, in_slices, join_sized, materialize, mix64, release
+from spanframe.llm.common import give_back, hash_grams, hash_words, in_slices, join_sized, materialize, mix64, release
 
 WORDS = 13
 ANCHOR = 5
-#: Words of a shard's block, which is cut between anchors.
+#: Words that a shard's index holds; it is cut between anchors.
 BLOCK_WORDS = 300_000
 #: Bytes kept of a word's hash in a segment.
 PACKED = 6
@@ -38,29 +42,42 @@ LAST = (1 << 63) - 1
 # ---------------------------------------------------------------- FM-index
 
 
+class BitVector:
+    """Packed bits in words of 64. Words of equal bits, which fill the runs that
+    repeated text leaves in the transform, are kept as their kind only."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        words = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words))]).astype(np.int32)
+        mixed = (words != 0) & (words != ~np.uint64(0))
+        # place among the mixed words, or -1 (all zero) and -2 (all one)
+        self.place = np.where(mixed, np.cumsum(mixed) - 1, np.where(words == 0, -1, -2)).astype(np.int32)
+        self.words = np.concatenate([words[mixed], [~np.uint64(0), np.uint64(0)]])
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Set bits before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[self.place[word]] & mask).astype(np.int64)
+
+
 class WaveletMatrix:
-    """Rank over a sequence of symbols: one packed bit vector per symbol bit,
-    each with a directory of the ones before every 64-bit word."""
+    """Rank over a sequence of symbols: one bit vector per symbol bit."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = []
         left = symbols.astype(np.uint32)
         for shift in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             bits = ((left >> np.uint32(shift)) & np.uint32(1)).astype(bool)
-            packed = np.packbits(bits, bitorder="little")
-            words = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view("<u8")
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words))]).astype(np.int64)
-            zeros = len(bits) - int(bits.sum())
-            self.levels.append((np.uint32(shift), words, before, zeros))
+            self.levels.append((np.uint32(shift), BitVector(bits), len(bits) - int(bits.sum())))
             left = np.concatenate([left[~bits], left[bits]])
         # where each symbol's run starts at the bottom
         self.starts = self._descend(np.arange(sigma, dtype=np.uint32), np.zeros(sigma, dtype=np.int64))
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for shift, words, before, zeros in self.levels:
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[word] + np.bitwise_count(words[word] & mask).astype(np.int64)
+        for shift, vector, zeros in self.levels:
+            ones = vector.ones(at)
             at = np.where((symbols >> shift) & np.uint32(1), zeros + ones, at - ones)
         return at
 
@@ -91,7 +108,7 @@ class FMIndex:
         lengths = np.array([len(s) + 1 for s in sequences])
         text = np.concatenate([np.append(s, 0) for s in sequences])
         order = sorted_suffixes(text, depth)
-        self.source = np.repeat(np.arange(len(sequences)), lengths)[order]
+        self.source = np.repeat(np.arange(len(sequences), dtype=np.int32), lengths)[order]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.bwt = WaveletMatrix(text[order - 1], sigma)
         self.text, self.starts = text, np.cumsum(lengths) - lengths
@@ -113,33 +130,72 @@ class FMIndex:
         return low, high
 
 
-def range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low:high]) for each pair, by a table of power-of-two runs."""
-    span = np.frexp(high - low)[1] - 1
-    out, table = np.empty(len(low), dtype=values.dtype), values
-    for k in range(int(span.max(initial=0)) + 1):
-        here = np.flatnonzero(span == k)
-        out[here] = np.minimum(table[low[here]], table[high[here] - (1 << k)])
-        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table
-    return out
-
-
-def first_owners(segments: list[np.ndarray], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every window of every segment the smallest owner of a segment that
-    has the same window; at least ``length`` words a segment."""
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the patterns of [low, high) with a symbol before them."""
+        code = symbol.astype(np.uint32)
+        return self.before[symbol] + self.bwt.rank(code, low), self.before[symbol] + self.bwt.rank(code, high)
+
+    def matching_statistics(self, patterns: list[np.ndarray], own: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """For every symbol of the ``patterns`` the length of the longest run ending
+        there, inside its pattern, that a sequence of a smaller owner holds.
+        ``own`` are the patterns' owners, ``owners`` the sequences'. All places
+        step to the left together; one leaves where no smaller owner is left."""
+        smallest = RangeMinima(owners[self.source])
+        stream = np.concatenate(patterns)
+        lengths = np.array([len(p) for p in patterns])
+        room = np.arange(len(stream)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        mine = np.repeat(own, lengths)
+        found = np.zeros(len(stream), dtype=np.int64)
+        live = np.arange(len(stream))
+        low, high = self.before[stream], self.before[stream + 1]
+        n = 0
+        while len(live):
+            good = smallest.below(low, high, mine[live])
+            live, low, high = live[good], low[good], high[good]
+            n += 1
+            found[live] = n
+            more = room[live] >= n
+            live = live[more]
+            low, high = self.step(stream[live - n], low[more], high[more])
+        return found
+
+
+class RangeMinima:
+    """Minima of runs of values, by a table of power-of-two runs."""
+
+    def __init__(self, values: np.ndarray):
+        self.names, ranks = np.unique(values, return_inverse=True)
+        self.tables = [ranks.astype(np.int32)]
+        while 1 << len(self.tables) <= len(values):
+            last, k = self.tables[-1], 1 << (len(self.tables) - 1)
+            self.tables.append(np.minimum(last[:-k], last[k:]))
+
+    def below(self, low: np.ndarray, high: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether min(values[low:high]) < limit; no for empty runs."""
+        limit = np.searchsorted(self.names, limit)
+        span = np.frexp(high - low)[1] - 1
+        out = np.zeros(len(low), dtype=bool)
+        for k in np.unique(span[high > low]).tolist():
+            here = np.flatnonzero((span == k) & (high > low))
+            table = self.tables[k]
+            out[here] = np.minimum(table[low[here]], table[high[here] - (1 << k)]) < limit[here]
+        return out
+
+
+def repeated_intervals(segments: list[np.ndarray], owners: np.ndarray, length: int) -> list[np.ndarray]:
+    """For every segment the intervals (begin, end inclusive) of at least ``length``
+    words that a segment of a smaller owner holds; none lies in another."""
     names, codes = np.unique(np.concatenate(segments), return_inverse=True)
-    cuts = np.cumsum([len(s) for s in segments])[:-1]
-    index = FMIndex(np.split(codes + 1, cuts), len(names) + 1, length)
-    counts = np.array([len(s) - length + 1 for s in segments])
-    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    places = np.repeat(index.starts, counts) + inner
-    low, high = index.intervals(places, length)
-    single = high - low == 1  # may be an unfinished search: nobody else has it
-    found = np.repeat(owners, counts)
-    many = np.flatnonzero(~single)
-    if len(many):
-        found[many] = range_minima(owners[index.source], low[many], high[many])
-    return np.split(found, np.cumsum(counts)[:-1])
+    sizes = np.array([len(s) for s in segments])
+    parts = np.split(codes + 1, np.cumsum(sizes)[:-1])
+    index = FMIndex(parts, len(names) + 1, int(sizes.max()))
+    found = index.matching_statistics(parts, owners, owners)
+    end = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = np.append(found[1:] == found[:-1] + 1, False)  # the next run holds this one
+    inside[np.cumsum(sizes) - 1] = False
+    report = (found >= length) & ~inside
+    pairs = np.stack([end - found + 1, end], axis=1)
+    return [p[r] for p, r in zip(np.split(pairs, np.cumsum(sizes)[:-1]), np.split(report, np.cumsum(sizes)[:-1]))]
 
 
 # ---------------------------------------------------------------- anchors
@@ -214,9 +270,14 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("d", "t", "text", "keys").mapInArrow(run, "d long, t long, start int, key long, sid long, words binary")
 
 
+SPANS = "array<struct<begin:int,end:int>>"
+
+
 def search_shards(distinct: DataFrame, length: int) -> DataFrame:
-    """sid, owners (the first document of each window) of distinct segments
-    (key, sid, words, first, last); none where no document comes after an owner."""
+    """sid, first, spans of distinct segments (key, sid, words, first, last): the
+    intervals of the first document's segment that earlier documents hold. Segments
+    without any that only the first document has are left out."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def block(rows):
         if not rows:
@@ -226,9 +287,9 @@ def search_shards(distinct: DataFrame, length: int) -> DataFrame:
         wide[:, :PACKED] = np.concatenate(packed)
         cuts = np.cumsum([len(p) for p in packed])[:-1]
         first = np.array([r[3] for r in rows], dtype=np.int64)
-        owners = first_owners(np.split(wide.view("<u8").reshape(-1), cuts), first, length)
-        hit = [(r[1], o) for r, o in zip(rows, owners) if o.min() < r[4]]
-        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.list_(pa.int64()))], ["sid", "owners"])
+        found = repeated_intervals(np.split(wide.view("<u8").reshape(-1), cuts), first, length)
+        hit = [(r[1], r[3], [{"begin": a, "end": b} for a, b in f.tolist()]) for r, f in zip(rows, found) if len(f) or r[3] < r[4]]
+        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64()), pa.array([h[2] for h in hit], kind)], ["sid", "first", "spans"])
 
     def run(batches):
         rows, held = [], 0
@@ -240,59 +301,47 @@ def search_shards(distinct: DataFrame, length: int) -> DataFrame:
                 rows.append(row)
                 held += len(row[2]) // PACKED
         yield from block(rows)
+        give_back()
 
     lined = distinct.select("key", "sid", "words", "first", "last").repartition("key").sortWithinPartitions("key")
-    return lined.mapInArrow(run, "sid long, owners array<long>")
+    return lined.mapInArrow(run, f"sid long, first long, spans {SPANS}")
 
 
-def crowded_hits(parts: DataFrame, length: int) -> DataFrame:
-    """d, t, at: the windows of segments (d, t, start, words) that an earlier
-    document also has, each window grouped by the hash of all its words."""
+def cut_into_windows(parts: DataFrame, length: int) -> DataFrame:
+    """Segments (d, t, start, key, sid, words) as their windows, each routed by its own hash."""
     window = lambda k: F.substring(F.col("words"), k * PACKED + 1, F.lit(length * PACKED))
     last = F.expr(f"length(words) div {PACKED} - {length}").cast("int")
-    ids = F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(window(k)))
-    each = parts.select("d", "t", "start", F.posexplode(ids).alias("_k", "wid"))
-    firsts = each.groupBy("wid").agg(F.min("d").alias("_first"), F.max("d").alias("_last")).where("_first < _last").select("wid", "_first")
-    return each.join(firsts, "wid").where("d > _first").select("d", "t", F.array(F.col("start") + F.col("_k")).alias("at"))
+    each = parts.select("d", "t", "start", F.posexplode(F.transform(F.sequence(F.lit(0), last), window)).alias("_k", "words"))
+    return each.select("d", "t", (F.col("start") + F.col("_k")).alias("start"), F.xxhash64("words").alias("key"), F.xxhash64("words", F.lit(1)).alias("sid"), "words")
 
 
 # ---------------------------------------------------------------- the operator
 
 
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
-    """d, t, begins, ends: the word spans (ends inclusive) that windows of
-    earlier documents cover, for each document (d, t, text) that has any.
-
-    Texts equal to an earlier document's are settled by their hash ``t`` alone.
-    """
-    plain = materialize(docs.select("d", "t"), "texts")
-    firsts = plain.groupBy("t").agg(F.min("d").alias("_first"), F.max("d").alias("_last")).where("_first < _last").select("t", "_first")
-    copies = materialize(plain.join(firsts, "t").where("d > _first").select("d", "t").distinct(), "copies")
-    single = join_sized(docs, copies, ["d", "t"], "left_anti", BROADCAST_DOCS)
-
-    of_key = Window.partitionBy("key")
-    shared = anchors(single, length).withColumn("_a", F.min("d").over(of_key)).withColumn("_b", F.max("d").over(of_key)).where("_a < _b")
-    shared = shared.groupBy("d").agg(F.collect_list("key").alias("keys"))
-    parts = materialize(segments(single.join(shared, "d"), length), "segments")
-    heavy = parts.groupBy("key").agg(F.sum(F.length("words")).alias("_bytes")).where(F.col("_bytes") > BLOCK_WORDS * PACKED)
+    """d, t, spans: the word intervals (begin, end inclusive, by begin) that windows
+    of earlier documents cover, for each document (d, t, text) that has any."""
+    found = materialize(anchors(docs, length), "anchors")
+    keys = found.groupBy("key").agg(F.min("d").alias("_a"), F.max("d").alias("_b")).where("_a < _b").select("key")
+    shared = found.join(materialize(keys, "keys"), "key").groupBy("d").agg(F.collect_list("key").alias("keys"))
+    parts = materialize(segments(docs.join(shared, "d"), length), "segments")
+    release(found)
+
+    firsts = lambda t: t.groupBy("key", "sid", "words").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    distinct = materialize(firsts(parts), "distinct")
+    heavy = distinct.groupBy("key").agg(F.sum(F.length("words")).alias("_bytes")).where(F.col("_bytes") > BLOCK_WORDS * PACKED)
     heavy = materialize(heavy.select("key"), "heavy")
-    crowded = not heavy.isEmpty()
-    calm = join_sized(parts, heavy, ["key"], "left_anti", BROADCAST_DOCS) if crowded else parts
-    distinct = calm.groupBy("key", "sid", "words").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    if not heavy.isEmpty():
+        crowded = cut_into_windows(join_sized(parts, heavy, ["key"], "left_semi", BROADCAST_DOCS), length)
+        parts = join_sized(parts, heavy, ["key"], "left_anti", BROADCAST_DOCS).unionByName(crowded)
+        distinct = join_sized(distinct, heavy, ["key"], "left_anti", BROADCAST_DOCS).unionByName(firsts(crowded))
     owners = search_shards(distinct, length)
-    hits = calm.select("d", "t", "start", "sid").join(owners, "sid")
-    earlier = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("d"), F.col("start") + k)), lambda x: x.isNotNull())
-    hits = hits.select("d", "t", earlier.alias("at")).where(F.size("at") > 0)
-    if crowded:
-        hits = hits.unionByName(crowded_hits(join_sized(parts, heavy, ["key"], "left_semi", BROADCAST_DOCS), length))
-    starts = hits.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
-    apart = lambda x, y: y - x > length
-    begins = F.filter("at", lambda x, i: (i == 0) | apart(F.get("at", i - 1), x))
-    ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | apart(x, F.get("at", i + 1)))
-    spans = starts.select("d", "t", begins.alias("begins"), F.transform(ends, lambda x: x + (length - 1)).alias("ends"))
-    whole = copies.select("d", "t", F.array(F.lit(0)).alias("begins"), F.array(F.lit((1 << 31) - 1)).alias("ends"))
-    spans = materialize(spans.unionByName(whole), "spans")
-    release(parts)
+    # all of a segment that an earlier document has whole; of its first document what the search found
+    hits = parts.select("d", "t", "start", "sid", F.expr(f"int(length(words) div {PACKED})").alias("_n")).join(owners, "sid")
+    whole = F.array(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("_n") - 1).alias("end")))
+    some = F.transform("spans", lambda x: F.struct((F.col("start") + x["begin"]).alias("begin"), (F.col("start") + x["end"]).alias("end")))
+    hits = hits.select("d", "t", F.when(F.col("d") > F.col("first"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
+    spans = materialize(hits.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
     return spans
 
 
@@ -309,18 +358,17 @@ def remove_repeats(docs: DataFrame, *, length: int = WORDS, with_text: bool = Fa
     t = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     t = t.withColumn("t", F.xxhash64("text"))
     spans = repeated_spans(t.select("d", "t", "text"), length)
-    joined = join_sized(t, spans, ["d", "t"], "left", BROADCAST_DOCS).select("doc_id", "text", "begins", "ends")
+    joined = join_sized(t, spans, ["d", "t"], "left", BROADCAST_DOCS).select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, begins, ends in zip(*(batch.column(i) for i in range(4))):
+            for doc, text, spans in zip(*(batch.column(i) for i in range(3))):
                 words = text.as_py().split()
                 kept, at = [], 0
-                if begins.is_valid and len(words) >= length:
-                    for a, b in zip(begins.as_py(), ends.as_py()):
-                        kept += words[at:a]
-                        at = b + 1
+                for span in spans.as_py() or ():
+                    kept += words[at : span["begin"]]
+                    at = max(at, span["end"] + 1)
                 kept += words[at:]
                 joined = b" ".join(kept)
                 out.append((doc.as_py(), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined)[: len(kinds)])
