@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import give_back, hash_grams, hash_words, in_slices, join_sized, materialize, mix64, release
@@ -35,6 +35,8 @@ BLOCK_WORDS = 300_000
 PACKED = 6
 #: Up to this many documents with removals their spans are broadcast.
 BROADCAST_DOCS = 300_000
+#: Ends the span of a text that an earlier document has whole.
+ALL = (1 << 31) - 1
 #: Stands for a null doc_id: later than every document.
 LAST = (1 << 63) - 1
 
@@ -320,28 +322,39 @@ def cut_into_windows(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """d, t, spans: the word intervals (begin, end inclusive, by begin) that windows
-    of earlier documents cover, for each document (d, t, text) that has any."""
-    found = materialize(anchors(docs, length), "anchors")
-    keys = found.groupBy("key").agg(F.min("d").alias("_a"), F.max("d").alias("_b")).where("_a < _b").select("key")
-    shared = found.join(materialize(keys, "keys"), "key").groupBy("d").agg(F.collect_list("key").alias("keys"))
-    parts = materialize(segments(docs.join(shared, "d"), length), "segments")
-    release(found)
-
-    firsts = lambda t: t.groupBy("key", "sid", "words").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-    distinct = materialize(firsts(parts), "distinct")
-    heavy = distinct.groupBy("key").agg(F.sum(F.length("words")).alias("_bytes")).where(F.col("_bytes") > BLOCK_WORDS * PACKED)
-    heavy = materialize(heavy.select("key"), "heavy")
+    of earlier documents cover, for each document (d, t, text) that has any.
+
+    Equal texts (by their hash ``t``) collapse into the first one's: all of a later
+    copy is covered, and what the first has of earlier texts the search finds.
+    """
+    plain = materialize(docs.select("d", "t"), "texts")
+    firsts = plain.groupBy("t").agg(F.min("d").alias("_first"), F.max("d").alias("_last")).where("_first < _last").select("t", "_first")
+    firsts = materialize(firsts, "firsts")
+    copies = join_sized(plain, firsts, ["t"], "inner", BROADCAST_DOCS).where("d > _first").select("d", "t").distinct()
+    copies = materialize(copies, "copies")
+    single = join_sized(docs, copies, ["d", "t"], "left_anti", BROADCAST_DOCS)
+
+    of_key = Window.partitionBy("key")
+    shared = anchors(single, length).withColumn("_a", F.min("d").over(of_key)).withColumn("_b", F.max("d").over(of_key)).where("_a < _b")
+    shared = shared.groupBy("d").agg(F.collect_list("key").alias("keys"))
+    parts = made = materialize(segments(single.join(shared, "d"), length), "segments")
+
+    distinct = lambda t: t.groupBy("key", "sid", "words").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    sizes = parts.groupBy("key", "sid").agg(F.max(F.length("words")).alias("_n")).groupBy("key").agg(F.sum("_n").alias("_bytes"))
+    heavy = materialize(sizes.where(F.col("_bytes") > BLOCK_WORDS * PACKED).select("key"), "heavy")
     if not heavy.isEmpty():
         crowded = cut_into_windows(join_sized(parts, heavy, ["key"], "left_semi", BROADCAST_DOCS), length)
         parts = join_sized(parts, heavy, ["key"], "left_anti", BROADCAST_DOCS).unionByName(crowded)
-        distinct = join_sized(distinct, heavy, ["key"], "left_anti", BROADCAST_DOCS).unionByName(firsts(crowded))
+    distinct = distinct(parts)
     owners = search_shards(distinct, length)
     # all of a segment that an earlier document has whole; of its first document what the search found
     hits = parts.select("d", "t", "start", "sid", F.expr(f"int(length(words) div {PACKED})").alias("_n")).join(owners, "sid")
     whole = F.array(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("_n") - 1).alias("end")))
     some = F.transform("spans", lambda x: F.struct((F.col("start") + x["begin"]).alias("begin"), (F.col("start") + x["end"]).alias("end")))
     hits = hits.select("d", "t", F.when(F.col("d") > F.col("first"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
-    spans = materialize(hits.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    spans = hits.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = materialize(spans.unionByName(copies.select("d", "t", F.expr(f"array(struct(0 as begin, {ALL} as end))").alias("spans"))), "spans")
+    release(made, plain, firsts, copies)
     return spans
 
 
@@ -366,7 +379,7 @@ def remove_repeats(docs: DataFrame, *, length: int = WORDS, with_text: bool = Fa
             for doc, text, spans in zip(*(batch.column(i) for i in range(3))):
                 words = text.as_py().split()
                 kept, at = [], 0
-                for span in spans.as_py() or ():
+                for span in (spans.as_py() or ()) if len(words) >= length else ():
                     kept += words[at : span["begin"]]
                     at = max(at, span["end"] + 1)
                 kept += words[at:]
