@@ -351,8 +351,13 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     hits = parts.select("d", "t", "start", "sid", F.expr(f"int(length(words) div {PACKED})").alias("_n")).join(owners, "sid")
     whole = F.array(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("_n") - 1).alias("end")))
     some = F.transform("spans", lambda x: F.struct((F.col("start") + x["begin"]).alias("begin"), (F.col("start") + x["end"]).alias("end")))
-    hits = hits.select("d", "t", F.when(F.col("d") > F.col("first"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
-    spans = hits.groupBy("d", "t").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    hits = hits.select("d", "t", F.inline(F.when(F.col("d") > F.col("first"), whole).otherwise(some)))
+    # overlapping intervals are one: a new one begins behind all ends before it
+    in_text = Window.partitionBy("d", "t").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("d", "t").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = hits.withColumn("_new", F.coalesce(F.col("begin") > F.max("end").over(in_text) + 1, F.lit(True)).cast("int")).withColumn("_i", F.sum("_new").over(so_far))
+    hits = hits.groupBy("d", "t", "_i").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = hits.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     spans = materialize(spans.unionByName(copies.select("d", "t", F.expr(f"array(struct(0 as begin, {ALL} as end))").alias("spans"))), "spans")
     release(made, plain, firsts, copies)
     return spans
