@@ -1,11 +1,14 @@
 """One-to-one matching and suppression of events, cut into independent groups first.
 
 A gap wider than the tolerance parts two events for good, so a fight falls into
-small groups that are solved apart; a fight with very many events is many groups.
+small groups that are solved apart. A fight dense all through is one group, in one
+task's memory: its rows, and a table of its pairs within the tolerance.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,23 +25,36 @@ def gap_groups(df: DataFrame, gap: int, *keys: str, frame: str = "frame", out: s
 def best_pairs(truth: np.ndarray, found: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
     """Most pairs within the tolerance, then least total offset, for two sorted
     lists of frames. On a line an optimum without crossings exists, so a table over
-    prefixes finds it; of equal ones earlier truth and earlier finds pair first."""
+    suffixes finds it; of equal ones earlier truth and earlier finds pair first.
+
+    Of row i only the columns [low, high] within the tolerance are held: before them
+    it is constant, behind them equal to the next row. Memory is the number of
+    pairs within the tolerance, not of all pairs.
+    """
     n, m = len(truth), len(found)
-    best = np.zeros((n + 1, m + 1, 2), dtype=np.int64)  # pairs, minus offset, of the suffixes
+    low, high = np.searchsorted(found, truth - tolerance, "left"), np.searchsorted(found, truth + tolerance, "right")
+    pair = tolerance * min(n, m) + 1  # one more pair outweighs all offsets
+    gains = [pair - np.abs(found[a:b].astype(np.int64) - int(t)) for t, a, b in zip(truth, low, high)]
+    rows: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    after, start = np.zeros(1, np.int64), m  # the next row and its first column
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            options = [tuple(best[i + 1, j]), tuple(best[i, j + 1])]
-            offset = abs(int(truth[i]) - int(found[j]))
-            if offset <= tolerance:
-                options.append((best[i + 1, j + 1, 0] + 1, best[i + 1, j + 1, 1] - offset))
-            best[i, j] = max(options)
+        a, b = low[i], high[i]
+        row = after[np.maximum(np.arange(a, b + 1), start) - start]
+        row[:-1] = np.maximum(row[:-1], row[1:] + gains[i])
+        rows[i] = after = np.maximum.accumulate(row[::-1])[::-1]
+        start = a
+
+    def best(i: int, j: int) -> int:
+        i = max(i, int(np.searchsorted(high, j, "left")))
+        return 0 if i >= n else int(rows[i][max(j, low[i]) - low[i]])
+
     pairs, i, j = [], 0, 0
     while i < n and j < m:
-        offset = abs(int(truth[i]) - int(found[j]))
-        if offset <= tolerance and tuple(best[i, j]) == (best[i + 1, j + 1, 0] + 1, best[i + 1, j + 1, 1] - offset):
+        here = best(i, j)
+        if low[i] <= j < high[i] and here == best(i + 1, j + 1) + int(gains[i][j - low[i]]):
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif tuple(best[i, j]) == tuple(best[i, j + 1]):
+        elif here == best(i, j + 1):
             j += 1
         else:
             i += 1
@@ -68,18 +84,22 @@ def match(truth: DataFrame, found: DataFrame, tolerance: int, *keys: str, frame:
     return both.groupBy(*keys, "group").applyInPandas(solve, schema).select(*keys, "truth_id", "found_id", "offset")
 
 
-def peaks(scores: DataFrame, radius: int, *keys: str, frame: str = "frame", score: str = "score", name: str = "event_id") -> DataFrame:
+def peaks(scores: DataFrame, radius: int, *keys: str, threshold: float | None = None, frame: str = "frame", score: str = "score", name: str = "event_id") -> DataFrame:
     """Greedy suppression: strongest first (ties: earlier frame, then id), dropping
-    what lies within ``radius`` frames of a kept row of its key."""
+    what lies within ``radius`` frames of a kept row of its key, and at once what
+    scores below ``threshold``."""
+    if threshold is not None:
+        scores = scores.where(F.col(score) >= threshold)
     t = gap_groups(scores.select(*keys, frame, score, name), radius, *keys)
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values([score, frame, name], ascending=[False, True, True])
         kept, at = [], []
         for i, f in enumerate(g[frame].to_numpy()):
-            if not at or np.abs(np.array(at) - f).min() > radius:
+            here = bisect_left(at, f)  # kept frames, sorted
+            if all(abs(x - f) > radius for x in at[max(here - 1, 0) : here + 1]):
                 kept.append(i)
-                at.append(f)
+                at.insert(here, f)
         return g.iloc[kept][list(group.columns)]
 
     return t.groupBy(*keys, "group").applyInPandas(keep, t.schema).drop("group")

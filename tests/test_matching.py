@@ -28,6 +28,40 @@ def test_best_pairs_is_optimal():
         assert (len(pairs), -sum(abs(truth[i] - found[j]) for i, j in pairs)) == exhaustive(truth, found, 6)
 
 
+def whole_table(truth, found, tol):
+    """The same optimum and the same choice among equals, by a table of all pairs."""
+    n, m = len(truth), len(found)
+    best = {(i, j): (0, 0) for i in range(n + 1) for j in range(m + 1)}
+    with_pair = lambda i, j: (best[i + 1, j + 1][0] + 1, best[i + 1, j + 1][1] - abs(truth[i] - found[j]))
+    near = lambda i, j: abs(truth[i] - found[j]) <= tol
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i, j] = max(best[i + 1, j], best[i, j + 1], *([with_pair(i, j)] if near(i, j) else []))
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if near(i, j) and best[i, j] == with_pair(i, j):
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i, j] == best[i, j + 1]:
+            j += 1
+        else:
+            i += 1
+    return pairs
+
+
+def test_best_pairs_chooses_as_the_whole_table():
+    rng = random.Random(11)
+    for _ in range(400):
+        truth, found = (sorted(rng.randrange(60) for _ in range(rng.randrange(25))) for _ in range(2))
+        tol = rng.choice([0, 1, 5, 20, 100])
+        assert best_pairs(np.array(truth, dtype=np.int64), np.array(found, dtype=np.int64), tol) == whole_table(truth, found, tol)
+
+
+def test_best_pairs_of_a_dense_fight():
+    frames = np.arange(30_000)
+    assert best_pairs(frames, frames + 2, 100) == [(i, i) for i in range(30_000)]
+
+
 def test_match_by_groups_equals_whole(spark):
     rng = random.Random(7)
     rows = [(f, rng.randrange(2), i, rng.randrange(4000)) for i in range(120) for f in (1, 2)]
@@ -48,3 +82,5 @@ def test_peaks(spark):
     rows = [(1, 1, 10, 0.5), (1, 2, 15, 0.9), (1, 3, 19, 0.8), (1, 4, 40, 0.1), (1, 5, 21, 0.9)]
     t = spark.createDataFrame(rows, "fight_id long, event_id long, frame long, score double")
     assert sorted(r.event_id for r in peaks(t, 5, "fight_id").collect()) == [2, 4, 5]
+    assert sorted(r.event_id for r in peaks(t, 5, "fight_id", threshold=0.5).collect()) == [2, 5]
+    assert sorted(r.event_id for r in peaks(t.union(t.selectExpr("fight_id", "event_id + 10", "frame + 100", "score / 2")), 5, "fight_id").collect()) == [2, 4, 5, 12, 14, 15]
