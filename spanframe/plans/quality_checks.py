@@ -81,6 +81,92 @@ def _(m):
     return t.select("fight_id", F.round(F.col("n") / MINUTES, 6).alias("per_min"), (F.col("n") / MINUTES).between(5, 60).alias("passed"))
 
 
+# The same checks as the rules have them: exact frames, minutes of the rounds, verdicts.
+
+#: Largest share of strikes in frames where both strike; most state changes a minute;
+#: shortest median dwell in seconds; least and most strikes a minute.
+MAX_MUTUAL, MAX_CHANGES, MIN_DWELL, STRIKE_RATE = 0.02, 15, 1, (5, 60)
+MINUTES_SQL = f"""fr AS (SELECT fight_id, max(frame) AS frames FROM ev GROUP BY fight_id), kr AS (SELECT * FROM rounds WHERE (fight_id + round_number) % 3 > 0 AND fight_id % 4 > 0),
+    mi AS (SELECT fight_id, coalesce(sum(end_frame - start_frame + 1), any_value(frames)) / {FPS} / 60 AS minutes, count(start_frame) AS n_rounds FROM fr LEFT JOIN kr USING (fight_id) GROUP BY fight_id)"""
+
+
+def round_minutes(rounds: DataFrame, frames: DataFrame, fps: int) -> DataFrame:
+    """Minutes of a fight's rounds; of a fight without any, of its whole video."""
+    length = F.sum(F.col("end_frame") - F.col("start_frame") + 1)
+    t = frames.join(rounds.groupBy("fight_id").agg(length.alias("_in"), F.count(F.lit(1)).alias("n_rounds")), "fight_id", "left")
+    return t.select("fight_id", (F.coalesce("_in", "frames") / fps / 60).alias("minutes"), F.coalesce("n_rounds", F.lit(0)).alias("n_rounds"))
+
+
+def some_rounds(m) -> DataFrame:
+    """Rounds of differing number; every fourth fight has none."""
+    return m.rounds.where("(fight_id + round_number) % 3 > 0 and fight_id % 4 > 0")
+
+
+def minutes(m) -> DataFrame:
+    return round_minutes(some_rounds(m), m.events.groupBy("fight_id").agg(F.max("frame").alias("frames")), FPS)
+
+
+@query("A-14-video", MINUTES_SQL + " SELECT fight_id, round(minutes, 6) AS minutes, n_rounds FROM mi")
+def _(m):
+    return minutes(m).withColumn("minutes", F.round("minutes", 6))
+
+
+@query(
+    "A-16-frames",
+    PS_SQL + f", f AS (SELECT fight_id, frame, count(*) AS n, count(DISTINCT corner) AS who FROM ps GROUP BY ALL) SELECT fight_id, count(*) FILTER (WHERE who = 2) AS frames, round(2 * count(*) FILTER (WHERE who = 2) / sum(n), 6) AS ratio, 2 * count(*) FILTER (WHERE who = 2) / sum(n) <= {MAX_MUTUAL} AS passed FROM f GROUP BY fight_id",
+)
+def _(m):
+    f = _strikes(m).groupBy("fight_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fighter").alias("who"))
+    t = f.groupBy("fight_id").agg(F.count_if(F.col("who") == 2).alias("frames"), F.sum("n").alias("n"))
+    ratio = F.col("frames") * 2 / F.col("n")
+    return t.select("fight_id", "frames", F.round(ratio, 6).alias("ratio"), (ratio <= MAX_MUTUAL).alias("passed"))
+
+
+@query("A-17-exact", PS_SQL + ", g AS (SELECT fight_id, frame, corner, action, count(*) AS n FROM ps GROUP BY ALL) SELECT fight_id, sum(n - 1)::BIGINT AS duplicates, sum(n - 1) = 0 AS passed FROM g GROUP BY fight_id")
+def _(m):
+    g = _strikes(m).groupBy("fight_id", "frame", "corner", "action").agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("fight_id").agg(F.sum(F.col("n") - 1).alias("duplicates")).withColumn("passed", F.col("duplicates") == 0)
+
+
+@query(
+    "A-18-rounds",
+    MINUTES_SQL
+    + f""", c AS (SELECT fight_id, (frame - lag(frame) OVER (PARTITION BY fight_id ORDER BY frame, event_id)) / {FPS} AS d FROM ev WHERE source = 'prediction' AND state IS NOT NULL),
+    g AS (SELECT fight_id, count(*) / any_value(minutes) AS per_min, list_sort(list(d) FILTER (WHERE d IS NOT NULL))[count(d) // 2 + 1] AS dwell, count(*) FILTER (WHERE d < 0.5) AS short FROM c JOIN mi USING (fight_id) GROUP BY fight_id)
+    SELECT fight_id, round(per_min, 6) AS per_min, per_min <= {MAX_CHANGES} AS rate_passed, round(dwell, 6) AS median_dwell, dwell >= {MIN_DWELL} AS dwell_passed, short FROM g""",
+)
+def _(m):
+    w = Window.partitionBy("fight_id").orderBy("frame", "event_id")
+    t = m.events.where("source = 'prediction' and state is not null").withColumn("d", (F.col("frame") - F.lag("frame").over(w)) / FPS)
+    t = t.groupBy("fight_id").agg(F.count(F.lit(1)).alias("n"), upper_median(F.collect_list("d")).alias("dwell"), F.count_if(F.col("d") < 0.5).alias("short")).join(minutes(m), "fight_id")
+    rate = F.col("n") / F.col("minutes")
+    return t.select("fight_id", F.round(rate, 6).alias("per_min"), (rate <= MAX_CHANGES).alias("rate_passed"), F.round("dwell", 6).alias("median_dwell"), (F.col("dwell") >= MIN_DWELL).alias("dwell_passed"), "short")
+
+
+@query(
+    "A-19-rounds",
+    MINUTES_SQL
+    + f""", {PS_SQL}, i AS (SELECT fight_id, count(*) FILTER (WHERE n_rounds = 0 OR EXISTS (FROM kr WHERE kr.fight_id = ps.fight_id AND ps.frame BETWEEN kr.start_frame AND kr.end_frame)) / any_value(minutes) AS rate FROM ps JOIN mi USING (fight_id) GROUP BY fight_id)
+    SELECT fight_id, round(rate, 6) AS per_min, rate BETWEEN {STRIKE_RATE[0]} AND {STRIKE_RATE[1]} AS passed FROM i""",
+)
+def _(m):
+    s = _strikes(m)
+    inside = contained(s, some_rounds(m)).groupBy("fight_id").agg(F.count(F.lit(1)).alias("n_in"))
+    t = s.groupBy("fight_id").agg(F.count(F.lit(1)).alias("n")).join(inside, "fight_id", "left").join(minutes(m), "fight_id")
+    rate = F.when(F.col("n_rounds") == 0, F.col("n")).otherwise(F.coalesce("n_in", F.lit(0))) / F.col("minutes")
+    return t.select("fight_id", F.round(rate, 6).alias("per_min"), rate.between(*STRIKE_RATE).alias("passed"))
+
+
+@query(
+    "A-49-rounds",
+    MINUTES_SQL + ", c AS (SELECT fight_id, count(*) FILTER (WHERE source = 'prediction' AND state IS NOT NULL) / any_value(minutes) AS p, count(*) FILTER (WHERE source = 'label' AND starts_with(action, 'state_')) / any_value(minutes) AS g FROM ev JOIN mi USING (fight_id) GROUP BY fight_id) SELECT fight_id, p > 3 * greatest(g, 0.1) AS flapping FROM c",
+)
+def _(m):
+    t = m.events.groupBy("fight_id").agg(F.count_if((F.col("source") == "prediction") & F.col("state").isNotNull()).alias("p"), F.count_if((F.col("source") == "label") & F.col("action").startswith("state_")).alias("g"))
+    t = t.join(minutes(m), "fight_id")
+    return t.select("fight_id", (F.col("p") / F.col("minutes") > 3 * F.greatest(F.col("g") / F.col("minutes"), F.lit(0.1))).alias("flapping"))
+
+
 def round_structure(rounds: DataFrame, frames: DataFrame, fps: int, min_round: float = 60.0, min_break: float = 30.0) -> DataFrame:
     """Short rounds before the last, gaps too short to be breaks, and whether the
     video can hold that many rounds."""
