@@ -115,3 +115,42 @@ def reconciled(clock: DataFrame, found: DataFrame, frames: DataFrame, key: str =
     kept = t.select(key, F.greatest(F.lit(1), start).alias("start_frame"), F.least("frames", end).alias("end_frame"), F.lit("clock").alias("source")).where("end_frame > start_frame")
     rest = found.join(kept.select(key).distinct(), key, "left_anti").select(key, "start_frame", "end_frame", F.lit("detection").alias("source"))
     return kept.unionByName(rest)
+
+
+#: The words of the verdicts.
+NO_ROUNDS, EMPTY = "No valid fight segments found", "Empty video"
+LOW_RATIO, TOO_SHORT = "Valid frame ratio too low: %.2f < 0.2", "Fight duration too short: %.1fs < 2.4s"
+GATE_FAILED = "Segmentation quality gate failed"
+NO_CLOCK = "Round count came from fighter detection alone — the scoreboard clock could not be fitted (timer read on %d%% of samples). Detection splits a round at any long camera cutaway, so the boundaries below are a guess."
+THIN = "%d of %d round(s) rest on fewer than 10 scoreboard readings (thinnest: %d) — the clock fit is under-determined"
+#: Least share of usable frames, least seconds of all rounds, readings of a sound fit.
+MIN_VALID, MIN_FIGHT, HEALTHY = 0.2, 2.4, 10
+
+
+def verdicts(rounds: DataFrame, clock: DataFrame, videos: DataFrame, fps: int, key: str = "fight_id") -> DataFrame:
+    """Whether a video's round list holds, why not, and whether to look at it.
+
+    ``rounds`` as ``reconciled`` gives them, ``clock`` with ``support`` (readings a
+    round rests on), ``videos`` with frames, valid_frames, timer_coverage; a video
+    without rounds or clock is judged too. The first rule that applies gives the reason.
+    """
+    r = rounds.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("length"), F.max("source").alias("source"))
+    thin = F.col("support") < HEALTHY
+    c = clock.groupBy(key).agg(F.count(F.lit(1)).alias("n_clock"), F.count_if(thin).alias("n_thin"), F.min("support").alias("worst"))
+    t = videos.join(r, key, "left").join(c, key, "left").fillna(0, ["n", "length", "n_clock", "n_thin"])
+    ratio = F.when(F.col("frames") > 0, F.col("valid_frames") / F.col("frames")).otherwise(0.0)
+    reason = (
+        F.when(F.col("n") == 0, F.when(F.col("frames") > 0, NO_ROUNDS).otherwise(EMPTY))
+        .when(ratio < MIN_VALID, F.format_string(LOW_RATIO, ratio))
+        .when(F.col("length") < MIN_FIGHT * fps, F.format_string(TOO_SHORT, F.col("length") / fps))
+        .otherwise("")
+    )
+    percent = F.bround(F.coalesce("timer_coverage", F.lit(0.0)) * 100).cast("int")
+    review = (
+        F.when(F.col("reason") != "", GATE_FAILED)
+        .when(~F.col("source").eqNullSafe("clock"), F.format_string(NO_CLOCK, percent))
+        .when(F.col("n_thin") > 0, F.format_string(THIN, "n_thin", "n_clock", "worst"))
+        .otherwise("")
+    )
+    t = t.withColumn("reason", reason).withColumn("review_reason", review)
+    return t.select(key, "n", (F.col("reason") == "").alias("is_valid"), "reason", (F.col("review_reason") != "").alias("needs_review"), "review_reason")

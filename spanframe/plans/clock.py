@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.operators import clock
+from spanframe.operators import clock, smoothing
 from spanframe.operators.clock import CONFIRM, MAX_BACKWARD, MAX_RESIDUAL, MIN_BREAK, MIN_INTERIOR, RESET_JUMP
 from spanframe.plans.registry import query
 from spanframe.sources.testdata import FPS, ROUND_FRAMES
@@ -139,3 +139,43 @@ def _(m):
 @query("I-07", RECONCILED_SQL + " SELECT fight_id, start_frame, end_frame, source FROM rc")
 def _(m):
     return clock.reconciled(clock_rounds(m), plausible(m), lengths(m))
+
+
+@query(
+    "A-45",
+    RECONCILED_SQL
+    + f""", {READ_SQL}, cv AS (SELECT fight_id, count(*) FILTER (WHERE k % 4 > 0) / count(*) AS cov FROM rd GROUP BY fight_id), vi AS (SELECT fight_id, frames, frames * (fight_id % 10) // 10 AS valid_frames, cov FROM fr JOIN cv USING (fight_id)),
+    ra AS (SELECT fight_id, count(*) AS n, sum(end_frame - start_frame + 1) AS length, any_value(source) AS source FROM rc GROUP BY fight_id), ca AS (SELECT fight_id, count(*) AS n_clock, count(*) FILTER (WHERE support < {clock.HEALTHY}) AS n_thin, min(support) AS worst FROM ck GROUP BY fight_id),
+    re AS (SELECT *, CASE WHEN coalesce(n, 0) = 0 THEN '{clock.NO_ROUNDS}' WHEN valid_frames / frames < {clock.MIN_VALID} THEN printf('{clock.LOW_RATIO}', valid_frames / frames) WHEN length < {clock.MIN_FIGHT * FPS} THEN printf('{clock.TOO_SHORT}', length / {FPS}) ELSE '' END AS reason
+        FROM vi LEFT JOIN ra USING (fight_id) LEFT JOIN ca USING (fight_id)),
+    rv AS (SELECT *, CASE WHEN reason <> '' THEN '{clock.GATE_FAILED}' WHEN source <> 'clock' THEN printf('{clock.NO_CLOCK}', round_even(cov * 100, 0)::INT) WHEN n_thin > 0 THEN printf('{clock.THIN}', n_thin, n_clock, worst) ELSE '' END AS review_reason FROM re)
+    SELECT fight_id, coalesce(n, 0) AS n, reason = '' AS is_valid, reason, review_reason <> '' AS needs_review, review_reason FROM rv""",
+)
+def _(m):
+    rounds = clock.reconciled(clock_rounds(m), plausible(m), lengths(m))
+    share = F.count("secs") / F.count(F.lit(1))
+    videos = lengths(m).join(ocr_samples(m).groupBy("fight_id").agg(share.alias("timer_coverage")), "fight_id").withColumn("valid_frames", F.floor(F.col("frames") * (F.col("fight_id") % 10) / 10))
+    return clock.verdicts(rounds, clock_rounds(m), videos, FPS)
+
+
+# ---------------------------------------------------------------- smoothing
+
+_W = "1 / (1 + 1 / (2 * pi() * {}) / dt)"
+
+
+@query(
+    "M-14",
+    f"""pt AS (SELECT fight_id, corner, frame, arg_max(value, event_id) AS x, max(event_id) % 10 / 10 AS confidence FROM ev WHERE value IS NOT NULL GROUP BY ALL),
+    su AS (SELECT *, row_number() OVER (PARTITION BY fight_id, corner ORDER BY frame) AS i, greatest(frame - lag(frame) OVER (PARTITION BY fight_id, corner ORDER BY frame), 1e-6) AS dt FROM pt WHERE confidence >= {smoothing.MIN_CONFIDENCE})
+    SELECT fight_id, corner, frame, round(smooth, 6) AS smooth FROM (
+        WITH RECURSIVE acc AS (
+            SELECT fight_id, corner, frame, i, x::DOUBLE AS smooth, 0::DOUBLE AS speed FROM su WHERE i = 1
+            UNION ALL
+            SELECT fight_id, corner, frame, i, ({_W.format(f"({smoothing.MIN_CUTOFF} + {smoothing.BETA} * abs(v))")}) * x + (1 - {_W.format(f"({smoothing.MIN_CUTOFF} + {smoothing.BETA} * abs(v))")}) * before, v FROM (
+                SELECT s.*, a.smooth AS before, ({_W.format(smoothing.D_CUTOFF)}) * (s.x - a.smooth) / dt + (1 - {_W.format(smoothing.D_CUTOFF)}) * a.speed AS v FROM acc a JOIN su s ON s.fight_id = a.fight_id AND s.corner = a.corner AND s.i = a.i + 1)
+        ) SELECT * FROM acc)
+    UNION ALL SELECT fight_id, corner, frame, round(x, 6) FROM pt WHERE confidence < {smoothing.MIN_CONFIDENCE}""",
+)
+def _(m):
+    t = m.events.where("value is not null").groupBy("fight_id", "corner", "frame").agg(F.max_by("value", "event_id").cast("double").alias("x"), (F.max("event_id") % 10 / 10).alias("confidence"))
+    return smoothing.one_euro(t, "fight_id", "corner").select("fight_id", "corner", "frame", F.round("smooth", 6).alias("smooth"))

@@ -2,7 +2,7 @@
 
 import random
 
-from spanframe.operators import clock
+from spanframe.operators import clock, smoothing
 from spanframe.operators.folds import fold
 
 FPS = 2
@@ -103,3 +103,28 @@ def test_fit_drops_what_is_off(spark):
     assert [tuple(r) for r in clock.fit_intercepts(df, FPS, "key").collect()] == [(1, 1, 100.0, 8, 1)]
     runs = clock.split_runs(spark.createDataFrame([(1, 1, 90, 1), (1, 2, 80, None), (1, 3, 111, None), (1, 4, 110, 1), (1, 5, None, 2), (1, 6, 100, 2)], "key long, frame long, secs long, round_num long"), "key")
     assert [r.run for r in runs.orderBy("frame").collect()] == [1, 1, 2, 2, 3, 3]
+
+
+def test_filter_holds_over_doubtful_rows(spark):
+    rows = [(1, 1, 10.0, 0.9), (1, 2, 999.0, 0.1), (1, 3, None, 0.9), (1, 4, 10.0, 0.9), (1, 5, 20.0, None), (1, 6, 12.0, 0.4), (2, 9, 3.0, 0.9)]
+    df = spark.createDataFrame(rows, "key long, frame long, x double, confidence double")
+    got = {r.frame: r.smooth for r in smoothing.one_euro(df, "key").collect()}
+    assert {f: got[f] for f in (1, 2, 3, 4, 5, 9)} == {1: 10.0, 2: 999.0, 3: None, 4: 10.0, 5: 20.0, 9: 3.0}
+    assert 10 < got[6] < 12
+    assert smoothing.one_euro(df.limit(0), "key").isEmpty()
+
+
+def test_verdicts_name_the_first_reason(spark):
+    videos = [(1, 0, 0, None), (2, 900, 800, 0.125), (3, 900, 90, 1.0), (4, 900, 900, 0.5), (5, 900, 900, 0.5), (6, 900, 900, 0.5), (7, 900, 900, 0.375)]
+    rounds = [(3, 1, 500, "clock"), (4, 1, 4, "clock"), (5, 1, 500, "clock"), (6, 1, 500, "clock"), (7, 1, 500, "detection")]
+    out = clock.verdicts(
+        spark.createDataFrame(rounds, "fight_id long, start_frame long, end_frame long, source string"),
+        spark.createDataFrame([(5, 9), (5, 30), (6, 10)], "fight_id long, support long"),
+        spark.createDataFrame(videos, "fight_id long, frames long, valid_frames long, timer_coverage double"),
+        FPS,
+    )
+    got = {r.fight_id: r for r in out.collect()}
+    assert [got[i].reason for i in range(1, 8)] == [clock.EMPTY, clock.NO_ROUNDS, clock.LOW_RATIO % 0.1, clock.TOO_SHORT % 2.0, "", "", ""]
+    assert got[4].review_reason == clock.GATE_FAILED and got[5].review_reason == clock.THIN % (1, 2, 9)
+    assert (got[6].is_valid, got[6].needs_review, got[6].review_reason) == (True, False, "")
+    assert got[7].review_reason == clock.NO_CLOCK % 38
