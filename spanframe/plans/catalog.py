@@ -9,6 +9,7 @@ from spanframe.functions import wording
 from spanframe.functions.vocabulary import LABEL_FAMILY, PREDICTED_FAMILY, PREDICTED_TARGET, lookup, sql_lookup
 from spanframe.plans.registry import query
 from spanframe.plans.spans import LATEST_SQL, RUNS_SQL, eval_runs, latest_versions
+from spanframe.sources.tables import upsert
 
 # ---------------------------------------------------------------- adapter views
 
@@ -449,3 +450,25 @@ def _(m):
     v = F.when(F.col("k") % 4 == 0, F.col("k"))
     held = F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return m.events.select("fight_id", "event_id", F.coalesce(held, F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).alias("v"))
+
+
+# ---------------------------------------------------------------- upserts
+
+#: Registrations that arrive: every second id is known.
+ARRIVALS_SQL = "ar AS (SELECT fight_id * 2 AS fight_id, 'arrived' AS purpose, 'queued' AS state FROM fights)"
+
+
+def _upserted(m, update: bool) -> DataFrame:
+    known = m.fights.select("fight_id", "purpose", "state")
+    arrivals = m.fights.select((F.col("fight_id") * 2).alias("fight_id"), F.lit("arrived").alias("purpose"), F.lit("queued").alias("state"))
+    return upsert(known, arrivals, "fight_id", update=update)
+
+
+@query("S-18", ARRIVALS_SQL + " SELECT fight_id, coalesce(ar.purpose, f.purpose) AS purpose, coalesce(ar.state, f.state) AS state FROM fights f FULL JOIN ar USING (fight_id)")
+def _(m):
+    return _upserted(m, True)
+
+
+@query("S-18-keep", ARRIVALS_SQL + " SELECT fight_id, coalesce(f.purpose, ar.purpose) AS purpose, coalesce(f.state, ar.state) AS state FROM fights f FULL JOIN ar USING (fight_id)")
+def _(m):
+    return _upserted(m, False)

@@ -467,3 +467,29 @@ def _(m):
     clips = m.events.where("source = 'label'").select("fight_id", "event_id", F.greatest(F.lit(1), F.col("frame") - 75).alias(S), (F.col("frame") + 75).alias(E))
     t = intervals.banded(m.events.select("fight_id", "frame", F.col("event_id").alias("_o")), clips, 512, extra=["event_id"])
     return t.groupBy("event_id").agg(F.count("_o").alias("inside"))
+
+
+# ---------------------------------------------------------------- injected swaps
+
+
+def swap_recall(injected: DataFrame, swaps: DataFrame) -> DataFrame:
+    """For each injected window of a fight the labelled swap that overlaps it most
+    (ties: the earlier entry), if any does, and how far its edges are off."""
+    s = swaps.select("fight_id", F.col("event_id").alias("_id"), F.col(S).alias("_s"), F.col(E).alias("_e"))
+    t = injected.join(s, "fight_id").withColumn("_n", F.least("_e", E) - F.greatest("_s", S) + 1).where("_n > 0")
+    best = F.max(F.struct("_n", -F.col("_id"), "_s", "_e")).alias("_best")
+    t = injected.join(t.groupBy("fight_id", S, E).agg(best), ["fight_id", S, E], "left")
+    b = F.col("_best")
+    return t.select("fight_id", S, E, b.isNotNull().alias("detected"), (b["_s"] - F.col(S)).alias("start_error"), (b["_e"] - F.col(E)).alias("end_error"))
+
+
+@query(
+    "M-21",
+    f"""ij AS (SELECT fight_id, 9000 + fight_id % 50 * 300 AS {S}, 12000 + fight_id % 50 * 350 AS {E} FROM fights),
+    bo AS (SELECT ij.*, w.{S} AS s, w.{E} AS e, least(w.{E}, ij.{E}) - greatest(w.{S}, ij.{S}) + 1 AS n, event_id FROM ij LEFT JOIN swaps w ON w.fight_id = ij.fight_id AND w.{E} >= ij.{S} AND w.{S} <= ij.{E})
+    SELECT fight_id, {S}, {E}, s IS NOT NULL AS detected, s - {S} AS start_error, e - {E} AS end_error FROM bo QUALIFY row_number() OVER (PARTITION BY fight_id ORDER BY n DESC, event_id) = 1""",
+)
+def _(m):
+    at = F.col("fight_id") % 50
+    injected = m.fights.select("fight_id", (at * 300 + 9000).alias(S), (at * 350 + 12000).alias(E))
+    return swap_recall(injected, m.swaps)
