@@ -35,13 +35,39 @@ def split_runs(readings: DataFrame, *keys: str, down: bool = True) -> DataFrame:
 
 def fit_intercepts(runs: DataFrame, fps: int, *keys: str, down: bool = True) -> DataFrame:
     """A run's one free parameter: the median over its readings, again without those
-    more than MAX_RESIDUAL off it (if any are left). Reckoned in frames, so exact."""
+    more than MAX_RESIDUAL off it (if any are left). Reckoned in frames, so exact.
+    Also the highest and lowest time of the readings that are left."""
     v = F.col("secs") * fps + F.col("frame") if down else F.col("frame") - F.col("secs") * fps
-    t = runs.where("secs is not null").select(*keys, "run", v.alias("_v"))
+    t = runs.where("secs is not null").select(*keys, "run", "secs", v.alias("_v"))
     t = t.join(t.groupBy(*keys, "run").agg(F.median("_v").alias("_centre")), [*keys, "run"])
     near = F.abs(F.col("_v") - F.col("_centre")) <= MAX_RESIDUAL * fps
     centre = F.coalesce(F.median(F.when(near, F.col("_v"))), F.first("_centre"))
-    return t.groupBy(*keys, "run").agg(F.round(centre / fps, 6).alias("intercept"), F.count_if(near).alias("inliers"), F.count_if(~near).alias("rejected"))
+    seen = F.when(near, F.col("secs"))
+    return t.groupBy(*keys, "run").agg(F.round(centre / fps, 6).alias("intercept"), F.count_if(near).alias("inliers"), F.count_if(~near).alias("rejected"), F.max(seen).alias("highest"), F.min(seen).alias("lowest"))
+
+
+#: Seconds of the usual rounds, and how far from them a reading still speaks for one.
+ROUND_LENGTHS, LENGTH_TOLERANCE = (180, 300), 20
+#: Readings that a round needs.
+MIN_SAMPLES = 3
+
+
+def snapped_length(highest: Column) -> Column:
+    """The shortest usual length that a highest reading fits; else the reading."""
+    return F.coalesce(*(F.when(highest <= n + LENGTH_TOLERANCE, F.lit(n)) for n in ROUND_LENGTHS), highest)
+
+
+def rounds_of_fits(fits: DataFrame, frames: DataFrame, fps: int, *keys: str, down: bool = True) -> DataFrame:
+    """Rounds of runs fitted with MIN_SAMPLES readings, cut to the video (``frames``:
+    keys, frames); an edge is anchored if a reading was seen near it. Rounds of which
+    nothing is left are dropped."""
+    length = snapped_length(F.col("highest"))
+    t = fits.where(F.col("inliers") >= MIN_SAMPLES).join(frames, list(keys)).withColumn("length", length)
+    start = F.col("intercept") - F.col("length") if down else F.col("intercept")
+    at = lambda secs: F.bround(F.round(secs * fps, 3)).cast("long")  # noqa: E731  the intercept is a whole or half frame
+    t = t.withColumns({"start_frame": F.greatest(F.lit(1), at(start)), "end_frame": F.least("frames", at(start + F.col("length")))})
+    t = t.withColumns({"start_anchored": F.col("highest") >= F.col("length") - LENGTH_TOLERANCE, "end_anchored": F.col("lowest") <= LENGTH_TOLERANCE})
+    return t.where("end_frame > start_frame").select(*keys, "run", "start_frame", "end_frame", "length", F.col("inliers").alias("support"), "start_anchored", "end_anchored")
 
 
 def confirmed_increments(readings: DataFrame, *keys: str) -> DataFrame:

@@ -64,9 +64,26 @@ def _(m):
     SELECT fight_id, run, round(coalesce(median(v) FILTER (WHERE near), any_value(c)) / {FPS}, 6) AS intercept, count(*) FILTER (WHERE near) AS inliers, count(*) FILTER (WHERE NOT near) AS rejected FROM nr GROUP BY fight_id, run""",
 )
 def _(m):
+    return fits(m).select("fight_id", "run", "intercept", "inliers", "rejected")
+
+
+def fits(m) -> DataFrame:
     return clock.fit_intercepts(clock.split_runs(readings(m), "fight_id"), FPS, "fight_id")
 
 
+@query(
+    "M-11",
+    RUN_SQL
+    + f""", iv AS (SELECT fight_id, run, secs, secs * {FPS} + frame AS v FROM rn), md AS (SELECT fight_id, run, median(v) AS c FROM iv GROUP BY ALL), fr AS (SELECT fight_id, max(frame) AS frames FROM ev GROUP BY fight_id),
+    nr AS (SELECT fight_id, run, median(v) AS c, count(*) AS support, max(secs) AS hi, min(secs) AS lo FROM iv JOIN md USING (fight_id, run) WHERE abs(v - md.c) <= {MAX_RESIDUAL * FPS} GROUP BY fight_id, run HAVING count(*) >= {clock.MIN_SAMPLES}),
+    le AS (SELECT *, CASE WHEN hi <= 200 THEN 180 WHEN hi <= 320 THEN 300 ELSE hi END AS length FROM nr JOIN fr USING (fight_id)),
+    bd AS (SELECT *, greatest(1, round_even(c - length * {FPS}, 0)::BIGINT) AS start_frame, least(frames, round_even(c, 0)::BIGINT) AS end_frame FROM le)
+    SELECT fight_id, run, start_frame, end_frame, length, support, hi >= length - {clock.LENGTH_TOLERANCE} AS start_anchored, lo <= {clock.LENGTH_TOLERANCE} AS end_anchored FROM bd WHERE end_frame > start_frame""",
+)
+def _(m):
+    return clock.rounds_of_fits(fits(m), lengths(m), FPS, "fight_id")
+
+
 @query(
     "W-11",
     READ_SQL

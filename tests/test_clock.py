@@ -100,7 +100,7 @@ def test_clock_decides_and_detection_fills_in(spark):
 def test_fit_drops_what_is_off(spark):
     rows = [(1, 1, f, 100 - f // FPS + (50 if f == 8 else 0), None) for f in range(2, 20, 2)]
     df = spark.createDataFrame(rows, "key long, run long, frame long, secs long, round_num long")
-    assert [tuple(r) for r in clock.fit_intercepts(df, FPS, "key").collect()] == [(1, 1, 100.0, 8, 1)]
+    assert [tuple(r) for r in clock.fit_intercepts(df, FPS, "key").collect()] == [(1, 1, 100.0, 8, 1, 99, 91)]
     runs = clock.split_runs(spark.createDataFrame([(1, 1, 90, 1), (1, 2, 80, None), (1, 3, 111, None), (1, 4, 110, 1), (1, 5, None, 2), (1, 6, 100, 2)], "key long, frame long, secs long, round_num long"), "key")
     assert [r.run for r in runs.orderBy("frame").collect()] == [1, 1, 2, 2, 3, 3]
 
@@ -128,3 +128,10 @@ def test_verdicts_name_the_first_reason(spark):
     assert got[4].review_reason == clock.GATE_FAILED and got[5].review_reason == clock.THIN % (1, 2, 9)
     assert (got[6].is_valid, got[6].needs_review, got[6].review_reason) == (True, False, "")
     assert got[7].review_reason == clock.NO_CLOCK % 38
+
+
+def test_rounds_of_fits_snap_and_anchor(spark):
+    fits = [(1, 1, 300.0, 9, 0, 290, 10), (1, 2, 700.25, 3, 0, 150, 60), (1, 3, 900.0, 2, 0, 100, 1), (1, 4, 5000.0, 9, 0, 300, 0), (1, 5, 1400.0, 5, 1, 330, 21)]
+    df = spark.createDataFrame(fits, "key long, run long, intercept double, inliers long, rejected long, highest long, lowest long")
+    out = clock.rounds_of_fits(df, spark.createDataFrame([(1, 2000)], "key long, frames long"), FPS, "key")
+    assert sorted(tuple(r)[1:] for r in out.collect()) == [(1, 1, 600, 300, 9, True, True), (2, 1040, 1400, 180, 3, False, False)]
