@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, substring, token_counts, token_files, topk, warc
+from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, substring, token_counts, token_files, topk, variants, warc
 from spanframe.llm.common import materialize, scratch, word_count
 
 
@@ -75,6 +75,10 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
     "op11_top_k": op11_top_k,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 SQL = {
@@ -145,4 +150,38 @@ SQL = {
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE t AS (  -- crc32 of each byte
+            SELECT i, list_reduce(range(8), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) t(i)
+        ), d AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+        ), r AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM d GROUP BY ALL
+        ), b AS (
+            SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM r WHERE length(run) >= 5
+        ), h AS (
+            SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                lambda c, y: xor(c >> 8, tab[xor(c, y) % 256 + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, (SELECT list(c ORDER BY i) AS tab FROM t)
+        ), m AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+        ), w AS (
+            SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ), cut AS (  -- every word without one of its code points
+            SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)
+        ), pair AS (
+            SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON w.word = c.rest
+            UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON w.word = c.rest
+        ), best AS (
+            SELECT word, count(*) AS n_near, max(n) AS most FROM pair GROUP BY word
+        ), form AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN most END AS form_n,
+                   CASE WHEN most >= 2 * w.n THEN (SELECT min(encode(p.other)) FROM pair p WHERE p.word = w.word AND p.n = most) END AS form
+            FROM w LEFT JOIN best USING (word)
+        ), f AS (SELECT * REPLACE (decode(form) AS form) FROM form), chain AS (
+            SELECT word, word AS root, form AS next FROM f
+            UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN f ON f.word = c.next
+        )
+        SELECT f.word, f.form, c.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL
+    """,
 }
