@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, substring, token_counts, token_files, topk, variants, warc
+from spanframe.llm import decontam, html_text, jaccard, mixing, quality, sharding, substring, token_counts, token_files, topk, tries, variants, warc
 from spanframe.llm.common import materialize, scratch, word_count
 
 
@@ -79,6 +79,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(tries.ordered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    return tries.prefix_trie(*tries.forked(turns))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +97,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_top_k": op11_top_k,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -184,4 +190,37 @@ SQL = {
         )
         SELECT f.word, f.form, c.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL
     """,
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE t AS (  -- crc32 of each byte
+            SELECT i, list_reduce(range(8), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) t(i)
+        ), c AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS said
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), i AS (
+            SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS giver, hex(encode(conv_id::VARCHAR)) AS x FROM c GROUP BY conv_id
+        ), ids AS (
+            SELECT conv_id, n, giver, CASE WHEN conv_id = giver THEN 0 ELSE xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                lambda c, y: xor(c >> 8, tab[xor(c, y) % 256 + 1]), 4294967295::BIGINT), 4294967295) % 4 END AS h
+            FROM i, (SELECT list(c ORDER BY i) AS tab FROM t)
+        ), turns AS (
+            SELECT i.conv_id, c.pos - i.h + least(i.h, coalesce(g.n, 0)) AS pos, role, said
+            FROM c JOIN ids i USING (conv_id) LEFT JOIN ids g ON g.conv_id = i.giver WHERE c.pos > i.h
+            UNION ALL SELECT i.conv_id, c.pos, role, said FROM ids i JOIN c ON c.conv_id = i.giver AND c.pos <= i.h
+        ), pre AS (
+            SELECT conv_id, pos, said, max(pos) OVER (PARTITION BY conv_id) AS last,
+                   list({'role': role, 'said': said}) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM turns
+            UNION ALL SELECT conv_id, 0, '', coalesce((SELECT max(pos) FROM turns t WHERE t.conv_id = ids.conv_id), 0), [] FROM ids
+        ), node AS (
+            SELECT path, pos AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(said), '[^\x20\x09-\x0D]+')) AS own,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE pos = last), '')) AS ends_sha256
+            FROM pre GROUP BY path, pos
+        ), tree AS (
+            SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM node k WHERE k.depth = n.depth + 1 AND k.path[1:n.depth] = n.path) AS n_children
+            FROM node n LEFT JOIN node p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+        ), up AS (
+            SELECT path[1:d] AS path, d AS depth, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens
+            FROM (SELECT *, unnest(range(depth + 1)) AS d FROM tree) GROUP BY 1, 2
+        )
+        SELECT conv_id, t.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM tree t JOIN up ON up.depth = t.depth AND up.path = t.path
+    """,
 }
