@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from spanframe.plans import machines
 from spanframe.plans.registry import query
 from spanframe.streaming import live
+from spanframe.streaming import machines as live_machines
 
 
 @query("ST-06", "SELECT user_id::BIGINT AS fight_id, count(*) AS n, count(*) FILTER (WHERE json_extract_string(props, '$.k')::INT % 2 = 1) AS labels FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
@@ -14,3 +20,14 @@ def _(m):
 @query("ST-07", "SELECT user_id::BIGINT AS fight_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def _(m):
     return live.run_to_end(live.live_buckets(live.event_stream(m.spark, m.sf_dir)))
+
+
+@query("ST-05", machines.SEGMENT_SQL)
+def _(m):
+    spark = live.stateful(m.spark)
+    frame = F.expr("cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 6e7) as bigint) + 1")
+    at = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))")
+    frames = machines.seen_frames(live.event_stream(spark, m.sf_dir).withColumns({"frame": frame, "at": at}), "at")
+    # a fight is over after 90 days without frames, longer than the log
+    emitted = live_machines.live_rounds(frames, machines.RULES, idle_ms=90 * 86_400_000)
+    return live_machines.rounds_so_far(live.run_to_table(emitted, f"{live.shared_folder(spark)}/stream-{uuid.uuid4().hex}"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming events: fight_id, ts, source ("prediction" or "label"), value."""
+    """Streaming events: fight_id, ts, source ("prediction" or "label"), value, event_id, k."""
     path = f"{sf_dir}/events.parquet"
     # as a pattern: a stream takes a plain path for a folder
     t = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
     k = F.get_json_object("props", "$.k").cast("int")
-    return t.select(F.col("user_id").cast("long").alias("fight_id"), "ts", F.when(k % 2 == 0, "prediction").otherwise("label").alias("source"), "value")
+    return t.select(F.col("user_id").cast("long").alias("fight_id"), "ts", F.when(k % 2 == 0, "prediction").otherwise("label").alias("source"), "value", F.col("event_id").cast("long").alias("event_id"), k.alias("k"))
 
 
 def live_totals(events: DataFrame, until: str) -> DataFrame:
@@ -37,8 +37,7 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     table as the last trigger left it. Results and the stream's checkpoint lie in the
     folder that spark.checkpoint.dir names."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "spark-warehouse"
-    home, done = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", []
+    home, done = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/table-{number}")  # a retried batch writes the same place
@@ -47,3 +46,40 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{home}/table-{max(done)}") if done else spark.createDataFrame([], stream.schema)
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session of its own whose state store keeps keyed state with timers."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The qualified folder that spark.checkpoint.dir names. Only a local session without
+    that setting falls back to its warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def run_to_table(stream: DataFrame, home: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that has arrived and return every row that it has emitted,
+    with the trigger's number as ``batch``, in this run and in earlier ones with the
+    same ``home``: the checkpoint lies there, and a trigger that is repeated after a
+    failure writes over its own rows."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/table/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/table")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{home}/table")
