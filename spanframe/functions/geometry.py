@@ -160,12 +160,17 @@ def tape_distance(net_red: Column, total: Column, sign: Column) -> Column:
     return F.when(match, 0.5 - 0.5 * confidence).otherwise(0.5 + 0.5 * confidence)
 
 
+def bhattacharyya(a: Column, b: Column) -> Column:
+    """Bhattacharyya distance of two histograms (arrays of doubles)."""
+    total = lambda h: F.aggregate(h, F.lit(0.0), lambda s, v: s + v)
+    norm = total(a) * total(b)
+    common = total(F.zip_with(a, b, lambda x, y: F.sqrt(x * y))) * F.when(norm > 1.2e-7, 1 / F.sqrt(norm)).otherwise(1.0)
+    return F.sqrt(F.greatest(1 - common, F.lit(0.0)))
+
+
 def histogram_distance(hist: Column, weight: Column, template: Column) -> Column:
     """Bhattacharyya distance of two histograms, drawn towards 0.5 with few pixels."""
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, v: a + v)
-    norm = total(hist) * total(template)
-    common = total(F.zip_with(hist, template, lambda a, b: F.sqrt(a * b))) * F.when(norm > 1.2e-7, 1 / F.sqrt(norm)).otherwise(1.0)
-    distance = F.least(F.lit(1.0), F.sqrt(F.greatest(1 - common, F.lit(0.0))))
+    distance = F.least(F.lit(1.0), bhattacharyya(hist, template))
     return F.coalesce(0.5 + (distance - 0.5) * F.least(weight, F.lit(CLEAN_PIXELS)) / CLEAN_PIXELS, F.lit(0.5))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
@@ -37,3 +38,37 @@ def fold(df: DataFrame, step: Callable[[object, dict], tuple[object, tuple]], re
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *new.names])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType([*df.schema, *new]))
+
+
+def fold_arrays(df: DataFrame, step: Callable[[object, dict[str, np.ndarray]], tuple[object, list]], reads: list[str], returns: str, *keys: str, order: list[str]) -> DataFrame:
+    """Like ``fold``, but a stretch of a key's rows at once: ``step(state, columns)``
+    gets numpy arrays of the columns ``reads`` only and gives the next state and one
+    sequence for each column of ``returns``. A key's rows may come in several stretches,
+    with the state carried between them. Null numbers come as NaN."""
+    new = StructType.fromDDL(returns)
+    types = [to_arrow_type(f.dataType) for f in new]
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changed = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changed[1:] |= codes[1:] != codes[:-1]
+            cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in reads}
+            parts: list[list] = [[] for _ in types]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                here = tuple(batch.column(k)[a].as_py() for k in keys)
+                if here != key:
+                    key, state = here, None
+                state, out = step(state, {c: v[a:b] for c, v in columns.items()})
+                for part, values, kind in zip(parts, out, types, strict=True):
+                    part.append(pa.array(values, kind))
+            added = [pa.concat_arrays(part) for part in parts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *new.names])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType([*df.schema, *new]))

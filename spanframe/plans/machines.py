@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import readings
-from spanframe.operators import segmentation
-from spanframe.operators.segmentation import Rules
+from spanframe.operators import corners, hysteresis, segmentation
+from spanframe.operators.segmentation import BLOCK, Rules, number_rows
 from spanframe.plans.registry import query
 
 RULES = Rules()
@@ -59,3 +59,122 @@ SEGMENT_SQL = (
 @query("M-06", SEGMENT_SQL)
 def _(m):
     return rounds(m)
+
+
+# ---------------------------------------------------------------- states
+
+STATE_ROWS_SQL = f"""mv0 AS (SELECT fight_id, frame, event_id, k, frame // 4000 % 3 AS phase, 10 + fight_id % 3 * 6 AS fps, row_number() OVER (PARTITION BY fight_id ORDER BY frame, event_id) AS pos FROM ev),
+    mv1 AS (SELECT *, CASE WHEN k % 6 > 0 THEN CASE WHEN (phase = 0) = (k % 8 > 0) THEN 20 + k % 5 ELSE k % 5 END END AS distance, 60 + k % 11 AS sa, CASE WHEN k % 13 > 0 THEN 55 + event_id % 9 END AS sb, (phase = 2) = (k % 5 > 0) AS grounded FROM mv0),
+    mv AS (SELECT *, CASE WHEN distance >= {hysteresis.GRAPPLING_RATIO} * (sa + sb) / 2 THEN 'STRIKING' WHEN distance < {hysteresis.GRAPPLING_RATIO} * (sa + sb) / 2 THEN CASE WHEN grounded THEN 'GROUND' ELSE 'CLINCH' END END AS v,
+        greatest(1, round_even(fps * {hysteresis.VOTE_SECONDS}, 0)::INT) AS width, greatest(1, round_even(fps * {hysteresis.DWELL_SECONDS}, 0)::INT) AS dwell FROM mv1)"""
+
+
+def state_rows(m) -> DataFrame:
+    """One row an event: fight_id, frame, at, v (what it speaks for), width, dwell."""
+    k, phase, fps = F.col("k"), F.floor(F.col("frame") / 4000) % 3, F.col("fps")
+    t = number_rows(m.events.select("fight_id", "frame", "event_id", "k"), "fight_id", order=["frame", "event_id"], block=BLOCK, out="at").withColumn("fps", F.lit(10) + F.col("fight_id") % 3 * 6)
+    distance = F.when(k % 6 > 0, F.when((phase == 0) == (k % 8 > 0), 20 + k % 5).otherwise(k % 5))
+    v = hysteresis.fight_state(distance, 60 + k % 11, F.when(k % 13 > 0, 55 + F.col("event_id") % 9), (phase == 2) == (k % 5 > 0))
+    frames = lambda seconds: F.greatest(F.lit(1), F.bround(fps * seconds).cast("int"))
+    return t.select("fight_id", "frame", "at", v.alias("v"), frames(F.lit(hysteresis.VOTE_SECONDS)).alias("width"), frames(F.lit(hysteresis.DWELL_SECONDS)).alias("dwell"))
+
+
+@query(
+    "M-05",
+    STATE_ROWS_SQL
+    + """, mn AS (SELECT *, row_number() OVER w AS n, list(v) OVER w AS vs FROM mv WHERE v IS NOT NULL WINDOW w AS (PARTITION BY fight_id ORDER BY pos)),
+    mw AS (SELECT fight_id, pos, vs[greatest(n - width + 1, 1):n] AS vs FROM mn),
+    mt AS (SELECT fight_id, pos, list_sort([{'n': -len(list_filter(vs, lambda x: x = s)), 'p': list_position(vs, s), 's': s} FOR s IN ['STRIKING', 'CLINCH', 'GROUND']])[1].s AS vote FROM mw),
+    ms AS (SELECT mv.fight_id, mv.pos, frame, dwell, last_value(vote IGNORE NULLS) OVER (PARTITION BY mv.fight_id ORDER BY mv.pos) AS target FROM mv LEFT JOIN mt USING (fight_id, pos))
+    SELECT fight_id, frame, state FROM (WITH RECURSIVE acc AS (
+        SELECT DISTINCT fight_id, 0::BIGINT AS pos, 0::BIGINT AS frame, 'STRIKING' AS state, 1000000 AS since, false AS turned FROM ms
+        UNION ALL
+        SELECT s.fight_id, s.pos, s.frame, CASE WHEN target <> state AND since + 1 >= dwell THEN target ELSE state END, CASE WHEN target <> state AND since + 1 >= dwell THEN 0 ELSE since + 1 END, coalesce(target <> state AND since + 1 >= dwell, false)
+        FROM acc a JOIN ms s ON s.fight_id = a.fight_id AND s.pos = a.pos + 1
+    ) SELECT * FROM acc) WHERE turned""",
+)
+def _(m):
+    rows = state_rows(m)
+    found = hysteresis.settled(rows, "fight_id", "at", "v", "width", "dwell", "STRIKING")
+    return found.join(rows.select("fight_id", "at", "frame"), ["fight_id", "at"]).select("fight_id", "frame", "state")
+
+
+# ---------------------------------------------------------------- corners
+
+SLOTS_SQL = """sl0 AS (SELECT fight_id, frame // 1200 AS frame, corner AS slot, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM ev GROUP BY ALL),
+    sl AS (SELECT *, CASE WHEN fight_id % 4 = 0 THEN k % 13 WHEN (fight_id + slot) % 2 = 0 THEN k % 13 - 4 ELSE 4 - k % 11 END / 20 AS net_red, k % 17 AS tape,
+        CASE WHEN k % 10 > 0 THEN [k % 5, (k + slot * 2) % 7, slot * 3 + event_id % 3, 1]::DOUBLE[] END AS hist, CASE WHEN k % 12 > 0 THEN k * 2 ELSE 0 END AS weight FROM sl0)"""
+
+
+def slots(m) -> DataFrame:
+    """What is seen of each slot in a frame: fight_id, frame, slot, event_id, net_red, tape, hist, weight."""
+    t = m.events.groupBy("fight_id", F.floor(F.col("frame") / 1200).alias("frame"), F.col("corner").alias("slot")).agg(F.max("event_id").alias("event_id"), F.max_by("k", "event_id").alias("k"))
+    k, slot = F.col("k"), F.col("slot")
+    red = F.when(F.col("fight_id") % 4 == 0, k % 13).when((F.col("fight_id") + slot) % 2 == 0, k % 13 - 4).otherwise(4 - k % 11) / 20
+    hist = F.when(k % 10 > 0, F.array(*(c.cast("double") for c in (k % 5, (k + slot * 2) % 7, slot * 3 + F.col("event_id") % 3, F.lit(1)))))
+    return t.select("fight_id", "frame", "slot", "event_id", red.alias("net_red"), (k % 17).alias("tape"), hist.alias("hist"), F.when(k % 12 > 0, k * 2).otherwise(0).alias("weight"))
+
+
+def slot_pairs(seen: DataFrame) -> DataFrame:
+    """One row a frame: each slot's columns with _0 and _1, null where it is not seen."""
+    of = lambda s, c: F.max_by(c, F.when(F.col("slot") == s, 1)).alias(f"{c}_{s}")
+    return seen.groupBy("fight_id", "frame").agg(*(of(s, c) for s in (0, 1) for c in ("event_id", "net_red", "tape", "hist", "weight")))
+
+
+@query(
+    "A-36",
+    SLOTS_SQL
+    + f""", vp AS (SELECT a.fight_id, a.net_red - b.net_red AS d FROM sl a JOIN sl b ON b.fight_id = a.fight_id AND b.frame = a.frame AND a.slot = 0 AND b.slot = 1),
+    vv AS (SELECT fight_id, count(*) FILTER (WHERE d > 0 AND abs(d) >= {corners.VOTE_MARGIN}) AS votes_0, count(*) FILTER (WHERE d < 0 AND abs(d) >= {corners.VOTE_MARGIN}) AS votes_1 FROM fights LEFT JOIN vp USING (fight_id) GROUP BY fight_id)
+    SELECT *, votes_0 + votes_1 >= 10 AS decided, CASE WHEN votes_0 + votes_1 >= 10 AND votes_0 < votes_1 THEN 1 ELSE 0 END AS corner_0 FROM vv""",
+)
+def _(m):
+    return corners.tape_votes(slot_pairs(slots(m)), least=10)
+
+
+TEMPLATES_SQL = (
+    SLOTS_SQL
+    + f""", tm AS (SELECT fight_id, slot, avg(net_red) AS r FROM sl GROUP BY ALL), tb AS (SELECT fight_id, slot, b, sum(hist[b] * weight) / sum(weight) AS v FROM sl, range(1, 5) t(b) WHERE hist IS NOT NULL AND weight > 0 GROUP BY ALL),
+    th AS (SELECT fight_id, slot, list(v ORDER BY b) AS h FROM tb GROUP BY ALL), tn AS (SELECT fight_id, slot, CASE WHEN list_sum(h) > 0 THEN list_transform(h, lambda x: x / list_sum(h)) ELSE h END AS h FROM th),
+    tw AS (SELECT f.fight_id, a.r AS r0, b.r AS r1, x.h AS h0, y.h AS h1 FROM fights f LEFT JOIN tm a ON a.fight_id = f.fight_id AND a.slot = 0 LEFT JOIN tm b ON b.fight_id = f.fight_id AND b.slot = 1 LEFT JOIN tn x ON x.fight_id = f.fight_id AND x.slot = 0 LEFT JOIN tn y ON y.fight_id = f.fight_id AND y.slot = 1),
+    tg AS (SELECT *, 0.5 * least(1, abs(r0 - r1) / {corners.FULL_GAP}) + 0.5 * coalesce(sqrt(greatest(0, 1 - list_sum([sqrt(h0[i] * h1[i]) FOR i IN range(1, 5)]) / sqrt(list_sum(h0) * list_sum(h1)))), 0) AS separation FROM tw),
+    tp AS (SELECT *, CASE WHEN r0 >= 0 THEN 0 ELSE 1 END AS corner_0, CASE WHEN r0 IS NULL THEN '{corners.NO_FRAMES % 0}' WHEN r1 IS NULL THEN '{corners.NO_FRAMES % 1}' WHEN r0 >= 0 AND r1 >= 0 THEN '{corners.AMBIGUOUS % "red"}' WHEN r0 < 0 AND r1 < 0 THEN '{corners.AMBIGUOUS % "blue"}'
+        WHEN separation < {corners.MIN_SEPARATION} THEN printf('{corners.LOW_SEPARATION}', separation, {corners.MIN_SEPARATION}::DOUBLE) END AS reason FROM tg)"""
+)
+
+
+@query("A-37", TEMPLATES_SQL + " SELECT fight_id, round(separation, 6) AS separation, corner_0, reason, [round(x, 6) FOR x IN h0] AS hist_0, [round(x, 6) FOR x IN h1] AS hist_1 FROM tp")
+def _(m):
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
+    return corners.templates(slots(m), m.fights).select("fight_id", F.round("separation", 6).alias("separation"), "corner_0", "reason", rounded("hist_0"), rounded("hist_1"))
+
+
+_TAPE = "CASE WHEN (s.net_red >= 0) = (c = 0) THEN 0.5 - 0.5 * least(s.tape, 8) / 8 ELSE 0.5 + 0.5 * least(s.tape, 8) / 8 END"
+_KIT = "CASE WHEN s.hist IS NULL OR th IS NULL THEN 0.5 ELSE 0.5 + (least(1, sqrt(greatest(0, 1 - list_sum([sqrt(s.hist[i] * th[i]) FOR i IN range(1, 5)]) / sqrt(list_sum(s.hist) * list_sum(th))))) - 0.5) * least(s.weight, 150) / 150 END"
+
+
+@query(
+    "M-07",
+    TEMPLATES_SQL
+    + f""", ct AS (SELECT fight_id, c, CASE WHEN c = corner_0 THEN h0 ELSE h1 END AS th FROM tp, range(2) t(c) WHERE reason IS NULL),
+    cc AS (SELECT s.fight_id, s.frame, s.slot, s.event_id, c, {corners.TAPE_WEIGHT} * {_TAPE} + {corners.KIT_WEIGHT} * {_KIT} AS cost FROM sl s JOIN ct ON ct.fight_id = s.fight_id),
+    cf AS (SELECT fight_id, frame, arg_min(slot, event_id) AS first, max(cost) FILTER (WHERE slot = 0 AND c = 0) AS c00, max(cost) FILTER (WHERE slot = 0 AND c = 1) AS c01, max(cost) FILTER (WHERE slot = 1 AND c = 0) AS c10, max(cost) FILTER (WHERE slot = 1 AND c = 1) AS c11 FROM cc GROUP BY ALL),
+    cs AS (SELECT fight_id, frame, 1 + fight_id % 3 AS need, row_number() OVER (PARTITION BY fight_id ORDER BY frame) AS i, CASE WHEN c00 IS NULL OR c10 IS NULL THEN c00 IS NOT NULL ELSE first = 0 END AS tie, CASE WHEN c00 IS NOT NULL AND c10 IS NOT NULL THEN 2 * {corners.TURN_COST} ELSE {corners.TURN_COST} END AS cost,
+        CASE WHEN c10 IS NULL THEN c01 - c00 WHEN c00 IS NULL THEN c10 - c11 ELSE (c01 + c10) - (c00 + c11) END AS saved FROM cf)
+    SELECT fight_id, frame, swapped FROM (WITH RECURSIVE acc AS (
+        SELECT DISTINCT fight_id, 0::BIGINT AS i, 0::BIGINT AS frame, false AS swapped, 0 AS n, false AS turned FROM cs
+        UNION ALL
+        SELECT fight_id, i, frame, swapped <> (n + 1 >= need AND flips), CASE WHEN flips AND n + 1 < need THEN n + 1 ELSE 0 END, flips AND n + 1 >= need FROM (
+            SELECT s.*, a.swapped, a.n, CASE WHEN a.swapped THEN saved - cost > 0 OR (saved - cost = 0 AND tie) ELSE NOT (saved + cost > 0 OR (saved + cost = 0 AND tie)) END AS flips
+            FROM acc a JOIN cs s ON s.fight_id = a.fight_id AND s.i = a.i + 1)
+    ) SELECT * FROM acc) WHERE turned""",
+)
+def _(m):
+    seen = slots(m)
+    kit = corners.templates(seen, m.fights).where("reason is null").select("fight_id", F.when(F.col("corner_0") == 0, F.col("hist_0")).otherwise(F.col("hist_1")).alias("red_kit"), F.when(F.col("corner_0") == 0, F.col("hist_1")).otherwise(F.col("hist_0")).alias("blue_kit"))
+    t = slot_pairs(seen).join(kit, "fight_id")
+    c = F.col
+    cost = lambda s, sign, k: F.when(c(f"event_id_{s}").isNotNull(), corners.label_cost(c(f"net_red_{s}"), c(f"tape_{s}"), c(f"hist_{s}"), c(f"weight_{s}"), F.lit(sign), c(k)))
+    first = F.when(c("event_id_0") < c("event_id_1"), 0).when(c("event_id_1").isNull(), 0).otherwise(1)
+    frames = t.select("fight_id", "frame", (c("fight_id") % 3 + 1).alias("need"), first.alias("first"), *(cost(s, sign, k).alias(f"c{s}{n}") for s in (0, 1) for n, sign, k in ((0, 1, "red_kit"), (1, -1, "blue_kit"))))
+    return corners.turns(frames)
