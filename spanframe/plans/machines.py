@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.functions import readings
-from spanframe.operators import corners, hysteresis, segmentation
+from spanframe.functions import geometry, readings
+from spanframe.operators import corners, hysteresis, segmentation, tracks
 from spanframe.operators.segmentation import BLOCK, Rules, number_rows
 from spanframe.plans.registry import query
 
@@ -178,3 +178,111 @@ def _(m):
     first = F.when(c("event_id_0") < c("event_id_1"), 0).when(c("event_id_1").isNull(), 0).otherwise(1)
     frames = t.select("fight_id", "frame", (c("fight_id") % 3 + 1).alias("need"), first.alias("first"), *(cost(s, sign, k).alias(f"c{s}{n}") for s in (0, 1) for n, sign, k in ((0, 1, "red_kit"), (1, -1, "blue_kit"))))
     return corners.turns(frames)
+
+
+# ---------------------------------------------------------------- tracks
+
+TRACK_FPS = 10
+WAIT = max(1, round(TRACK_FPS * tracks.LOST_SECONDS))
+DETECTIONS_SQL = """dt0 AS (SELECT fight_id, frame // 300 AS frame, corner, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM ev GROUP BY ALL),
+    dt AS (SELECT fight_id, frame, (row_number() OVER (PARTITION BY fight_id, frame ORDER BY event_id) - 1)::INT AS no, [60 * corner + frame * 3 % 40 + k % 5, k % 7, 60 * corner + frame * 3 % 40 + k % 5 + 30 + k % 4, k % 7 + 60]::DOUBLE[] AS b FROM dt0)"""
+
+
+def detections(m) -> DataFrame:
+    """Boxes of up to two people a frame: fight_id, frame, no, x1, y1, x2, y2, fps."""
+    t = m.events.groupBy("fight_id", F.floor(F.col("frame") / 300).alias("frame"), "corner").agg(F.max("event_id").alias("event_id"), F.max_by("k", "event_id").alias("k"))
+    no = (F.row_number().over(Window.partitionBy("fight_id", "frame").orderBy("event_id")) - 1).alias("no")
+    x, k = F.col("corner") * 60 + F.col("frame") * 3 % 40 + F.col("k") % 5, F.col("k")
+    box = {"x1": x, "y1": k % 7, "x2": x + 30 + k % 4, "y2": k % 7 + 60}
+    return t.select("fight_id", "frame", no, *(c.cast("double").alias(n) for n, c in box.items()), F.lit(TRACK_FPS).alias("fps"))
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    common = f"greatest(0, least({a}[3], {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0, least({a}[4], {b}[4]) - greatest({a}[2], {b}[2]))"
+    return f"({common}) / (({a}[3] - {a}[1]) * ({a}[4] - {a}[2]) + ({b}[3] - {b}[1]) * ({b}[4] - {b}[2]) - {common})"
+
+
+def _cost_sql(ahead: str, seen: str) -> str:
+    far = f"sqrt((({ahead}[1] + {ahead}[3]) / 2 - ({seen}[1] + {seen}[3]) / 2) ** 2 + (({ahead}[2] + {ahead}[4]) / 2 - ({seen}[2] + {seen}[4]) / 2) ** 2)"
+    size = f"greatest(1, sqrt(({seen}[3] - {seen}[1]) ** 2 + ({seen}[4] - {seen}[2]) ** 2))"
+    return f"{tracks.OVERLAP_WEIGHT} * (1 - {_overlap_sql(ahead, seen)}) + {tracks.DISTANCE_WEIGHT} * {far} / {size}"
+
+
+def _moved_sql(p: str, n: str) -> str:
+    return f"[{p}[1] + {n} * {p}[5], {p}[2] + {n} * {p}[6], {p}[3] + {n} * {p}[5], {p}[4] + {n} * {p}[6], {p}[5], {p}[6], {p}[7] + {n}]"
+
+
+def _kept_sql(p: str, seen: str) -> str:
+    lost = f"CASE WHEN {p}[7] + 1 <= {WAIT} THEN {_moved_sql(p, '1')} END"
+    centre = lambda b, i: f"({b}[{i}] + {b}[{i + 2}]) / 2"
+    speed = ", ".join(f"CASE WHEN {p} IS NULL THEN 0 WHEN frozen THEN {p}[{i + 4}] ELSE {centre(seen, i)} - {centre(p, i)} END" for i in (1, 2))
+    return f"CASE WHEN {seen} IS NULL THEN {lost} ELSE [{seen}[1], {seen}[2], {seen}[3], {seen}[4], {speed}, 0] END"
+
+
+@query(
+    "M-03",
+    DETECTIONS_SQL
+    + f""", tf0 AS (SELECT fight_id, frame, max(b) FILTER (WHERE no = 0) AS d0, max(b) FILTER (WHERE no = 1) AS d1 FROM dt GROUP BY ALL), tf AS (SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY frame) AS i FROM tf0),
+    ta AS (SELECT * FROM (WITH RECURSIVE acc AS (
+        SELECT DISTINCT fight_id, 0::BIGINT AS i, NULL::BIGINT AS frame, NULL::DOUBLE[] AS a, NULL::DOUBLE[] AS b, NULL::INT AS s0, NULL::INT AS s1 FROM tf
+        UNION ALL
+        SELECT fight_id, i, frame, {_kept_sql("a", "da")}, {_kept_sql("b", "db")}, s0, CASE WHEN d1 IS NOT NULL THEN 1 - s0 END FROM (
+            SELECT *, CASE WHEN s0 = 0 THEN d0 ELSE d1 END AS da, CASE WHEN s0 = 1 THEN d0 ELSE d1 END AS db, coalesce({_overlap_sql("d0", "d1")} > {tracks.TANGLED}, false) AS frozen FROM (
+            SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN d1 IS NULL THEN CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN 1 WHEN ca0 <= cb0 THEN 0 ELSE 1 END
+                WHEN b IS NULL THEN CASE WHEN ca0 <= ca1 THEN 0 ELSE 1 END WHEN a IS NULL THEN CASE WHEN cb0 <= cb1 THEN 1 ELSE 0 END WHEN ca0 + cb1 <= ca1 + cb0 THEN 0 ELSE 1 END AS s0 FROM (
+            SELECT *, {_cost_sql("ea", "d0")} AS ca0, {_cost_sql("ea", "d1")} AS ca1, {_cost_sql("eb", "d0")} AS cb0, {_cost_sql("eb", "d1")} AS cb1 FROM (
+            SELECT *, {_moved_sql("a", "1")} AS ea, {_moved_sql("b", "1")} AS eb FROM (
+            SELECT f.fight_id, f.i, f.frame, f.d0, f.d1, CASE WHEN x.a[7] + f.frame - x.frame - 1 <= {WAIT} THEN {_moved_sql("x.a", "(f.frame - x.frame - 1)")} END AS a, CASE WHEN x.b[7] + f.frame - x.frame - 1 <= {WAIT} THEN {_moved_sql("x.b", "(f.frame - x.frame - 1)")} END AS b
+            FROM acc x JOIN tf f ON f.fight_id = x.fight_id AND f.i = x.i + 1)))))
+    ) SELECT * FROM acc WHERE i > 0))
+    SELECT fight_id, frame, 0 AS no, s0 AS slot FROM ta UNION ALL SELECT fight_id, frame, 1, s1 FROM ta WHERE s1 IS NOT NULL""",
+)
+def _(m):
+    return tracks.track(detections(m), "fight_id")
+
+
+BOXES_SQL = """bx0 AS (SELECT fight_id, corner, frame // 300 AS frame, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM ev GROUP BY ALL),
+    bx1 AS (SELECT *, frame * 2 + k % 7 + CASE WHEN k % 19 = 0 THEN 60 ELSE 0 END AS cx, 100 + frame % 11 + k % 3 AS cy, 40 + k % 5 AS w, 80 + k % 9 AS h FROM bx0),
+    bx AS (SELECT *, CASE WHEN k % 4 > 0 THEN [[cx - 15 + i * 13 % 31, cy - 35 + i * 17 % 71, (2 + (k + i) % 7) / 10] FOR i IN range(17)]::DOUBLE[][] END AS p FROM bx1)"""
+
+
+def people(m) -> DataFrame:
+    """Boxes and skeletons: fight_id, corner, frame, box, skeleton."""
+    t = m.events.groupBy("fight_id", "corner", F.floor(F.col("frame") / 300).alias("frame")).agg(F.max_by("k", "event_id").alias("k"))
+    k, f = F.col("k"), F.col("frame")
+    t = t.withColumns({"cx": f * 2 + k % 7 + F.when(k % 19 == 0, 60).otherwise(0), "cy": f % 11 + k % 3 + 100, "w": k % 5 + 40, "h": k % 9 + 80})
+    joint = lambda i: F.array((F.col("cx") - 15 + i * 13 % 31).cast("double"), (F.col("cy") - 35 + i * 17 % 71).cast("double"), (2 + (k + i) % 7) / 10)
+    cornered = geometry.cornered(F.struct(*(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h"))))
+    return t.select("fight_id", "corner", "frame", cornered.alias("box"), F.when(k % 4 > 0, F.transform(F.sequence(F.lit(0), F.lit(16)), joint)).alias("skeleton"))
+
+
+SMOOTH_FPS = 50.0
+_MEDIAN, _FIT = tracks.odd_frames(tracks.MEDIAN_SECONDS, SMOOTH_FPS), tracks.odd_frames(tracks.FIT_SECONDS, SMOOTH_FPS)
+_GAP = max(1, round(SMOOTH_FPS * tracks.GAP_SECONDS))
+
+
+@query(
+    "M-13",
+    BOXES_SQL
+    + f""", bs0 AS (SELECT *, coalesce(frame - lag(frame) OVER w > {_GAP}, true) AS new FROM bx WINDOW w AS (PARTITION BY fight_id, corner ORDER BY frame)),
+    bs1 AS (SELECT *, sum(new::INT) OVER (PARTITION BY fight_id, corner ORDER BY frame) AS seg FROM bs0), bs AS (SELECT *, count(*) OVER (PARTITION BY fight_id, corner, seg) AS rows FROM bs1),
+    bn AS (SELECT *, lead(frame) OVER w AS nf, {", ".join(f"lead({c}) OVER w AS n_{c}" for c in ("cx", "cy", "w", "h"))} FROM bs WHERE rows > 1 WINDOW w AS (PARTITION BY fight_id, corner, seg ORDER BY frame)),
+    bd AS (SELECT fight_id, corner, seg, f, f > frame AS filled, CASE WHEN f = frame THEN p END AS p, CASE WHEN f = frame THEN [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2] END AS o, {", ".join(f"CASE WHEN f = frame THEN {c} ELSE (n_{c} - {c}) / (nf - frame) * (f - frame) + {c} END::DOUBLE AS {c}" for c in ("cx", "cy", "w", "h"))}, event_id
+        FROM (SELECT *, unnest(range(frame, coalesce(nf, frame + 1))) AS f FROM bn)),
+    bl AS (SELECT fight_id, corner, seg, count(*) AS n, list(f ORDER BY f) AS fs, {", ".join(f"list({c} ORDER BY f) AS l_{c}" for c in ("cx", "cy", "w", "h"))} FROM bd GROUP BY ALL),
+    bm AS (SELECT fight_id, corner, seg, n, fs, least({_FIT}, n - 1 + n % 2) AS win, {", ".join(f"CASE WHEN n < 3 THEN l_{c} ELSE [list_sort([l_{c}[greatest(1, least(n, i + d))] FOR d IN range(-(least({_MEDIAN}, n - 1 + n % 2) // 2), least({_MEDIAN}, n - 1 + n % 2) // 2 + 1)])[least({_MEDIAN}, n - 1 + n % 2) // 2 + 1] FOR i IN range(1, n + 1)] END AS m_{c}" for c in ("cx", "cy", "w", "h"))} FROM bl),
+    bi AS (SELECT *, unnest(range(1, n + 1)) AS i FROM bm), bj AS (SELECT *, least(greatest(i - 1 - win // 2, 0), n - win) AS s FROM bi),
+    bf AS (SELECT fight_id, corner, seg, fs[i] AS f, {", ".join(f"CASE WHEN win > 2 THEN list_sum([({[[[0.0]], *(tracks.fit_weights(w) for w in range(3, _FIT + 1, 2))]})[(win + 1) // 2][i - s][j] * m_{c}[s + j] FOR j IN range(1, win + 1)]) ELSE m_{c}[i] END AS s_{c}" for c in ("cx", "cy", "w", "h"))} FROM bj),
+    bt AS (SELECT bd.*, bf.* EXCLUDE (fight_id, corner, seg, f), [p[i] FOR i IN [6, 7, 12, 13] IF p[i][3] >= 0.4] AS t FROM bd JOIN bf USING (fight_id, corner, seg, f)),
+    bu AS (SELECT *, [s_cx - s_w / 2, s_cy - s_h / 2, s_cx + s_w / 2, s_cy + s_h / 2] AS q, list_avg([j[1] FOR j IN t]) AS tx, list_avg([j[2] FOR j IN t]) AS ty FROM bt),
+    bv AS (SELECT *, CASE WHEN len(t) >= 2 AND sqrt(greatest(q[1] - tx, tx - q[3], 0) ** 2 + greatest(q[2] - ty, ty - q[4], 0) ** 2) / greatest(1, sqrt((q[3] - q[1]) ** 2 + (q[4] - q[2]) ** 2)) > {tracks.DRIFT_RATIO} THEN o ELSE q END AS b,
+        sqrt((p[6][1] - p[7][1]) ** 2 + (p[6][2] - p[7][2]) ** 2) AS sw, sqrt(((p[6][1] + p[7][1]) / 2 - (p[12][1] + p[13][1]) / 2) ** 2 + ((p[6][2] + p[7][2]) / 2 - (p[12][2] + p[13][2]) / 2) ** 2) AS sl, [j FOR j IN p IF j[3] >= 0.4] AS js, [p[i] FOR i IN [10, 11, 16, 17] IF p[i][3] >= 0.4] AS es FROM bu),
+    bw AS (SELECT *, CASE WHEN least(p[6][3], p[7][3], p[12][3], p[13][3]) >= 0.4 AND sl >= 0.5 * sw THEN greatest(sl, 10) WHEN least(p[6][3], p[7][3]) >= 0.4 AND sw > 0 THEN greatest(sw, 10) END AS scale, list_min([j[1] FOR j IN js]) AS hx1, list_min([j[2] FOR j IN js]) AS hy1, list_max([j[1] FOR j IN js]) AS hx2, list_max([j[2] FOR j IN js]) AS hy2 FROM bv),
+    by_ AS (SELECT *, coalesce(len(js) >= 4 AND greatest(hx2 - hx1, hy2 - hy1) <= 6 * scale, false) AS ok, 0.2 * scale AS pad FROM bw)
+    SELECT fight_id, corner, f AS frame, filled, round(CASE WHEN ok THEN least(b[1], hx1, coalesce(list_min([j[1] FOR j IN es]) - pad, hx1)) ELSE b[1] END, 6) AS x1, round(CASE WHEN ok THEN least(b[2], hy1, coalesce(list_min([j[2] FOR j IN es]) - pad, hy1)) ELSE b[2] END, 6) AS y1,
+        round(CASE WHEN ok THEN greatest(b[3], hx2, coalesce(list_max([j[1] FOR j IN es]) + pad, hx2)) ELSE b[3] END, 6) AS x2, round(CASE WHEN ok THEN greatest(b[4], hy2, coalesce(list_max([j[2] FOR j IN es]) + pad, hy2)) ELSE b[4] END, 6) AS y2 FROM by_
+    UNION ALL SELECT fight_id, corner, frame, false, cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2 FROM bs WHERE rows = 1""",
+)
+def _(m):
+    t = tracks.smooth_boxes(people(m), "fight_id", "corner", fps=SMOOTH_FPS)
+    return t.select("fight_id", "corner", "frame", "filled", *(F.round(f"box.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
