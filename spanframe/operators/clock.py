@@ -4,10 +4,13 @@ round list may look like. Frames count from 1; a clock that counts down reads
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.operators.folds import fold
+from spanframe.operators.folds import fold, fold_arrays
 from spanframe.operators.runs import run_lengths
 
 #: Seconds against its direction by which a clock must jump to be a new round's.
@@ -180,3 +183,60 @@ def verdicts(rounds: DataFrame, clock: DataFrame, videos: DataFrame, fps: int, k
     )
     t = t.withColumn("reason", reason).withColumn("review_reason", review)
     return t.select(key, "n", (F.col("reason") == "").alias("is_valid"), "reason", (F.col("review_reason") != "").alias("needs_review"), "review_reason")
+
+
+def merged_runs(readings: DataFrame, fps: int, *keys: str, down: bool = True) -> DataFrame:
+    """Fitted runs after those that tell of one round are joined: keys, run (the first
+    of them), runs (their number), intercept, inliers, highest, lowest, number.
+
+    ``readings``: keys, run, frame, secs, round_num. Runs with fewer than MIN_SAMPLES
+    readings near their median are left out. In order, a run joins the one before if
+    their intercepts differ by at most MAX_RESIDUAL and the sets of numbers read do not
+    contradict each other; what is joined is fitted anew, so that the next run meets
+    the new intercept. ``number`` is the one read most often (ties: first), or null.
+    The fold sees one row a run, and holds one run's readings.
+    """
+    v = F.col("secs") * fps + F.col("frame") if down else F.col("frame") - F.col("secs") * fps
+    t = readings.where("secs is not null").select(*keys, "run", "frame", "secs", "round_num", v.alias("_v"))
+    t = t.join(t.groupBy(*keys, "run").agg(F.median("_v").alias("_centre")), [*keys, "run"]).where(F.abs(F.col("_v") - F.col("_centre")) <= MAX_RESIDUAL * fps)
+    row = F.struct("frame", F.col("secs").cast("double").alias("secs"), F.coalesce(F.col("round_num").cast("double"), F.lit(float("nan"))).alias("num"), F.col("_v").cast("double").alias("v"))
+    t = t.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(row)).alias("_r")).where(F.size("_r") >= MIN_SAMPLES)
+    t = t.select(*keys, "run", *(F.col(f"_r.{c}").alias(f"_{c}") for c in ("secs", "num", "v")))
+
+    def step(state, c):
+        out = []
+        for run, secs, num, v in zip(c["run"].tolist(), c["_secs"], c["_num"], c["_v"], strict=True):
+            now = (np.asarray(secs, float), np.asarray(num, float), np.asarray(v, float))
+            centre, first, n = float(np.median(now[2])), run, 1
+            if state is not None:
+                before, at = state[0], state[1]
+                numbers = [set(x[1][~np.isnan(x[1])].tolist()) for x in (before, now)]
+                if abs(centre - at) <= MAX_RESIDUAL * fps and not (all(numbers) and numbers[0] != numbers[1]):
+                    now = tuple(map(np.concatenate, zip(before, now, strict=True)))
+                    centre, first, n = float(np.median(now[2])), state[2], state[3] + 1
+                    near = np.abs(now[2] - centre) <= MAX_RESIDUAL * fps
+                    if not near.all():
+                        now = tuple(x[near] for x in now)
+                        centre = float(np.median(now[2])) if near.any() else centre
+            state = (now, centre, first, n)
+            read = now[1][~np.isnan(now[1])].tolist()
+            size = len(now[0])
+            out.append((first, n, round(centre / fps, 6), size, float(now[0].max()) if size else None, float(now[0].min()) if size else None, int(Counter(read).most_common(1)[0][0]) if read else None))
+        return state, list(zip(*out, strict=True))
+
+    new = ["first", "runs", "intercept", "inliers", "highest", "lowest", "number"]
+    t = fold_arrays(t, step, ["run", "_secs", "_num", "_v"], "first long, runs long, intercept double, inliers long, highest double, lowest double, number long", *keys, order=["run"])
+    last = t.groupBy(*keys, "first").agg(F.max_by(F.struct(*new[1:]), "run").alias("_s"))
+    return last.select(*keys, F.col("first").alias("run"), "_s.*")
+
+
+def numbered_rounds(runs: DataFrame, *keys: str) -> DataFrame:
+    """Add ``round_number`` and ``numbered``: a run's own number; else counted off from
+    the key's first run that has one, but at least 1; else its place in order."""
+    w = Window.partitionBy(*keys).orderBy("run")
+    place = F.row_number().over(w)
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    anchor = F.first(F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("n"), F.col("_place").alias("p"))), ignorenulls=True).over(all_)
+    t = runs.withColumn("_place", place).withColumn("_anchor", anchor)
+    counted = F.when(F.col("_anchor").isNotNull(), F.greatest(F.lit(1), F.col("_anchor.n") + F.col("_place") - F.col("_anchor.p")))
+    return t.withColumns({"round_number": F.coalesce("number", counted, "_place").cast("long"), "numbered": F.col("number").isNotNull()}).drop("_place", "_anchor")

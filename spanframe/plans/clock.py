@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.operators import clock, smoothing
+from spanframe.operators import calibration, clock, smoothing
 from spanframe.operators.clock import CONFIRM, MAX_BACKWARD, MAX_RESIDUAL, MIN_BREAK, MIN_INTERIOR, RESET_JUMP
 from spanframe.plans.registry import query
 from spanframe.sources.testdata import FPS, ROUND_FRAMES
@@ -196,3 +196,93 @@ _W = "1 / (1 + 1 / (2 * pi() * {}) / dt)"
 def _(m):
     t = m.events.where("value is not null").groupBy("fight_id", "corner", "frame").agg(F.max_by("value", "event_id").cast("double").alias("x"), (F.max("event_id") % 10 / 10).alias("confidence"))
     return smoothing.one_euro(t, "fight_id", "corner").select("fight_id", "corner", "frame", F.round("smooth", 6).alias("smooth"))
+
+
+# ---------------------------------------------------------------- joined runs
+
+_MODE = "list_sort([{'n': -len(list_filter(l, lambda x: x.n = m)), 'p': list_position([x.n FOR x IN l], m), 'm': m} FOR m IN list_distinct([x.n FOR x IN l IF x.n IS NOT NULL])])[1].m"
+MERGED_SQL = (
+    RUN_SQL
+    + f""", iv AS (SELECT fight_id, run, frame, secs, round_num, secs * {FPS} + frame AS v FROM rn), md AS (SELECT fight_id, run, median(v) AS c FROM iv GROUP BY ALL),
+    rl0 AS (SELECT fight_id, run, list({{'s': secs, 'n': round_num, 'v': v}} ORDER BY frame) AS l FROM iv JOIN md USING (fight_id, run) WHERE abs(v - c) <= {MAX_RESIDUAL * FPS} GROUP BY ALL HAVING count(*) >= {clock.MIN_SAMPLES}),
+    rl AS (SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY run) AS i FROM rl0),
+    mr AS (SELECT * FROM (WITH RECURSIVE acc AS (
+        SELECT fight_id, i, run AS first, 1 AS runs, l, list_aggregate([x.v FOR x IN l], 'median') AS c FROM rl WHERE i = 1
+        UNION ALL
+        SELECT fight_id, i, first, runs, l, CASE WHEN joined AND len(l) < len(whole) AND len(l) > 0 THEN list_aggregate([x.v FOR x IN l], 'median') ELSE c END FROM (
+            SELECT fight_id, i, joined, CASE WHEN joined THEN first ELSE run END AS first, CASE WHEN joined THEN runs + 1 ELSE 1 END AS runs, CASE WHEN joined THEN whole ELSE l END AS whole,
+                   CASE WHEN joined THEN list_filter(whole, lambda x: abs(x.v - cw) <= {MAX_RESIDUAL * FPS}) ELSE l END AS l, CASE WHEN joined THEN cw ELSE cl END AS c FROM (
+            SELECT a.fight_id, r.i, r.run, a.first, a.runs, r.l, a.l || r.l AS whole, list_aggregate([x.v FOR x IN a.l || r.l], 'median') AS cw, list_aggregate([x.v FOR x IN r.l], 'median') AS cl,
+                   abs(list_aggregate([x.v FOR x IN r.l], 'median') - a.c) <= {MAX_RESIDUAL * FPS} AND NOT (len([1 FOR x IN a.l IF x.n IS NOT NULL]) > 0 AND len([1 FOR x IN r.l IF x.n IS NOT NULL]) > 0
+                       AND list_sort(list_distinct([x.n FOR x IN a.l IF x.n IS NOT NULL])) <> list_sort(list_distinct([x.n FOR x IN r.l IF x.n IS NOT NULL]))) AS joined
+            FROM acc a JOIN rl r ON r.fight_id = a.fight_id AND r.i = a.i + 1))
+    ) SELECT * FROM acc)),
+    mg AS (SELECT fight_id, first AS run, arg_max(runs, i) AS runs, arg_max(l, i) AS l, arg_max(c, i) AS c FROM mr GROUP BY ALL),
+    mn AS (SELECT fight_id, run, runs, round(c / {FPS}, 6) AS intercept, len(l) AS inliers, list_max([x.s FOR x IN l])::DOUBLE AS highest, list_min([x.s FOR x IN l])::DOUBLE AS lowest, {_MODE}::BIGINT AS number FROM mg)"""
+)
+
+
+def merged(m) -> DataFrame:
+    return clock.merged_runs(clock.split_runs(readings(m), "fight_id"), FPS, "fight_id")
+
+
+@query("M-10", MERGED_SQL + " SELECT * FROM mn")
+def _(m):
+    return merged(m)
+
+
+@query(
+    "M-12",
+    MERGED_SQL
+    + """, mp AS (SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY run) AS i FROM mn), ma AS (SELECT fight_id, arg_min(number, i) AS an, min(i) AS ai FROM mp WHERE number IS NOT NULL GROUP BY fight_id)
+    SELECT fight_id, run, coalesce(number, CASE WHEN an IS NOT NULL THEN greatest(1, an + i - ai) END, i)::BIGINT AS round_number, number IS NOT NULL AS numbered FROM mp LEFT JOIN ma USING (fight_id)""",
+)
+def _(m):
+    return clock.numbered_rounds(merged(m), "fight_id").select("fight_id", "run", "round_number", "numbered")
+
+
+# ---------------------------------------------------------------- the scoreboard's place
+
+BOARD_SQL = """cb AS (SELECT fight_id, row_number() OVER (PARTITION BY fight_id ORDER BY frame, event_id) AS no, CASE WHEN k % 3 = 0 THEN 'round' ELSE 'timer' END AS kind,
+    (CASE WHEN k % 7 = 0 THEN 300 ELSE 100 END + event_id % 23)::DOUBLE AS x1, (600 + k % 13)::DOUBLE AS y1, (CASE WHEN k % 7 = 0 THEN 300 ELSE 100 END + event_id % 23 + 20 + k % 9)::DOUBLE AS x2, (610 + k % 13 + event_id % 5)::DOUBLE AS y2 FROM ev)"""
+CLUSTER_SQL = (
+    BOARD_SQL
+    + """, ct AS (SELECT fight_id, kind, greatest(1, median(x2 - x1)) AS tx, greatest(1, median(y2 - y1)) AS ty FROM cb GROUP BY ALL),
+    ci AS (SELECT cb.*, tx, ty, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, row_number() OVER (PARTITION BY fight_id, kind ORDER BY no) AS i FROM cb JOIN ct USING (fight_id, kind)),
+    cl AS (SELECT * FROM (WITH RECURSIVE acc AS (
+        SELECT fight_id, kind, 0::BIGINT AS i, 0::BIGINT AS no, []::STRUCT(x DOUBLE, y DOUBLE, n INT)[] AS cs, 0::BIGINT AS p FROM ct
+        UNION ALL
+        SELECT fight_id, kind, i, no, CASE WHEN p <= len(cs) THEN [CASE WHEN j = p THEN {'x': cs[j].x + cx, 'y': cs[j].y + cy, 'n': cs[j].n + 1} ELSE cs[j] END FOR j IN range(1, len(cs) + 1)] ELSE cs || [{'x': cx, 'y': cy, 'n': 1}] END, p FROM (
+            SELECT c.*, a.cs, coalesce(list_min([j FOR j IN range(1, len(a.cs) + 1) IF abs(a.cs[j].x / a.cs[j].n - c.cx) <= c.tx AND abs(a.cs[j].y / a.cs[j].n - c.cy) <= c.ty]), len(a.cs) + 1) AS p
+            FROM acc a JOIN ci c ON c.fight_id = a.fight_id AND c.kind = a.kind AND c.i = a.i + 1)
+    ) SELECT fight_id, kind, no, p - 1 AS cluster FROM acc WHERE i > 0))"""
+)
+
+
+def board_boxes(m) -> DataFrame:
+    """fight_id, no, kind, x1, y1, x2, y2."""
+    k, e = F.col("k"), F.col("event_id")
+    t = m.events.withColumn("no", F.row_number().over(Window.partitionBy("fight_id").orderBy("frame", "event_id")))
+    x = F.when(k % 7 == 0, 300).otherwise(100) + e % 23
+    box = {"x1": x, "y1": k % 13 + 600, "x2": x + 20 + k % 9, "y2": k % 13 + 610 + e % 5}
+    return t.select("fight_id", "no", F.when(k % 3 == 0, "round").otherwise("timer").alias("kind"), *(c.cast("double").alias(n) for n, c in box.items()))
+
+
+@query("M-08", CLUSTER_SQL + " SELECT fight_id, kind, no, cluster::INT AS cluster FROM cl")
+def _(m):
+    return calibration.clustered(board_boxes(m), "fight_id", "kind").select("fight_id", "kind", "no", "cluster")
+
+
+@query(
+    "A-46",
+    CLUSTER_SQL
+    + f""", cn AS (SELECT fight_id, kind, cluster, count(*) AS n FROM cl GROUP BY ALL), cw AS (SELECT fight_id, kind, arg_max(cluster, n * 1000000 - cluster) AS cluster FROM cn GROUP BY ALL),
+    ca AS (SELECT fight_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM cb JOIN cl USING (fight_id, kind, no) JOIN cw USING (fight_id, kind, cluster) GROUP BY fight_id), {READ_SQL},
+    cs AS (SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY fight_id) AS n FROM rd),
+    cr AS (SELECT fight_id, count(*) FILTER (WHERE k % 4 > 1) / count(*) AS match_rate FROM cs WHERE list_contains([(j * n) // least({calibration.TRIED}, n) FOR j IN range(least({calibration.TRIED}, n))], i) GROUP BY fight_id)
+    SELECT fight_id, greatest(0, x1 - {calibration.PADDING}) AS x, greatest(0, y1 - {calibration.PADDING}) AS y, least(1280, x2 + {calibration.PADDING}) - greatest(0, x1 - {calibration.PADDING}) AS w, least(620, y2 + {calibration.PADDING}) - greatest(0, y1 - {calibration.PADDING}) AS h,
+        match_rate, match_rate >= {calibration.MIN_RATE} AS accepted FROM ca JOIN cr USING (fight_id)""",
+)
+def _(m):
+    samples = readings(m).select("fight_id", "frame", (F.col("k") % 4 > 1).alias("reads"))
+    return calibration.region(board_boxes(m), samples, m.fights.select("fight_id", F.lit(1280.0).alias("width"), F.lit(620.0).alias("height")))
