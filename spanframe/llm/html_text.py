@@ -32,9 +32,11 @@ CLOSES = (
     {tag: (("p",), ("button", "td", "th", "caption")) for tag in BLOCK - {"option", "optgroup", "body", "html", "legend", "caption"}}
     | {"li": (("li", "p"), _ITEM_WALLS)}
     | {tag: (("dt", "dd", "p"), _ITEM_WALLS) for tag in ("dt", "dd")}
-    | {tag: (("td", "th"), ("table",)) for tag in ("td", "th")}
-    | {"tr": (("tr", "td", "th"), ("table",))}
-    | {tag: (("thead", "tbody", "tfoot", "caption", "tr", "td", "th"), ("table",)) for tag in ("thead", "tbody", "tfoot")}
+    | {tag: (("td", "th", "caption", "colgroup"), ("table",)) for tag in ("td", "th")}
+    | {"tr": (("tr", "td", "th", "caption", "colgroup"), ("table",))}
+    | {"col": (("caption",), ("table",))}
+    | {tag: (("caption", "colgroup"), ("table",)) for tag in ("caption", "colgroup")}
+    | {tag: (("thead", "tbody", "tfoot", "caption", "colgroup", "tr", "td", "th"), ("table",)) for tag in ("thead", "tbody", "tfoot")}
     | {"option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",))}
 )
 #: What may stand in a head; any other start tag or text ends it.
@@ -63,7 +65,7 @@ class Element:
     def boxed(self) -> bool:
         """Whether the element is laid out at all; what it holds cannot undo this."""
         a = self.attrs
-        if self.tag in UNSEEN or "hidden" in a or (self.tag == "dialog" and "open" not in a) or (self.tag == "input"):
+        if self.tag in UNSEEN or "hidden" in a or "popover" in a or (self.tag == "dialog" and "open" not in a) or (self.tag == "input"):
             return False
         return not ("style" in a and _NO_BOX.search(a["style"]))
 
