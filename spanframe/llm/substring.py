@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import give_back, hash_grams, hash_words, in_slices, join_sized, materialize, mix64, release
@@ -276,7 +276,7 @@ SPANS = "array<struct<begin:int,end:int>>"
 
 
 def search_shards(distinct: DataFrame, length: int) -> DataFrame:
-    """sid, first, spans of distinct segments (key, sid, words, first, last): the
+    """key, sid, proof, first, spans of distinct segments (key, sid, words, first, last): the
     intervals of the first document's segment that earlier documents hold. Segments
     without any that only the first document has are left out."""
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -290,13 +290,14 @@ def search_shards(distinct: DataFrame, length: int) -> DataFrame:
         cuts = np.cumsum([len(p) for p in packed])[:-1]
         first = np.array([r[3] for r in rows], dtype=np.int64)
         found = repeated_intervals(np.split(wide.view("<u8").reshape(-1), cuts), first, length)
-        hit = [(r[1], r[3], [{"begin": a, "end": b} for a, b in f.tolist()]) for r, f in zip(rows, found) if len(f) or r[3] < r[4]]
-        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64()), pa.array([h[2] for h in hit], kind)], ["sid", "first", "spans"])
+        hit = [(r[0], r[1], r[5], r[3], [{"begin": a, "end": b} for a, b in f.tolist()]) for r, f in zip(rows, found) if len(f) or r[3] < r[4]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], k) for i, k in enumerate(kinds)], ["key", "sid", "proof", "first", "spans"])
 
     def run(batches):
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if held >= BLOCK_WORDS and row[0] != rows[-1][0]:
                     yield from block(rows)
                     rows, held = [], 0
@@ -305,8 +306,21 @@ def search_shards(distinct: DataFrame, length: int) -> DataFrame:
         yield from block(rows)
         give_back()
 
-    lined = distinct.select("key", "sid", "words", "first", "last").repartition("key").sortWithinPartitions("key")
-    return lined.mapInArrow(run, f"sid long, first long, spans {SPANS}")
+    lined = distinct.select("key", "sid", "words", "first", "last", proof()).repartition("key").sortWithinPartitions("key")
+    return lined.mapInArrow(run, f"key long, sid long, proof long, first long, spans {SPANS}")
+
+
+def proof() -> Column:
+    """A second hash of a segment's words, beside its anchor and ``sid``: segments meet
+    by 128 bits and more."""
+    return F.xxhash64("words").alias("proof")
+
+
+def meet(parts: DataFrame, owners: DataFrame) -> DataFrame:
+    """Each segment (d, t, start, key, sid, words) with the first document and the spans
+    found for it, as _n, first and spans."""
+    n = F.expr(f"int(length(words) div {PACKED})").alias("_n")
+    return parts.select("d", "t", "start", "key", "sid", proof(), n).join(owners, ["key", "sid", "proof"])
 
 
 def cut_into_windows(parts: DataFrame, length: int) -> DataFrame:
@@ -320,18 +334,25 @@ def cut_into_windows(parts: DataFrame, length: int) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def later_copies(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (d, t) of texts (d, t, u) that an earlier document has as well, by both
+    hashes, and the table that they were found by; both are materialized."""
+    firsts = plain.groupBy("t", "u").agg(F.min("d").alias("_first"), F.max("d").alias("_last")).where("_first < _last").select("t", "u", "_first")
+    firsts = materialize(firsts, "firsts")
+    copies = join_sized(plain, firsts, ["t", "u"], "inner", BROADCAST_DOCS).where("d > _first").select("d", "t").distinct()
+    return materialize(copies, "copies"), firsts
+
+
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """d, t, spans: the word intervals (begin, end inclusive, by begin) that windows
     of earlier documents cover, for each document (d, t, text) that has any.
 
-    Equal texts (by their hash ``t``) collapse into the first one's: all of a later
-    copy is covered, and what the first has of earlier texts the search finds.
+    Equal texts (by their hash ``t`` and a second one over text and length) collapse
+    into the first one's: all of a later copy is covered, and what the first has of
+    earlier texts the search finds.
     """
-    plain = materialize(docs.select("d", "t"), "texts")
-    firsts = plain.groupBy("t").agg(F.min("d").alias("_first"), F.max("d").alias("_last")).where("_first < _last").select("t", "_first")
-    firsts = materialize(firsts, "firsts")
-    copies = join_sized(plain, firsts, ["t"], "inner", BROADCAST_DOCS).where("d > _first").select("d", "t").distinct()
-    copies = materialize(copies, "copies")
+    plain = materialize(docs.select("d", "t", F.xxhash64(F.octet_length("text"), "text").alias("u")), "texts")
+    copies, firsts = later_copies(plain)
     single = join_sized(docs, copies, ["d", "t"], "left_anti", BROADCAST_DOCS)
 
     of_key = Window.partitionBy("key")
@@ -348,7 +369,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     distinct = distinct(parts)
     owners = search_shards(distinct, length)
     # all of a segment that an earlier document has whole; of its first document what the search found
-    hits = parts.select("d", "t", "start", "sid", F.expr(f"int(length(words) div {PACKED})").alias("_n")).join(owners, "sid")
+    hits = meet(parts, owners)
     whole = F.array(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("_n") - 1).alias("end")))
     some = F.transform("spans", lambda x: F.struct((F.col("start") + x["begin"]).alias("begin"), (F.col("start") + x["end"]).alias("end")))
     hits = hits.select("d", "t", F.inline(F.when(F.col("d") > F.col("first"), whole).otherwise(some)))
