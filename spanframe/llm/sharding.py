@@ -25,16 +25,17 @@ def interleave(docs: DataFrame, shards: int, *, key: str = "doc_id", source: str
     gives an empty result; columns named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
-    t = docs.withColumn("_source", group_key(source))
-    t = t.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    t = t.withColumn("_tie", F.xxhash64(*docs.columns)).withColumn("_cell", hex_number(F.col("_hash"), 1, 4))
-    t = ranked(t, ["_source"], "_cell", ["_hash", "_tie"], "_rank")
+    # own columns travel as one struct, so that none is taken for a helper of the same name
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own")
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    t = docs.select(own, group_key(source).alias("_source"), hashed.alias("_hash"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_tie"))
+    t = ranked(t.withColumn("_cell", hex_number(F.col("_hash"), 1, 4)), ["_source"], "_cell", ["_hash", "_tie"], "_rank")
     counts = docs.groupBy(group_key(source).alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     t = t.join(counts, "_source").withColumn("_part", (F.col("_rank") * 2 - 1) / (F.col("_n") * 2))
     t = t.withColumn("_cell", F.floor(F.col("_part") * CELLS))
     t = ranked(t, [], "_cell", ["_part", "_source", "_hash", "_tie"], "_at")
     total = counts.agg(F.sum("_n").alias("_total"))  # one row
     t = t.join(F.broadcast(total), F.lit(True)).withColumn("_at", F.col("_at") - 1)
-    t = t.withColumn("shard", F.expr(f"_at * {shards} div _total").cast("int"))
-    first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    return t.withColumn("slot", F.col("_at") - first).drop("_source", "_hash", "_tie", "_cell", "_rank", "_n", "_part", "_at", "_total")
+    t = t.withColumn("_shard", F.expr(f"_at * {shards} div _total").cast("int"))
+    first = F.expr(f"(_shard * _total + {shards - 1}) div {shards}")
+    return t.select("_own.*", F.col("_shard").alias("shard"), (F.col("_at") - first).alias("slot"))
