@@ -60,18 +60,21 @@ def mix(docs: DataFrame, size: str, *, key: str = "doc_id", source: str = "sourc
     docs = docs.drop("source_size", "target", "copies", "taken").withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
     shares = source_targets(docs.select(source, size), source, size, weights, max_repeat)
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    t = docs.withColumn("_z", F.greatest(F.col(size), F.lit(1))).withColumn("_p", F.length(F.bin("_z")) - 1)
+    # own columns travel as one struct, so that none is taken for a helper of the same name
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own")
+    t = docs.select(own, F.col(size).alias("_size"), F.col(key).alias("_key"), group_key(source).alias("_source"), hashed.alias("_hash"))
+    t = t.withColumn("_z", F.greatest(F.col("_size"), F.lit(1))).withColumn("_p", F.length(F.bin("_z")) - 1)
     # a class for every 16th of an octave of sizes; 256 hashed cells in each
     klass = F.expr("_p * 16 + shiftright((_z - shiftleft(1L, _p)) * 16, _p)")
-    t = t.withColumn("_source", group_key(source)).withColumn("_hash", hashed)
     t = t.withColumn("_cell", klass.cast("long") * 256 + hex_number(F.col("_hash"), 1, 2))
-    t = ranked(t, ["_source"], "_cell", [size, "_hash", key], "_rank")
+    t = ranked(t, ["_source"], "_cell", ["_size", "_hash", "_key"], "_rank")
     t = join_sized(t, materialize(shares, "shares"), ["_source"], "inner", BROADCAST_SOURCES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = hex_number(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_source"))), 1, 8) / F.lit(4294967296.0)
     passed = lambda rank: F.floor(offset + rate * rank)
-    t = t.withColumn("copies", F.least((passed(F.col("_rank")) - passed(F.col("_rank") - 1)).cast("long"), F.lit(max_repeat).cast("long")))
-    return t.withColumn("taken", F.col("copies") * F.col(size)).drop("_source", "_hash", "_cell", "_rank", "_z", "_p")
+    copies = F.least((passed(F.col("_rank")) - passed(F.col("_rank") - 1)).cast("long"), F.lit(max_repeat).cast("long"))
+    t = t.withColumn("_copies", copies)
+    return t.select("_own.*", "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def emit(docs: DataFrame, *, size: str | Column, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
