@@ -98,6 +98,10 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.drop("_lines", "_windows", "_sorted", "_places")
 
 
+#: The columns that ``judge`` adds.
+JUDGED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def judge(docs: DataFrame, ratios: list[float], *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add the base statistics, ``score`` (mean ratio of the words and word pairs,
     0 without any) and ``kept``: neither failed by the base rules nor below
@@ -108,10 +112,12 @@ def judge(docs: DataFrame, ratios: list[float], *, text: str = "text", threshold
     stay; columns with the names of new ones are replaced.
     """
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # a constant of BUCKETS numbers
-    t = base_stats(docs, text).withColumn("_grams", _grams())
+    # own columns travel as one struct, so that none is taken for a helper of the same name
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in JUDGED)).alias("_own")
+    t = base_stats(docs.select(own, F.col(text).alias("_text")), "_text").withColumn("_grams", _grams())
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
     t = t.withColumn("score", F.when(F.size("_grams") > 0, F.round(total / F.size("_grams"), 9)).otherwise(F.lit(0.0)))
-    return t.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_words", "_hashes", "_grams")
+    return t.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select("_own.*", *JUDGED)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
