@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import geometry, readings
-from spanframe.operators import corners, hysteresis, segmentation, tracks
+from spanframe.functions.vocabulary import LABEL_FAMILY, lookup, sql_lookup
+from spanframe.operators import corners, hysteresis, segmentation, tracks, training
 from spanframe.operators.segmentation import BLOCK, Rules, number_rows
 from spanframe.plans.registry import query
 
@@ -286,3 +287,72 @@ _GAP = max(1, round(SMOOTH_FPS * tracks.GAP_SECONDS))
 def _(m):
     t = tracks.smooth_boxes(people(m), "fight_id", "corner", fps=SMOOTH_FPS)
     return t.select("fight_id", "corner", "frame", "filled", *(F.round(f"box.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+# ---------------------------------------------------------------- training data
+
+SAMPLE_SQL = (
+    BOXES_SQL
+    + f""", lb AS (SELECT fight_id, frame // 300 AS frame, corner, event_id, target, {sql_lookup(LABEL_FAMILY, "action")} AS family FROM ev WHERE source = 'label' AND {sql_lookup(LABEL_FAMILY, "action")} IS NOT NULL),
+    lp AS (SELECT *, list_position({list(training.CLASSES)!r}, family) - 1 AS f, coalesce(list_position({list(training.TARGETS)!r}, target), 0) - 1 AS t FROM lb),
+    ps AS (SELECT * FROM bx WHERE p IS NOT NULL), po AS (SELECT lp.* FROM lp SEMI JOIN ps USING (fight_id, corner, frame) WHERE f > 0)"""
+)
+FRAME_SECONDS = 1.0
+
+
+def sample_labels(m) -> DataFrame:
+    """Label strikes on the people's frames: fight_id, frame, corner, family, target, event_id, fps."""
+    t = m.events.where("source = 'label'").withColumn("family", lookup(LABEL_FAMILY, "action")).where("family is not null")
+    return t.select("fight_id", F.floor(F.col("frame") / 300).alias("frame"), "corner", "family", "target", "event_id", F.lit(FRAME_SECONDS).alias("fps"))
+
+
+def _coarse(spans: DataFrame) -> DataFrame:
+    return spans.select("fight_id", *(F.floor(F.col(c) / 300).alias(c) for c in ("start_frame", "end_frame")))
+
+
+@query(
+    "M-18",
+    SAMPLE_SQL
+    + """, ha AS (SELECT fight_id, frame, 1 - corner AS corner FROM po), fr AS (SELECT fight_id, corner, frame FROM ps),
+    nl AS (SELECT DISTINCT fight_id, corner, frame + d AS frame FROM lb, range(-1, 2) t(d)),
+    hn AS (SELECT ha.* FROM ha ANTI JOIN nl USING (fight_id, corner, frame) SEMI JOIN ps USING (fight_id, corner, frame)),
+    fn AS (SELECT fr.*, md5('5:' || fight_id || ':' || corner || ':' || frame) AS h FROM fr ANTI JOIN nl USING (fight_id, corner, frame)
+        WHERE EXISTS (FROM rounds r WHERE r.fight_id = fr.fight_id AND fr.frame BETWEEN r.start_frame // 300 AND r.end_frame // 300) AND NOT EXISTS (FROM excluded x WHERE x.fight_id = fr.fight_id AND fr.frame BETWEEN x.start_frame // 300 AND x.end_frame // 300)),
+    fw AS (SELECT fight_id, count(*) AS want FROM po GROUP BY fight_id), fp AS (SELECT fn.*, row_number() OVER (PARTITION BY fight_id ORDER BY h) AS i FROM fn)
+    SELECT fight_id, frame, corner, 'label' AS kind, f::INT AS family, t::INT AS target, event_id FROM po UNION ALL SELECT fight_id, frame, corner, 'hard_neg', 0, -1, NULL FROM hn UNION ALL SELECT fight_id, frame, corner, 'rand_neg', 0, -1, NULL FROM fp JOIN fw USING (fight_id) WHERE i <= want""",
+)
+def _(m):
+    return training.samples(sample_labels(m), people(m), _coarse(m.rounds), _coarse(m.excluded), seed=5)
+
+
+_FEATS = "[CASE WHEN q[3] >= 0.4 THEN greatest(-8, least(8, CASE WHEN flip THEN -1 ELSE 1 END * (q[1] - ax) / scale)) ELSE 0 END, CASE WHEN q[3] >= 0.4 THEN greatest(-8, least(8, (q[2] - ay) / scale)) ELSE 0 END, q[3]]"
+_SWAP = [*range(1, 18)]
+for _a, _b in training.MIRRORED:
+    _SWAP[_a], _SWAP[_b] = _b + 1, _a + 1
+
+
+def _person_sql(p: str) -> str:
+    zeros = f"[0.0 FOR i IN range({training.PERSON_CHANNELS})]"
+    return f"CASE WHEN {p} IS NULL THEN {zeros} ELSE flatten(list_transform([{p}[CASE WHEN flip THEN {_SWAP!r}[i] ELSE i END] FOR i IN range(1, 18)], lambda q: {_FEATS})) || [1.0] END"
+
+
+@query(
+    "M-17",
+    SAMPLE_SQL
+    + f""", wa0 AS (SELECT *, [p[i] FOR i IN [6, 7, 12, 13] IF p[i][3] >= 0.4] AS t, sqrt((p[6][1] - p[7][1]) ** 2 + (p[6][2] - p[7][2]) ** 2) AS sw, sqrt(((p[6][1] + p[7][1]) / 2 - (p[12][1] + p[13][1]) / 2) ** 2 + ((p[6][2] + p[7][2]) / 2 - (p[12][2] + p[13][2]) / 2) ** 2) AS sl FROM ps),
+    wa AS (SELECT fight_id, corner, frame, p, CASE WHEN len(t) >= 2 THEN (list_min([j[1] FOR j IN t]) + list_max([j[1] FOR j IN t])) / 2 ELSE cx END AS ax, CASE WHEN len(t) >= 2 THEN (list_min([j[2] FOR j IN t]) + list_max([j[2] FOR j IN t])) / 2 ELSE cy END AS ay,
+        CASE WHEN least(p[6][3], p[7][3], p[12][3], p[13][3]) >= 0.4 AND sl >= 0.5 * sw THEN greatest(sl, 10) WHEN least(p[6][3], p[7][3]) >= 0.4 AND sw > 0 THEN greatest(sw, 10) ELSE greatest(h / 3, 10) END AS scale FROM wa0),
+    wn AS (SELECT fight_id, max(frame) // 300 + 1 AS n FROM ev GROUP BY fight_id), wr AS (SELECT po.event_id, po.fight_id, po.corner, po.frame, n, ax, ay, scale FROM po JOIN wa USING (fight_id, corner, frame) JOIN wn USING (fight_id)),
+    wg AS (SELECT *, greatest(0, least(n - 1, round_even(frame + (step - {(training.TOTAL - 1) // 2}) / {training.HERTZ} * 10, 0)::BIGINT)) AS f FROM (SELECT *, unnest(range({training.TOTAL})) AS step FROM wr)),
+    wj AS (SELECT g.*, a.p AS ap, o.p AS op, o.ax AS ox FROM wg g LEFT JOIN wa a ON a.fight_id = g.fight_id AND a.corner = g.corner AND a.frame = g.f LEFT JOIN wa o ON o.fight_id = g.fight_id AND o.corner = 1 - g.corner AND o.frame = g.f),
+    wf AS (SELECT event_id, arg_min(ox, abs(f - frame) * 100 + step) FILTER (WHERE ox IS NOT NULL) AS ox FROM wj GROUP BY event_id),
+    wl AS (SELECT wj.* EXCLUDE (ox), coalesce(coalesce(o.ax, wf.ox) < wj.ax, false) AS flip FROM wj JOIN wf USING (event_id) LEFT JOIN wa o ON o.fight_id = wj.fight_id AND o.corner = 1 - wj.corner AND o.frame = wj.frame),
+    wc AS (SELECT event_id, unnest({_person_sql("ap")} || {_person_sql("op")}) AS v, unnest(range({training.CHANNELS})) AS c FROM wl), ws AS (SELECT event_id, c, sum(v) AS s, max(v) AS m FROM wc GROUP BY ALL)
+    SELECT event_id, {training.TOTAL} AS steps, list(round(s, 4) ORDER BY c) AS sums, list(round(m, 4) ORDER BY c) AS most FROM ws GROUP BY event_id""",
+)
+def _(m):
+    frames = m.events.groupBy("fight_id").agg((F.floor(F.max("frame") / 300) + 1).alias("n_frames"))
+    asked = sample_labels(m).where(F.col("family").isin(*training.CLASSES[1:])).join(frames, "fight_id").select(F.col("event_id").alias("id"), "fight_id", "frame", "corner", F.lit(10.0).alias("fps"), "n_frames")
+    t = training.windows(asked, people(m))
+    total = lambda ch: F.round(F.aggregate(ch, F.lit(0.0), lambda a, v: a + v), 4)
+    return t.select(F.col("id").alias("event_id"), F.size(F.get("window", F.lit(0))).alias("steps"), F.transform("window", total).alias("sums"), F.transform("window", lambda ch: F.round(F.array_max(ch), 4)).alias("most"))
