@@ -92,3 +92,17 @@ def turns(frames: DataFrame, key: str = "fight_id", block: int = BLOCK) -> DataF
     t = number_rows(t, key, order=["frame"], block=block, out="at")
     found = latched(t, key, "at", "ask", "need", F.lit(False), ["frame"], block)
     return found.select(key, "frame", F.col("on").alias("swapped"))
+
+
+def decisive(frames: DataFrame, key: str = "fight_id") -> DataFrame:
+    """Frames in which the colours tell the corners apart: key, frame, right. ``frames``:
+    key, frame, vote_0, vote_1 (1: red, 0: blue, null: neither); corner 0 is right if red."""
+    told = F.col("vote_0").isNotNull() & F.col("vote_1").isNotNull() & (F.col("vote_0") != F.col("vote_1"))
+    return frames.where(told).select(key, "frame", (F.col("vote_0") == 1).alias("right"))
+
+
+def accuracy(frames: DataFrame, keys: DataFrame, key: str = "fight_id") -> DataFrame:
+    """For each of ``keys``: decisive, correct and accuracy (null without decisive frames)."""
+    t = decisive(frames, key).groupBy(key).agg(F.count(F.lit(1)).alias("decisive"), F.count_if("right").alias("correct"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return keys.select(key).join(t, key, "left").select(key, zero("decisive"), zero("correct"), (F.col("correct") / F.col("decisive")).alias("accuracy"))

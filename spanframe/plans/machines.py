@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import geometry, readings
 from spanframe.functions.vocabulary import LABEL_FAMILY, lookup, sql_lookup
-from spanframe.operators import corners, hysteresis, segmentation, tracks, training
+from spanframe.operators import corners, hysteresis, runs, segmentation, selection, tracks, training
 from spanframe.operators.segmentation import BLOCK, Rules, number_rows
 from spanframe.plans.registry import query
 
@@ -356,3 +356,53 @@ def _(m):
     t = training.windows(asked, people(m))
     total = lambda ch: F.round(F.aggregate(ch, F.lit(0.0), lambda a, v: a + v), 4)
     return t.select(F.col("id").alias("event_id"), F.size(F.get("window", F.lit(0))).alias("steps"), F.transform("window", total).alias("sums"), F.transform("window", lambda ch: F.round(F.array_max(ch), 4)).alias("most"))
+
+
+# ---------------------------------------------------------------- who is who
+
+# the colours that a check of the corners sees
+VOTES_SQL = SLOTS_SQL + """, vt0 AS (SELECT fight_id, frame, max(CASE WHEN slot = 0 THEN k END) AS k0, max(CASE WHEN slot = 1 THEN k END) AS k1 FROM sl GROUP BY ALL HAVING count(*) = 2),
+    vt AS (SELECT fight_id, frame, CASE WHEN k0 % 9 > 0 THEN (k0 % 4 > 0)::INT END AS v0, CASE WHEN k1 % 7 > 0 THEN (k1 % 5 = 0)::INT END AS v1 FROM vt0), vd AS (SELECT fight_id, frame, v0 = 1 AS ok FROM vt WHERE v0 <> v1)"""
+
+
+def colour_votes(m) -> DataFrame:
+    """Frames with both corners: fight_id, frame, vote_0, vote_1."""
+    t = m.events.groupBy("fight_id", F.floor(F.col("frame") / 1200).alias("frame"), "corner").agg(F.max_by("k", "event_id").alias("k"))
+    of = lambda s: F.max(F.when(F.col("corner") == s, F.col("k")))
+    t = t.groupBy("fight_id", "frame").agg(of(0).alias("k0"), of(1).alias("k1")).where("k0 is not null and k1 is not null")
+    return t.select("fight_id", "frame", F.when(F.col("k0") % 9 > 0, (F.col("k0") % 4 > 0).cast("int")).alias("vote_0"), F.when(F.col("k1") % 7 > 0, (F.col("k1") % 5 == 0).cast("int")).alias("vote_1"))
+
+
+@query("A-35", VOTES_SQL + " SELECT fight_id, count(ok) AS decisive, count(*) FILTER (WHERE ok) AS correct, round(count(*) FILTER (WHERE ok) / nullif(count(ok), 0), 6) AS accuracy FROM fights LEFT JOIN vd USING (fight_id) GROUP BY fight_id")
+def _(m):
+    return corners.accuracy(colour_votes(m), m.fights).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("A-35-runs", VOTES_SQL + ", vn AS (SELECT *, ok IS DISTINCT FROM lag(ok) OVER (PARTITION BY fight_id ORDER BY frame) AS new FROM vd), vr AS (SELECT *, sum(new::INT) OVER (PARTITION BY fight_id ORDER BY frame)::BIGINT AS run FROM vn) SELECT fight_id, run, any_value(ok) AS right, count(*) AS n, min(frame) AS first, max(frame) AS last FROM vr GROUP BY fight_id, run")
+def _(m):
+    return runs.run_lengths(corners.decisive(colour_votes(m)), "right", "fight_id", order=["frame"])
+
+
+# three people at most and two masks a frame: the best pair of people is found by looking at all
+PEOPLE_SQL = """pl0 AS (SELECT fight_id, frame // 600 AS frame, event_id, k, row_number() OVER (PARTITION BY fight_id, frame // 600 ORDER BY event_id) - 1 AS no FROM ev),
+    pl AS (SELECT *, [k % 20 * 3 + no * 15, k % 5, k % 20 * 3 + no * 15 + 30 + event_id % 7 + event_id / 65536, k % 5 + 60]::DOUBLE[] AS b, (k * 7 + event_id) % 1009 AS c FROM pl0 WHERE no < 3),
+    mk AS (SELECT fight_id, frame, no, [b[1] + event_id % 13 - 6, b[2] + 2, b[3] + event_id % 11 - 5, b[4] - k % 9]::DOUBLE[] AS r FROM pl WHERE no < 2)"""
+
+
+@query(
+    "M-04",
+    PEOPLE_SQL
+    + f""", mo AS (SELECT pl.fight_id, pl.frame, pl.no AS p, mk.no AS r, {_overlap_sql("b", "r")} AS o, c FROM pl JOIN mk USING (fight_id, frame)),
+    m1 AS (SELECT fight_id, frame, p AS p0, NULL AS p1, o AS total FROM mo WHERE r = 0 UNION ALL SELECT fight_id, frame, NULL, p, o FROM mo WHERE r = 1 UNION ALL SELECT a.fight_id, a.frame, a.p, b.p, a.o + b.o FROM mo a JOIN mo b ON b.fight_id = a.fight_id AND b.frame = a.frame AND a.r = 0 AND b.r = 1 AND a.p <> b.p),
+    mb AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY fight_id, frame ORDER BY total DESC) = 1),
+    mh AS (SELECT mo.* FROM mb JOIN mo ON mo.fight_id = mb.fight_id AND mo.frame = mb.frame AND ((r = 0 AND p = p0) OR (r = 1 AND p = p1)) WHERE o >= {selection.LEAST_OVERLAP})
+    SELECT fight_id, frame, p AS no, row_number() OVER (PARTITION BY fight_id, frame ORDER BY c DESC, p) AS rank FROM mh""",
+)
+def _(m):
+    t = m.events.withColumn("frame", F.floor(F.col("frame") / 600))
+    t = t.withColumn("no", F.row_number().over(Window.partitionBy("fight_id", "frame").orderBy("event_id")) - 1).where("no < 3")
+    k, e = F.col("k"), F.col("event_id")
+    x = k % 20 * 3 + F.col("no") * 15
+    t = t.select("fight_id", "frame", "no", "k", "event_id", x.alias("x1"), (k % 5).alias("y1"), (x + 30 + e % 7 + e / 65536).alias("x2"), (k % 5 + 60).alias("y2"), ((k * 7 + e) % 1009).alias("confidence"))
+    masks = t.where("no < 2").select("fight_id", "frame", "no", (F.col("x1") + e % 13 - 6).alias("x1"), (F.col("y1") + 2).alias("y1"), (F.col("x2") + e % 11 - 5).alias("x2"), (F.col("y2") - k % 9).alias("y2"))
+    return selection.select_people(t, masks)

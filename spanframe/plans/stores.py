@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from spanframe.functions.vocabulary import FAMILIES, LABEL_FAMILY, STATE_MARK, STATES, lookup, sql_lookup
 from spanframe.plans.registry import query
+from spanframe.sources import labels
 from spanframe.sources.store import Store
 from spanframe.streaming.live import shared_folder
 
@@ -39,3 +43,81 @@ def _(m):
     rows = m.events.select("fight_id", "event_id", "frame")
     kept.replace({"frames": rows}, m.fights, rows_per_file=1000)
     return kept.read("frames")
+
+
+# ---------------------------------------------------------------- label documents
+
+DOCUMENT_SQL = f"""dk AS (SELECT ev.*, {sql_lookup(LABEL_FAMILY, "action")} AS family, {sql_lookup(STATE_MARK, "action")} AS st FROM ev WHERE source = 'label'),
+    dn AS (SELECT fight_id, 'fight ' || fight_id AS name FROM fights UNION ALL SELECT fight_id, 'fight ' || fight_id || '.second' FROM fights WHERE fight_id % 4 = 0),
+    ds AS (SELECT fight_id, row_number() OVER w - 1 AS i, frame - 300 AS frame, CASE WHEN k % 17 = 0 THEN 'green' WHEN corner = 0 THEN 'red' ELSE 'blue' END AS fighter, CASE WHEN k % 29 = 0 THEN 'slap' ELSE family END AS family, coalesce(target, 'unknown') AS target, success AS landed FROM dk WHERE family IS NOT NULL WINDOW w AS (PARTITION BY fight_id ORDER BY event_id)),
+    dt AS (SELECT fight_id, row_number() OVER w - 1 AS i, frame - 300 AS frame FROM dk WHERE action = 'takedown_landed' WINDOW w AS (PARTITION BY fight_id ORDER BY event_id)),
+    da AS (SELECT fight_id, row_number() OVER w - 1 AS i, frame AS s, frame + 3000 - k * 40 AS e, CASE WHEN k % 31 = 0 THEN 'STANDING' ELSE st END AS state FROM dk WHERE st IS NOT NULL WINDOW w AS (PARTITION BY fight_id ORDER BY event_id)),
+    dw AS (SELECT fight_id, row_number() OVER w - 1 AS i, start_frame AS s, CASE WHEN event_id % 9 = 0 THEN start_frame - 1 ELSE end_frame END AS e FROM swaps WINDOW w AS (PARTITION BY fight_id ORDER BY event_id))"""
+
+
+def documents(m) -> DataFrame:
+    """One document a fight, and a second pass of every fourth; some rows break rules."""
+    k = F.col("k")
+    t = m.events.where("source = 'label'").withColumns({"family": lookup(LABEL_FAMILY, "action"), "st": lookup(STATE_MARK, "action")})
+    fighter = F.when(k % 17 == 0, "green").when(F.col("corner") == 0, "red").otherwise("blue")
+    strike = F.struct("event_id", (F.col("frame") - 300).alias("frame"), fighter.alias("fighter"), F.when(k % 29 == 0, "slap").otherwise(F.col("family")).alias("family"), F.coalesce("target", F.lit("unknown")).alias("target"), F.col("success").alias("landed"))
+    state = F.struct("event_id", F.col("frame").alias("start"), (F.col("frame") + 3000 - k * 40).alias("end"), F.when(k % 31 == 0, "STANDING").otherwise(F.col("st")).alias("state"))
+    down = F.struct("event_id", (F.col("frame") - 300).alias("frame"), F.lit("red").alias("fighter"))
+    swap = F.struct("event_id", F.col("start_frame").alias("start"), F.when(F.col("event_id") % 9 == 0, F.col("start_frame") - 1).otherwise(F.col("end_frame")).alias("end"))
+    listed = lambda x, cond=None: F.transform(F.array_sort(F.collect_list(x if cond is None else F.when(cond, x))), lambda s: s.dropFields("event_id"))
+    d = t.groupBy("fight_id").agg(listed(strike, F.col("family").isNotNull()).alias("strikes"), listed(state, F.col("st").isNotNull()).alias("states"), listed(down, F.col("action") == "takedown_landed").alias("takedowns"))
+    rounds = F.transform(F.array_sort(F.collect_list(F.struct("round_number", F.col("start_frame").alias("start"), F.col("end_frame").alias("end")))), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["round_number"].alias("round"), F.lit(False).alias("seeded")))
+    d = m.fights.select("fight_id", "fps").join(d, "fight_id", "left").join(m.rounds.groupBy("fight_id").agg(rounds.alias("rounds")), "fight_id", "left").join(m.swaps.groupBy("fight_id").agg(listed(swap).alias("corner_swaps")), "fight_id", "left")
+    name = F.concat(F.lit("fight "), F.col("fight_id").cast("string"))
+    d = d.withColumn("name", F.explode(F.array_compact(F.array(name, F.when(F.col("fight_id") % 4 == 0, F.concat(name, F.lit(".second")))))))
+    d = d.withColumns({"video": F.concat("name", F.lit(".mp4")), "frame_count": F.lit(0), "labeler": F.lit(""), "labeled_at": F.lit(""), "notes": F.lit(""), "excluded": F.array()})
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(labels.DOCUMENT)}
+    return d.select("name", *(F.coalesce(F.col(n), F.array()).cast(kinds[n]).alias(n) if isinstance(kinds[n], ArrayType) else F.col(n).cast(kinds[n]).alias(n) for n in labels.NAMES))
+
+
+def stored_documents(m) -> DataFrame:
+    folder = f"{shared_folder(m.spark)}/labels-{uuid.uuid4().hex}"
+    labels.write_labels(documents(m), folder)
+    return labels.read_labels(m.spark, folder)
+
+
+@query(
+    "S-08",
+    DOCUMENT_SQL
+    + """ SELECT name, name || '.mp4' AS video, 50 AS fps, (SELECT coalesce(list(frame ORDER BY frame, i), []) FROM ds WHERE ds.fight_id = dn.fight_id) AS strikes, (SELECT coalesce(list(family ORDER BY frame, i), []) FROM ds WHERE ds.fight_id = dn.fight_id) AS families,
+    (SELECT coalesce(list(s ORDER BY s, i), []) FROM da WHERE da.fight_id = dn.fight_id) AS states, (SELECT coalesce(list(s ORDER BY i), []) FROM dw WHERE dw.fight_id = dn.fight_id) AS corner_swaps, (SELECT list(round_number ORDER BY start_frame) FROM rounds r WHERE r.fight_id = dn.fight_id) AS rounds FROM dn""",
+)
+def _(m):
+    t = stored_documents(m)
+    return t.select("name", "video", "fps", F.col("strikes.frame").alias("strikes"), F.col("strikes.family").alias("families"), F.col("states.start").alias("states"), F.col("corner_swaps.start").alias("corner_swaps"), F.col("rounds.round").alias("rounds"))
+
+
+@query("S-10", DOCUMENT_SQL + " SELECT 'fight ' || fight_id AS video_name, row_number() OVER (PARTITION BY fight_id ORDER BY length(name)) - 1 AS place, name FROM dn")
+def _(m):
+    videos = m.fights.select(F.concat(F.lit("fight "), F.col("fight_id").cast("string")).alias("video_name"))
+    return labels.passes(stored_documents(m), videos).select("video_name", "place", "name")
+
+
+@query(
+    "F-13-document",
+    DOCUMENT_SQL
+    + f""", de AS (
+        SELECT fight_id, 'strikes[' || i || ']: frame ' || frame || ' is not 1-based' AS message FROM ds WHERE frame < 1
+        UNION ALL SELECT fight_id, 'strikes[' || i || ']: fighter ''' || fighter || ''' not in (''red'', ''blue'')' FROM ds WHERE fighter = 'green'
+        UNION ALL SELECT fight_id, 'strikes[' || i || ']: family ''' || family || ''' not in {str(FAMILIES).replace("'", "''")}' FROM ds WHERE family NOT IN {FAMILIES}
+        UNION ALL SELECT fight_id, 'takedowns[' || i || ']: frame ' || frame || ' is not 1-based' FROM dt WHERE frame < 1
+        UNION ALL SELECT fight_id, 'states[' || i || ']: state ''' || state || ''' not in {str(STATES).replace("'", "''")}' FROM da WHERE state NOT IN {STATES}
+        UNION ALL SELECT fight_id, 'states[' || i || ']: end ' || e || ' before start ' || s FROM da WHERE e < s
+        UNION ALL SELECT fight_id, 'state spans overlap: [' || s || ',' || e || '] and [' || ns || ',' || ne || ']' FROM (SELECT *, lead(s) OVER w AS ns, lead(e) OVER w AS ne FROM da WINDOW w AS (PARTITION BY fight_id ORDER BY s, i)) WHERE ns <= e
+        UNION ALL SELECT fight_id, 'corner_swaps[' || i || ']: end ' || e || ' before start ' || s FROM dw WHERE e < s)
+    SELECT name, message FROM dn JOIN de USING (fight_id)""",
+)
+def _(m):
+    t = documents(m)
+    return t.select("name", F.explode(labels.errors(t)).alias("message"))
+
+
+@query("S-09", DOCUMENT_SQL + " SELECT name, (SELECT coalesce(list(fighter ORDER BY frame, i), []) FROM ds WHERE ds.fight_id = dn.fight_id) AS fighters, (SELECT coalesce(list(state ORDER BY s, i), []) FROM da WHERE da.fight_id = dn.fight_id) AS states, (SELECT coalesce(list(frame ORDER BY frame, i), []) FROM dt WHERE dt.fight_id = dn.fight_id) AS takedowns, (SELECT coalesce(list(e ORDER BY i), []) FROM dw WHERE dw.fight_id = dn.fight_id) AS corner_swaps FROM dn")
+def _(m):
+    """Lists in order of frames, corner swaps as they came."""
+    return stored_documents(m).select("name", F.col("strikes.fighter").alias("fighters"), F.col("states.state").alias("states"), F.col("takedowns.frame").alias("takedowns"), F.col("corner_swaps.end").alias("corner_swaps"))
