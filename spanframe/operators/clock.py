@@ -96,13 +96,16 @@ def monotone(readings: DataFrame, *keys: str) -> DataFrame:
     t = readings.where("secs is not null").withColumn("_step", F.col("secs") - F.lag("secs").over(w))
     ways = t.groupBy(*keys).agg((F.count_if(F.col("_step") < 0) >= F.count_if(F.col("_step") > 0)).alias("_down"))
 
-    def step(last, row):
-        if row["secs"] is None:
-            return last, (False,)
-        back = 0 if last is None else (row["secs"] - last) * (1 if row["_down"] else -1)
-        return (last, (True,)) if back > MAX_BACKWARD else (row["secs"], (False,))
-
-    return fold(readings.join(ways, list(keys), "left"), step, "rejected boolean", *keys, order=["frame"]).drop("_down")
+    def step(last, c):
+        out = []
+        for secs, sign in zip(c["secs"].astype(float).tolist(), c["_sign"].astype(float).tolist(), strict=True):
+            read = secs == secs  # else it is NaN
+            out.append(read and last is not None and (secs - last) * sign > MAX_BACKWARD)
+            last = secs if read and not out[-1] else last
+        return last, [out]
+
+    signed = readings.join(ways.select(*keys, F.when(F.col("_down"), 1).otherwise(-1).alias("_sign")), list(keys), "left")
+    return fold_arrays(signed, step, ["secs", "_sign"], "rejected boolean", *keys, order=["frame"]).drop("_sign")
 
 
 def most_rounds(frames: Column, fps: int) -> Column:

@@ -6,7 +6,7 @@ from math import pi
 
 from pyspark.sql import DataFrame
 
-from spanframe.operators.folds import fold
+from spanframe.operators.folds import fold_arrays
 
 #: Cutoff at rest, its growth with speed, the cutoff of the speed; least confidence.
 MIN_CUTOFF, BETA, D_CUTOFF = 1.5, 0.05, 1.0
@@ -22,18 +22,23 @@ def one_euro(df: DataFrame, *keys: str, time: str = "frame", value: str = "x", c
     moves faster; time is the frame's number. Rows without value or confidence
     (null: none) keep their value and leave the filter as it is."""
 
-    def step(state, row):
-        x, t = row[value], row[time]
-        if x is None or row[confidence] is None or row[confidence] < MIN_CONFIDENCE:
-            return state, (x,)
-        if state is None:
-            return (x, 0.0, t), (x,)
-        before, speed, then = state
-        dt = max(t - then, 1e-6)
-        a = _weight(D_CUTOFF, dt)
-        speed = a * (x - before) / dt + (1 - a) * speed
-        a = _weight(MIN_CUTOFF + BETA * abs(speed), dt)
-        x = a * x + (1 - a) * before
-        return (x, speed, t), (x,)
-
-    return fold(df, step, f"`{out}` double", *keys, order=[time])
+    def step(state, c):
+        out = []
+        for x, t, sure in zip(c[value].astype(float).tolist(), c[time].tolist(), c[confidence].astype(float).tolist(), strict=True):
+            if not (x == x and sure >= MIN_CONFIDENCE):  # NaN: none
+                out.append(x if x == x else None)
+                continue
+            if state is not None:
+                before, speed, then = state
+                dt = max(t - then, 1e-6)
+                a = _weight(D_CUTOFF, dt)
+                speed = a * (x - before) / dt + (1 - a) * speed
+                a = _weight(MIN_CUTOFF + BETA * abs(speed), dt)
+                x = a * x + (1 - a) * before
+            else:
+                speed = 0.0
+            state = (x, speed, t)
+            out.append(x)
+        return state, [out]
+
+    return fold_arrays(df, step, [value, time, confidence], f"`{out}` double", *keys, order=[time])

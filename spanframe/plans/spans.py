@@ -257,13 +257,14 @@ def _(m):
     return t.groupBy("fight_id", "round_number").agg(F.min("_s").alias("first_start"), F.max("_e").alias("last_end"), F.count(F.lit(1)).alias("n"))
 
 
-def best_overlaps(truth: DataFrame, found: DataFrame, *, key: str = "fight_id", name: str = "event_id") -> DataFrame:
+def best_overlaps(truth: DataFrame, found: DataFrame, *, key: str = "fight_id", name: str = "event_id", id: str | None = None) -> DataFrame:
     """Each truth span with the found span of highest IoU (of ties the one that
-    starts first); spans without overlap are left out, found ones may repeat."""
+    starts first); spans without overlap are left out, found ones may repeat. ``id``
+    tells truth spans of a key apart; without it those with equal bounds are one."""
     p = found.select(F.col(key).alias("_f"), F.col(name).alias("found_id"), F.col(S).alias("_s"), F.col(E).alias("_e"))
     t = truth.join(p, (F.col(key) == F.col("_f")) & (F.col("_e") >= F.col(S)) & (F.col("_s") <= F.col(E)))
     t = t.withColumn("iou", intervals.iou((F.col(S), F.col(E)), (F.col("_s"), F.col("_e"))))
-    w = Window.partitionBy(key, S, E).orderBy(F.desc("iou"), "_s", "found_id")
+    w = Window.partitionBy(key, *([id] if id else []), S, E).orderBy(F.desc("iou"), "_s", "found_id")
     return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").withColumn("start_offset", F.col("_s") - F.col(S)).withColumn("end_offset", F.col("_e") - F.col(E)).drop("_r", "_f", "_s", "_e")
 
 
@@ -279,7 +280,7 @@ BEST_SQL = (
 
 @query("J-08", BEST_SQL + " SELECT fight_id, round_number, found_id, round(iou, 9) AS iou, start_offset, end_offset FROM best WHERE n = 1")
 def _(m):
-    return best_overlaps(m.rounds, _spans(m, "prediction")).select("fight_id", "round_number", "found_id", F.round("iou", 9).alias("iou"), "start_offset", "end_offset")
+    return best_overlaps(m.rounds, _spans(m, "prediction"), id="round_number").select("fight_id", "round_number", "found_id", F.round("iou", 9).alias("iou"), "start_offset", "end_offset")
 
 
 @query("A-13", BEST_SQL + ", cnt AS (SELECT fight_id, count(*) AS found FROM psp GROUP BY fight_id) SELECT b.fight_id, round(avg(iou), 6) AS mean_iou, 3 = any_value(found) AS count_correct FROM best b JOIN cnt USING (fight_id) WHERE n = 1 GROUP BY b.fight_id")

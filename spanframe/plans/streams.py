@@ -12,14 +12,20 @@ from spanframe.streaming import changes, live
 from spanframe.streaming import machines as live_machines
 
 
+def _home(spark):
+    return f"{live.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 @query("ST-06", "SELECT user_id::BIGINT AS fight_id, count(*) AS n, count(*) FILTER (WHERE json_extract_string(props, '$.k')::INT % 2 = 1) AS labels FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
 def _(m):
-    return live.run_to_end(live.live_totals(live.event_stream(m.spark, m.sf_dir), "2024-01-20 00:00:00"))
+    totals = live.live_totals(live.event_stream(m.spark, m.sf_dir), "2024-01-20 00:00:00")
+    return live.as_of_last(live.run_to_table(totals, _home(m.spark), "update"), "fight_id")
 
 
 @query("ST-07", "SELECT user_id::BIGINT AS fight_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def _(m):
-    return live.run_to_end(live.live_buckets(live.event_stream(m.spark, m.sf_dir)))
+    buckets = live.live_buckets(live.event_stream(m.spark, m.sf_dir))
+    return live.as_of_last(live.run_to_table(buckets, _home(m.spark), "update"), "fight_id", "day")
 
 
 @query("ST-05", machines.SEGMENT_SQL)
@@ -47,10 +53,6 @@ def state_writes(events):
     return events.where(k % 2 == 0).select("fight_id", state.alias("state"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
 
 
-def _home(spark):
-    return f"{live.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-
 @query("ST-01", WRITES_SQL + """ SELECT fight_id, seq, '{"id":' || fight_id || ',"state":' || coalesce('"' || state || '"', 'null') || '}' AS payload FROM ws""")
 def _(m):
     feed = changes.change_feed(state_writes(live.event_stream(m.spark, m.sf_dir)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +21,10 @@ def live_totals(events: DataFrame, until: str) -> DataFrame:
 
 
 def live_buckets(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Events of each fight in tumbling buckets. Behind a watermark of ``late`` a
-    bucket's state is dropped once an append sink has got it."""
+    """Events of each fight in tumbling buckets. A bucket that the watermark (``late``
+    behind the last event) has passed is final: its state is dropped, and later
+    events of it are too. In update mode a trigger emits the buckets that it changed, in
+    append mode those that became final."""
     # watermarks need an instant: ts is read as UTC, whatever the session's zone
     at = events.withColumn("_at", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"))
     buckets = at.withWatermark("_at", late).groupBy("fight_id", F.window("_at", width).alias("w"))
@@ -32,20 +32,10 @@ def live_buckets(events: DataFrame, width: str = "1 day", late: str = "2 hours")
     return buckets.agg(F.count(F.lit(1)).alias("n")).select("fight_id", day.alias("day"), "n")
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """Run over all that has arrived, as production does per trigger, and return the
-    table as the last trigger left it. Results and the stream's checkpoint lie in the
-    folder that spark.checkpoint.dir names."""
-    spark = stream.sparkSession
-    home, done = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/table-{number}")  # a retried batch writes the same place
-        done.append(number)
-
-    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{home}/table-{max(done)}") if done else spark.createDataFrame([], stream.schema)
+def as_of_last(emitted: DataFrame, *keys: str) -> DataFrame:
+    """Of rows that update mode has emitted (``run_to_table``) each key's last one."""
+    rest = [c for c in emitted.columns if c not in (*keys, "batch")]
+    return emitted.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
 def stateful(spark: SparkSession) -> SparkSession:
