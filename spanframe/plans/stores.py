@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from spanframe.functions.vocabulary import FAMILIES, LABEL_FAMILY, STATE_MARK, STATES, lookup, sql_lookup
+from spanframe.operators import series
+from spanframe.plans.machines import FRAMES_SQL, seen_frames
 from spanframe.plans.registry import query
-from spanframe.sources import labels
+from spanframe.plans.spans import RUNS_SQL, eval_runs
+from spanframe.sources import labels, reports
 from spanframe.sources.store import Store
 from spanframe.streaming.live import shared_folder
 
@@ -121,3 +124,76 @@ def _(m):
 def _(m):
     """Lists in order of frames, corner swaps as they came."""
     return stored_documents(m).select("name", F.col("strikes.fighter").alias("fighters"), F.col("states.state").alias("states"), F.col("takedowns.frame").alias("takedowns"), F.col("corner_swaps.end").alias("corner_swaps"))
+
+
+# ---------------------------------------------------------------- reports
+
+REPORT = "events long, strikes long, type_counts map<string,long>, confusion map<string,long>"
+
+
+def sanity_reports(m) -> DataFrame:
+    """One report a fight: name and the envelope."""
+    e = m.events.where("action is not null")
+    counts = e.groupBy("fight_id", "action").agg(F.count(F.lit(1)).alias("n")).groupBy("fight_id").agg(F.sum("n").alias("events"), F.map_from_entries(F.collect_list(F.struct("action", "n"))).alias("type_counts"))
+    cells = e.groupBy("fight_id", F.col("source").alias("truth"), F.coalesce("state", F.lit("none")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.groupBy("fight_id").agg(reports.cells_json(F.collect_list(F.struct("truth", "pred", "n"))).alias("confusion"))
+    strikes = e.groupBy("fight_id").agg(F.count_if("success").alias("strikes"))
+    t = counts.join(cells, "fight_id").join(strikes, "fight_id")
+    name = F.concat(F.lit("fight-"), F.col("fight_id").cast("string"))
+    return t.select(
+        name.alias("name"), F.sha1(name.cast("binary")).alias("git_sha"), F.sha2(name, 256).alias("constants_sha256"), F.concat(name, F.lit(".mp4")).alias("video"), F.when(F.col("fight_id") % 2 == 0, 12).cast("long").alias("tolerance_frames"),
+        F.lit("2024-01-01T00:00:00+00:00").alias("generated_at"), F.struct("events", "strikes", "type_counts", "confusion").alias("report"),
+    )
+
+
+@query(
+    "S-20",
+    """rp AS (SELECT fight_id, count(*) AS events, count(*) FILTER (WHERE success) AS strikes FROM ev WHERE action IS NOT NULL GROUP BY fight_id), rt AS (SELECT fight_id, action, count(*) AS n FROM ev WHERE action IS NOT NULL GROUP BY ALL), rc AS (SELECT fight_id, source || '>' || coalesce(state, 'none') AS cell, count(*) AS n FROM ev WHERE action IS NOT NULL GROUP BY ALL)
+    SELECT 'fight-' || fight_id AS name, sha1('fight-' || fight_id) AS git_sha, sha256('fight-' || fight_id) AS constants_sha256, 'fight-' || fight_id || '.mp4' AS video, CASE WHEN fight_id % 2 = 0 THEN 12 END AS tolerance_frames, '2024-01-01T00:00:00+00:00' AS generated_at, events, strikes,
+        (SELECT list(action || '=' || n ORDER BY action) FROM rt WHERE rt.fight_id = rp.fight_id) AS type_counts, (SELECT list(cell || '=' || n ORDER BY cell) FROM rc WHERE rc.fight_id = rp.fight_id) AS confusion FROM rp""",
+)
+def _(m):
+    """Written as one file a report and read back."""
+    folder = f"{shared_folder(m.spark)}/reports-{uuid.uuid4().hex}"
+    reports.write_reports(sanity_reports(m), folder)
+    t = reports.read_reports(m.spark, folder, REPORT.replace(" long", ":long").replace(" map", ":map"))
+    listed = lambda c: F.array_sort(F.transform(F.map_entries(F.col(f"report.{c}")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))).alias(c)
+    return t.select("name", "git_sha", "constants_sha256", "video", "tolerance_frames", "generated_at", "report.events", "report.strikes", listed("type_counts"), listed("confusion"))
+
+
+@query("S-19", RUNS_SQL + " SELECT run_id, reference_id, scored_id, generated_at, f1, tol FROM ru")
+def _(m):
+    """Appended in two parts that overlap; a run stays as it was written first."""
+    log = reports.RunLog(m.spark, f"{shared_folder(m.spark)}/runs-{uuid.uuid4().hex}")
+    runs = eval_runs(m)
+    log.append(runs.where("run_id % 3 < 2"))
+    log.append(runs.withColumn("f1", F.when(F.col("run_id") % 3 == 1, F.lit(-1.0)).otherwise(F.col("f1"))).where("run_id % 3 > 0"))
+    return log.read().select("run_id", "reference_id", "scored_id", "generated_at", "f1", "tol")
+
+
+SERIES_SQL = (
+    FRAMES_SQL
+    + """, sn AS (SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY frame, event_id) AS i FROM sg), sd AS (SELECT * FROM sn WHERE i % greatest(1, floor(fps * 5 * 0.5)::INT) = 0),
+    so AS (SELECT fight_id, frame, max(k) AS k FROM ev WHERE k % 3 = 0 GROUP BY ALL),
+    sj AS (SELECT sd.fight_id, sd.event_id, sd.frame, sd.hit, so.k AS reading FROM sd LEFT JOIN so USING (fight_id) QUALIFY row_number() OVER (PARTITION BY sd.event_id ORDER BY abs(so.frame - sd.frame), so.frame) = 1)"""
+)
+
+
+def series_points(m) -> DataFrame:
+    readings = m.events.where("k % 3 = 0").groupBy("fight_id", "frame").agg(F.max("k").alias("reading")).withColumn("event_id", F.lit(0).cast("long"))
+    frames = seen_frames(m.events).withColumn("fps", F.col("fps") * 5)
+    return series.debug_series(frames, readings, ["reading"], order=("frame", "event_id")).select("fight_id", "event_id", "frame", "hit", "reading")
+
+
+@query("S-29", SERIES_SQL + " SELECT * FROM sj")
+def _(m):
+    return series_points(m)
+
+
+@query("S-22", SERIES_SQL + " SELECT * FROM sj")
+def _(m):
+    """The same as CSV with a header, in folders by fight, read back."""
+    folder = f"{shared_folder(m.spark)}/series-{uuid.uuid4().hex}"
+    points = series_points(m)
+    points.repartition("fight_id").sortWithinPartitions("fight_id", "frame", "event_id").write.partitionBy("fight_id").option("header", True).csv(folder)
+    return m.spark.read.schema(points.schema).option("header", True).csv(folder).select(*points.columns)

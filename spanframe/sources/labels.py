@@ -6,14 +6,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.functions.vocabulary import FAMILIES, STATES, TARGETS
+from spanframe.sources.files import write_files
 
 FIGHTERS = ("red", "blue")
 
@@ -148,20 +146,6 @@ def ordered(documents: DataFrame) -> DataFrame:
 
 def write_labels(documents: DataFrame, folder: str) -> int:
     """Write each document as ``<name>.json`` (two spaces of indent, null as null) into
-    ``folder``, which has a scheme and is shared by all executors; returns their number.
-    Tasks write their own documents; one that runs again writes the same files."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                if "/" in name:
-                    raise ValueError(f"{name!r} is no name of a file")
-                with fs.open_output_stream(f"{root}/{name}.json", compression=None) as out:
-                    out.write(json.dumps(json.loads(text), indent=2).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
+    ``folder``; returns their number."""
     whole = F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"})
-    done = ordered(documents).select("name", whole.alias("text")).mapInArrow(write, "n long").agg(F.sum("n").alias("n")).first()
-    return done.n or 0
+    return write_files(ordered(documents).select("name", whole.alias("text")), folder, ".json", lambda text: json.dumps(json.loads(text), indent=2))
