@@ -362,3 +362,19 @@ def _(m):
     later = m.rounds.select(F.col("fight_id").alias("_f"), F.col("start_frame").alias("_s"))
     t = between.join(later, (F.col("fight_id") == F.col("_f")) & (F.col("_s") > F.col("frame")), "left")
     return t.groupBy("fight_id", "event_id", "frame").agg(F.min("_s").alias("next_start"))
+
+
+def claimable(jobs: DataFrame, states: list[str], running: bool) -> DataFrame:
+    """Jobs in one of ``states`` that a process has (``running``) or that none has."""
+    held = F.col("pid").isNotNull()
+    return jobs.where(F.col("state").isin(*states) & (held if running else ~held))
+
+
+@query(
+    "F-15-claim",
+    "j AS (SELECT fight_id, state, CASE WHEN fight_id % 3 > 0 THEN fight_id * 7 END AS pid FROM fights) SELECT fight_id, state, pid, 'waiting' AS kind FROM j WHERE state IN ('processing', 'ready_to_label') AND pid IS NULL UNION ALL SELECT fight_id, state, pid, 'running' FROM j WHERE state IN ('processing', 'labeling') AND pid IS NOT NULL",
+)
+def _(m):
+    jobs = m.fights.select("fight_id", "state", F.when(F.col("fight_id") % 3 > 0, F.col("fight_id") * 7).alias("pid"))
+    waiting = claimable(jobs, ["processing", "ready_to_label"], running=False).withColumn("kind", F.lit("waiting"))
+    return waiting.unionByName(claimable(jobs, ["processing", "labeling"], running=True).withColumn("kind", F.lit("running")))

@@ -494,3 +494,46 @@ def _(m):
     at = F.col("fight_id") % 50
     injected = m.fights.select("fight_id", (at * 300 + 9000).alias(S), (at * 350 + 12000).alias(E))
     return swap_recall(injected, m.swaps)
+
+
+def changed_rules(versions: DataFrame) -> DataFrame:
+    """Add ``changed``: whether a version was scored with another tolerance, or by other
+    constants, than the one before it; without a hash on either side the constants
+    count as the same."""
+    w = Window.partitionBy("reference_id").orderBy("version")
+    differs = lambda c: F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(False))
+    return versions.withColumns({"tolerance_changed": differs("tol"), "constants_changed": differs("constants")})
+
+
+@query(
+    "W-16-constants",
+    LATEST_SQL + ", lc AS (SELECT *, CASE WHEN run_id % 6 > 0 THEN 'c' || run_id % 3 END AS constants FROM la) SELECT reference_id, version, coalesce(tol <> lag(tol) OVER w, false) AS tolerance_changed, coalesce(constants <> lag(constants) OVER w, false) AS constants_changed FROM lc WINDOW w AS (PARTITION BY reference_id ORDER BY version)",
+)
+def _(m):
+    constants = F.when(F.col("run_id") % 6 > 0, F.concat(F.lit("c"), (F.col("run_id") % 3).cast("string")))
+    return changed_rules(latest_versions(eval_runs(m)).withColumn("constants", constants)).select("reference_id", "version", "tolerance_changed", "constants_changed")
+
+
+@query("A-33-best", LATEST_SQL + " SELECT reference_id, version, f1 FROM la QUALIFY row_number() OVER (ORDER BY f1 DESC, reference_id, version) = 1")
+def _(m):
+    """The best measurable fixture: the latest scoring with the highest F1 (ties: first)."""
+    best = F.max_by(F.struct("reference_id", "version", "f1"), F.struct("f1", -F.col("reference_id"), -F.col("version")))
+    return latest_versions(eval_runs(m)).agg(best.alias("_b")).select("_b.*")
+
+
+@query(
+    "A-21-scored",
+    IN_ROUND_SQL
+    + f""", sf AS (SELECT fight_id, count(*) AS frames FROM inr i WHERE NOT EXISTS (FROM excluded x WHERE x.fight_id = i.fight_id AND i.frame BETWEEN x.start_frame AND x.end_frame) GROUP BY fight_id), sx AS (SELECT fight_id, count(*) AS n FROM excluded GROUP BY fight_id),
+    sl AS (SELECT fight_id, count(*) FILTER (WHERE starts_with(action, 'state_')) AS states, count(*) FILTER (WHERE action = 'takedown_landed') AS takedowns FROM ev WHERE source = 'label' GROUP BY fight_id)
+    SELECT f.fight_id, round(coalesce(frames, 0) / {FPS} / 60, 6) AS minutes, (SELECT count(*) FROM rounds r WHERE r.fight_id = f.fight_id) AS rounds, coalesce(states, 0) AS state_spans, coalesce(sx.n, 0) AS excluded, coalesce(takedowns, 0) AS takedowns FROM fights f LEFT JOIN sf USING (fight_id) LEFT JOIN sx USING (fight_id) LEFT JOIN sl USING (fight_id)""",
+)
+def _(m):
+    """Minutes that count and the numbers of spans, of every fight."""
+    frames = intervals.scored_spans(m.rounds, m.excluded, "fight_id").groupBy("fight_id").agg(F.sum(F.col(E) - F.col(S) + 1).alias("frames"))
+    marks = m.events.where("source = 'label'").groupBy("fight_id").agg(F.count_if(F.col("action").startswith("state_")).alias("state_spans"), F.count_if(F.col("action") == "takedown_landed").alias("takedowns"))
+    t = m.fights.select("fight_id")
+    for part in (frames, m.rounds.groupBy("fight_id").agg(F.count(F.lit(1)).alias("rounds")), m.excluded.groupBy("fight_id").agg(F.count(F.lit(1)).alias("excluded")), marks):
+        t = t.join(part, "fight_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return t.select("fight_id", F.round(F.coalesce("frames", F.lit(0)) / FPS / 60, 6).alias("minutes"), *map(n, ("rounds", "state_spans", "excluded", "takedowns")))

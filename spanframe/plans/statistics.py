@@ -456,3 +456,22 @@ def _(m):
     t = t.withColumn("_next", F.first("_p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).withColumn("_first", F.first("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     found = F.coalesce("_next", F.when(F.col("_first") != F.col("event_id"), F.col("_first")))
     return t.select("action", "event_id", found.alias("next_id"))
+
+
+def placed(t: DataFrame, by: str) -> DataFrame:
+    """Rows (fight_id and ``by``) with their place, highest first, then by id: cells of one
+    value each are ranked apart, and only their counts are lined up."""
+    return number_rows(t.withColumn("_down", -F.col(by)), order=["_down", "fight_id"], block=1, out="place").drop("_down")
+
+
+@query("T-07-minutes", LEDGER_SQL + " SELECT fight_id, minutes, row_number() OVER (ORDER BY minutes DESC, fight_id) AS place FROM (SELECT fight_id, round(coalesce(minutes, 0), 6) AS minutes FROM led)")
+def _(m):
+    frames = m.rounds.groupBy("fight_id").agg(F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
+    t = m.fights.join(frames, "fight_id", "left").select("fight_id", F.round(F.coalesce("frames", F.lit(0)) / F.col("fps") / 60, 6).alias("minutes"))
+    return placed(t, "minutes")
+
+
+@query("T-07-warnings", LEDGER_SQL + " SELECT fight_id, n, row_number() OVER (ORDER BY n DESC, fight_id) AS place FROM (SELECT fight_id, len(list_filter(string_split(warnings, ', '), lambda w: w <> ''))::INT AS n FROM ledger)")
+def _(m):
+    n = F.size(F.filter(F.split("warnings", ", "), lambda w: w != ""))
+    return placed(_ledger(m).select("fight_id", n.alias("n")), "n")
