@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from spanframe.functions.vocabulary import FAMILIES, LABEL_FAMILY, STATE_MARK, STATES, lookup, sql_lookup
 from spanframe.operators import series
-from spanframe.plans.machines import FRAMES_SQL, seen_frames
+from spanframe.plans.machines import BOXES_SQL, FRAMES_SQL, people, seen_frames
 from spanframe.plans.registry import query
 from spanframe.plans.spans import RUNS_SQL, eval_runs
-from spanframe.sources import labels, reports
+from spanframe.sources import labels, reports, runs
+from spanframe.sources.files import write_files
 from spanframe.sources.store import Store
 from spanframe.streaming.live import shared_folder
 
@@ -165,9 +166,9 @@ def _(m):
 def _(m):
     """Appended in two parts that overlap; a run stays as it was written first."""
     log = reports.RunLog(m.spark, f"{shared_folder(m.spark)}/runs-{uuid.uuid4().hex}")
-    runs = eval_runs(m)
-    log.append(runs.where("run_id % 3 < 2"))
-    log.append(runs.withColumn("f1", F.when(F.col("run_id") % 3 == 1, F.lit(-1.0)).otherwise(F.col("f1"))).where("run_id % 3 > 0"))
+    every = eval_runs(m)
+    log.append(every.where("run_id % 3 < 2"))
+    log.append(every.withColumn("f1", F.when(F.col("run_id") % 3 == 1, F.lit(-1.0)).otherwise(F.col("f1"))).where("run_id % 3 > 0"))
     return log.read().select("run_id", "reference_id", "scored_id", "generated_at", "f1", "tol")
 
 
@@ -197,3 +198,69 @@ def _(m):
     points = series_points(m)
     points.repartition("fight_id").sortWithinPartitions("fight_id", "frame", "event_id").write.partitionBy("fight_id").option("header", True).csv(folder)
     return m.spark.read.schema(points.schema).option("header", True).csv(folder).select(*points.columns)
+
+
+# ---------------------------------------------------------------- runs
+
+
+def _fight_name() -> Column:
+    return F.concat(F.lit("fight-"), F.col("fight_id").cast("string"))
+
+
+@query("S-30", "SELECT 'fight-' || fight_id AS name, round_number AS number, start_frame, end_frame FROM rounds WHERE fight_id % 6 > 0")
+def _(m):
+    """Manifests written, and read for their rounds; every sixth run has found none."""
+    folder = f"{shared_folder(m.spark)}/manifests-{uuid.uuid4().hex}"
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame"))), lambda r: F.array(r["start_frame"], r["end_frame"]))
+    t = m.fights.select("fight_id", "fps").join(m.rounds.where("fight_id % 6 > 0").groupBy("fight_id").agg(spans.alias("rounds")), "fight_id", "left")
+    name = _fight_name()
+    runs.write_manifests(
+        t.select(
+            name.alias("name"), F.lit("2024-01-01T00:00:00").alias("run_at"), F.struct(F.concat(name, F.lit(".mp4")).alias("path"), F.col("fps").cast("double").alias("fps"), F.lit(43200).cast("long").alias("frame_count")).alias("video"),
+            F.create_map(F.lit("debug"), F.lit("normal")).alias("args"), F.create_map(F.lit("pose"), F.lit(1.5)).alias("timings_sec"), F.create_map(F.lit("pose"), name).alias("outputs"), F.struct("rounds", F.col("rounds").isNotNull().alias("is_valid")).alias("summary"),
+        ), folder,
+    )
+    return runs.manifest_rounds(m.spark, folder)
+
+
+@query("S-11", BOXES_SQL + " SELECT 'fight-' || fight_id AS name, 50.0::DOUBLE AS fps, frame, corner AS class_id, [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2]::DOUBLE[] AS box, CASE WHEN k % 5 > 0 THEN k / 100 END AS confidence, len(p) AS joints FROM bx")
+def _(m):
+    """Detections written as nested documents, and loaded again."""
+    folder = f"{shared_folder(m.spark)}/detections-{uuid.uuid4().hex}"
+    best = m.events.groupBy("fight_id", "corner", F.floor(F.col("frame") / 300).alias("frame")).agg(F.max_by("k", "event_id").alias("k"))
+    t = people(m).join(best, ["fight_id", "corner", "frame"])
+    box = F.array(*(F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")))
+    runs.write_detections(t.select(_fight_name().alias("name"), F.lit(50.0).alias("fps"), "frame", box.alias("box"), F.when(F.col("k") % 5 > 0, F.col("k") / 100).alias("confidence"), F.col("corner").alias("class_id"), F.col("skeleton").alias("keypoints")), folder)
+    return runs.read_detections(m.spark, folder).select("name", "fps", "frame", "class_id", "box", "confidence", F.when(F.col("keypoints").isNotNull(), F.size("keypoints")).alias("joints"))
+
+
+@query(
+    "S-23",
+    """xs AS (SELECT fight_id, list('[' || frame || ',' || corner || ',"' || action || '",' || coalesce(success::INT::VARCHAR, 'null') || ']' ORDER BY frame, event_id) AS s FROM ev WHERE source = 'prediction' AND action IS NOT NULL GROUP BY fight_id), xr AS (SELECT fight_id, list('[' || round_number || ',' || start_frame || ',' || end_frame || ']' ORDER BY round_number) AS r FROM rounds GROUP BY fight_id)
+    SELECT 'fight-' || fight_id AS name, 'window.FIGHT = {"fps":50,"rounds":[' || array_to_string(r, ',') || '],"strikes":[' || array_to_string(s, ',') || ']};' AS text FROM xr JOIN xs USING (fight_id)""",
+)
+def _(m):
+    """A script a fight, written and read back line by line."""
+    folder = f"{shared_folder(m.spark)}/scripts-{uuid.uuid4().hex}"
+    text = lambda *c: F.array(*(F.when(x.isNull(), "null").otherwise(F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)) for x in c))
+    listed = lambda *c: F.concat(F.lit("["), F.array_join(text(*c), ","), F.lit("]"))
+    joined = lambda rows: F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["t"]), ","), F.lit("]"))
+    hits = m.events.where("source = 'prediction' and action is not null").select("fight_id", "frame", "event_id", listed(F.col("frame"), F.col("corner"), F.col("action"), F.col("success").cast("int")).alias("t"))
+    hits = hits.groupBy("fight_id").agg(joined(F.array_sort(F.collect_list(F.struct("frame", "event_id", "t")))).alias("strikes"))
+    spans = m.rounds.select("fight_id", "round_number", listed(F.col("round_number"), F.col("start_frame"), F.col("end_frame")).alias("t")).groupBy("fight_id").agg(joined(F.array_sort(F.collect_list(F.struct("round_number", "t")))).alias("rounds"))
+    whole = F.concat(F.lit('window.FIGHT = {"fps":50,"rounds":'), "rounds", F.lit(',"strikes":'), "strikes", F.lit("};\n"))
+    write_files(spans.join(hits, "fight_id").select(_fight_name().alias("name"), whole.alias("text")), folder, ".js")
+    return m.spark.read.text(folder).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.js$", 1).alias("name"), F.col("value").alias("text"))
+
+
+@query("S-24", "SELECT 'fight-' || fight_id AS name, ['mp4', 'MKV', 'Mov'][fight_id % 4 + 1] AS ending, CASE WHEN fight_id % 5 = 0 THEN 'known' ELSE 'new' END AS note FROM fights WHERE fight_id % 4 < 3")
+def _(m):
+    """Files of several kinds, in folders; what was registered before stays as it is."""
+    home = f"{shared_folder(m.spark)}/videos-{uuid.uuid4().hex}"
+    for k, ending in enumerate((".mp4", ".MKV", ".Mov", ".txt")):
+        write_files(m.fights.where(F.col("fight_id") % 4 == k).select(_fight_name().alias("name"), F.lit("x").alias("text")), f"{home}/in/{k}", ending)
+    kept = Store(m.spark, f"{home}/store", "path")
+    found = runs.videos(m.spark, f"{home}/in")
+    runs.register(kept, found.withColumn("note", F.lit("known")).where(F.regexp_extract("name", r"(\d+)$", 1).cast("long") % 5 == 0))
+    runs.register(kept, found.withColumn("note", F.lit("new")))
+    return kept.read("videos").select("name", F.regexp_extract("path", r"\.([^.]*)$", 1).alias("ending"), "note")
