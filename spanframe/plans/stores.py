@@ -16,7 +16,7 @@ from spanframe.plans.spans import RUNS_SQL, eval_runs
 from spanframe.sources import labels, reports, runs
 from spanframe.sources.files import write_files
 from spanframe.sources.store import Store
-from spanframe.streaming.live import shared_folder
+from spanframe.sources.files import shared_folder
 
 
 def store(m, *keys: str) -> Store:

@@ -1,4 +1,4 @@
-"""Small texts, each written by a task as a file of its own."""
+"""The folder that all executors share, and small texts written by tasks as files of their own."""
 
 from __future__ import annotations
 
@@ -6,10 +6,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The qualified folder that spark.checkpoint.dir names. Only a local session without
+    that setting falls back to its warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def write_files(texts: DataFrame, folder: str, ending: str, change=lambda text: text) -> int:
     """Write each row (name, text) as ``<name><ending>`` into ``folder``, which has a scheme
     and is shared by all executors; returns the number of files. ``change`` may alter a

@@ -7,6 +7,7 @@ events, odd ones labels. Rounds are three fixed spans for each fight.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.functions.vocabulary import STATE_MARK
+from spanframe.sources.files import shared_folder
 
 FPS = 50
 ROUND_FRAMES = 14_400
@@ -38,14 +40,26 @@ _AIMED = ("jab", "cross", "left_uppercut", "left_hook", "right_hook", "elbow")
 
 @dataclass(frozen=True, eq=False)
 class Model:
-    """The views of one data directory; each is a lazy DataFrame."""
+    """The views of one data directory; each is a lazy DataFrame.
+
+    With ``stored`` the decoded events and the fights are written once to the shared
+    folder and read from there, for queries that use them many times: the log is then
+    scanned and its JSON parsed once, and the copy has its columns as they are used."""
 
     spark: SparkSession
     sf_dir: str
+    stored: bool = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _kept(self, view: DataFrame, name: str) -> DataFrame:
+        if not self.stored:
+            return view
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        view.write.parquet(path)
+        return self.spark.read.schema(view.schema).parquet(path)
+
     @cached_property
     def events(self) -> DataFrame:
         """fight_id, event_id, frame, k, source, corner, fighter_id, action, state, target, success, value."""
@@ -72,17 +86,19 @@ class Model:
             target = target.when(label & (F.col("action") == name), fixed)
         success = F.when(~label & F.col("state").isNull(), third((True, False, None))).when(F.col("action").isin("knockdown", "takedown_landed"), True)
         corner = (F.col("event_id") % 2).cast("int")
-        return t.select(
+        t = t.select(
             "fight_id", "event_id", "frame", "k", "source", corner.alias("corner"), (F.col("fight_id") * 2 + corner).alias("fighter_id"),
             "action", state.alias("state"), target.alias("target"), success.alias("success"), "value",
         )
+        return self._kept(t, "events")
 
     @cached_property
     def fights(self) -> DataFrame:
         """fight_id, fps, red_fighter_id, blue_fighter_id, purpose, state."""
-        f = self.table("events").select(F.col("user_id").cast("long").alias("fight_id")).distinct()
+        log = self.events.select("fight_id") if self.stored else self.table("events").select(F.col("user_id").cast("long").alias("fight_id"))
+        f = log.distinct()
         pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("fight_id") % len(values) + 1).cast("int"))
-        return f.select(
+        f = f.select(
             "fight_id",
             F.lit(FPS).alias("fps"),
             (F.col("fight_id") * 2).alias("red_fighter_id"),
@@ -90,6 +106,7 @@ class Model:
             pick(("training_data", "reference", "ai_labeled")).alias("purpose"),
             pick(("complete", "labeling", "failed", "ready_to_label", "processing")).alias("state"),
         )
+        return self._kept(f, "fights")
 
     @cached_property
     def rounds(self) -> DataFrame:

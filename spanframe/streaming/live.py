@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanframe.sources.files import shared_folder  # noqa: F401
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming events: fight_id, ts, source ("prediction" or "label"), value, event_id, k."""
@@ -45,18 +47,6 @@ def stateful(spark: SparkSession) -> SparkSession:
     return own
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The qualified folder that spark.checkpoint.dir names. Only a local session without
-    that setting falls back to its warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir")
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
 def run_to_table(stream: DataFrame, home: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that has arrived and return every row that it has emitted,
     with the trigger's number as ``batch``, in this run and in earlier ones with the
