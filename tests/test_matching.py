@@ -4,8 +4,9 @@ import random
 from itertools import combinations, permutations
 
 import numpy as np
+import pyarrow as pa
 
-from spanframe.operators.matching import best_pairs, match, peaks
+from spanframe.operators.matching import best_pairs, match, peaks, whole_groups
 
 
 def exhaustive(truth, found, tol):
@@ -84,3 +85,33 @@ def test_peaks(spark):
     assert sorted(r.event_id for r in peaks(t, 5, "fight_id").collect()) == [2, 4, 5]
     assert sorted(r.event_id for r in peaks(t, 5, "fight_id", threshold=0.5).collect()) == [2, 5]
     assert sorted(r.event_id for r in peaks(t.union(t.selectExpr("fight_id", "event_id + 10", "frame + 100", "score / 2")), 5, "fight_id").collect()) == [2, 4, 5, 12, 14, 15]
+
+
+def test_groups_stream_whole(spark):
+    """Many groups go through at once, whatever the batches, and none is torn."""
+    begins = [True, False, True, True, False, False, False, True]
+    t = pa.table({"begins": begins, "n": range(8)})
+    for size in (1, 2, 3, 8):
+        tables = [x["n"].to_pylist() for x in whole_groups(iter(t.to_batches(size)))]
+        assert sum(tables, []) == list(range(8)) and all(begins[x[0]] for x in tables)
+    assert len(list(whole_groups(iter(t.to_batches())))) == 2 and not list(whole_groups(iter([])))
+
+    rng = random.Random(8)
+    sides = [[(rng.choice([None, "a", "b"]), rng.randrange(900), i, rng.choice([0.5, 1.5, float(i)])) for i in range(n)] for n in (250, 300)]
+    one, other = (spark.createDataFrame(rows, "key string, frame long, event_id long, score double") for rows in sides)
+    plain = lambda t: sorted(map(tuple, t.collect()), key=str)
+    whole = plain(match(one, other, 3, "key")), plain(peaks(one, 5, "key"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert whole == (plain(match(one, other, 3, "key")), plain(peaks(one, 5, "key")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for key in (None, "a", "b"):
+        a, b = (sorted((f, i) for k, f, i, _ in rows if k == key) for rows in sides)
+        frames = sorted(f for f, _ in a + b)
+        cuts = [frames[0], *(y for x, y in zip(frames, frames[1:]) if y - x > 3), frames[-1] + 1]
+        for low, high in zip(cuts, cuts[1:]):
+            x, y = ([r for r in side if low <= r[0] < high] for side in (a, b))
+            want |= {(x[i][1], y[j][1]) for i, j in best_pairs(np.array([f for f, _ in x], np.int64), np.array([f for f, _ in y], np.int64), 3)}
+    assert {(t, f) for _, t, f, _ in whole[0] if t is not None and f is not None} == want
