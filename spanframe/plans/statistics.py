@@ -450,10 +450,19 @@ def _(m):
     SELECT action, event_id, next_id FROM n WHERE r = 1""",
 )
 def _(m):
-    # the next pending event of the class, cyclically: forward fill, else the first of the class
-    w = Window.partitionBy("action").orderBy("fight_id", "frame", "event_id")
-    t = reviewed(m.events).withColumn("_p", F.when(F.col("is_verified").isNull(), F.col("event_id")))
-    t = t.withColumn("_next", F.first("_p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).withColumn("_first", F.first("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return next_pending(reviewed(m.events))
+
+
+def next_pending(t: DataFrame) -> DataFrame:
+    """The next pending event of the class, cyclically: action, event_id, next_id. A window
+    backwards, that only grows, has it at hand; one that only shrinks is filled anew for
+    every row. Behind the last one comes the first of the class."""
+    place = [F.col("fight_id"), F.col("frame"), F.col("event_id")]
+    back = Window.partitionBy("action").orderBy(*(c.desc() for c in place))
+    t = t.withColumn("_p", F.when(F.col("is_verified").isNull(), F.col("event_id")))
+    t = t.withColumn("_next", F.last("_p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    first = t.where("_p is not null").groupBy("action").agg(F.min_by("_p", F.struct(*place)).alias("_first"))
+    t = t.join(first, "action", "left")
     found = F.coalesce("_next", F.when(F.col("_first") != F.col("event_id"), F.col("_first")))
     return t.select("action", "event_id", found.alias("next_id"))
 
