@@ -185,7 +185,7 @@ def match(costs: list[list[float]]) -> list[int | None]:
 def follow(people: dict[int, Person], seen: list, wait: int) -> list[int | None]:
     """One frame: the slot of each box (null: both slots are taken). Changes ``people``."""
     out: list[int | None] = [None] * len(seen)
-    known = list(people)
+    known = sorted(people)  # among equal costs the lower slot comes first
     matched = set()
     if known and seen:
         frozen = len(seen) == 2 and overlap(*seen) > TANGLED

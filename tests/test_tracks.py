@@ -158,3 +158,11 @@ def test_crossing_people_keep_their_slots():
         seen = [[100 - 2.3 * i, 0, 130 - 2.3 * i, 60], [2.3 * i, 0, 30 + 2.3 * i, 60]]
         assert tracks.follow(people, seen, 6) == [1, 0]
     assert [tracks.follow(people, [], 6) for _ in range(7)] == [[]] * 7 and not people
+
+
+def test_equal_costs_go_to_the_lower_slot():
+    """Also if the person of slot 0 came after that of slot 1."""
+    for slots in ((0, 1), (1, 0)):
+        people = {s: tracks.Person([0.0, 0.0, 10.0, 10.0]) for s in slots}
+        assert tracks.follow(dict(people), [[3.0, 0.0, 13.0, 10.0]], 6) == [0]
+        assert tracks.follow(dict(people), [[3.0, 0.0, 13.0, 10.0], [-3.0, 0.0, 7.0, 10.0]], 6) == [0, 1]
