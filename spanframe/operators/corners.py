@@ -42,8 +42,9 @@ def templates(seen: DataFrame, keys: DataFrame, key: str = "fight_id") -> DataFr
     ``seen``: key, slot (0, 1), net_red, hist (array, may be null), weight.
 
     Bins are summed one by one before they meet, so that a fight's histograms are
-    never collected."""
-    means = seen.groupBy(key, "slot").agg(F.avg("net_red").alias("net_red"))
+    never collected. The sign of a mean decides: it is rounded to 12 places, so that a
+    mean of 0 is 0 in whatever order its rows are summed."""
+    means = seen.groupBy(key, "slot").agg(F.round(F.avg("net_red"), 12).alias("net_red"))
     used = seen.where(F.col("hist").isNotNull() & (F.col("weight") > 0))
     bins = used.select(key, "slot", F.col("weight").cast("double").alias("weight"), F.posexplode("hist").alias("bin", "v"))
     bins = bins.groupBy(key, "slot", "bin").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))

@@ -189,3 +189,13 @@ def test_fold_over_stretches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.key, r.i): r.total for r in got} == {(k, i): float(sum(j for j in range(1, i + 1) if j % 7)) for k, i, _ in rows}
     assert Counter(r.key for r in got) == {None: 39, 1: 39, 2: 39}
+
+
+def test_a_mean_of_zero_has_no_sign(spark):
+    """0.1 + 0.2 - 0.3 and its like are 0, above or below by the order of summation."""
+    sums = [[0.1, 0.2, -0.3], [-0.3, 0.2, 0.1], [-0.1, -0.2, 0.3], [0.3, -0.2, -0.1]]
+    assert {s > 0 for s in map(sum, sums)} == {True, False} and any(s < 0 for s in map(sum, sums))
+    rows = [(fight, slot, red, None, 0) for fight, reds in enumerate(sums) for slot, values in ((0, reds), (1, [-0.5])) for red in values]
+    t = spark.createDataFrame(rows, "fight_id long, slot int, net_red double, hist array<double>, weight int").coalesce(1)
+    got = corners.templates(t, spark.range(4).withColumnRenamed("id", "fight_id")).collect()
+    assert sorted((r.fight_id, r.net_red_0, r.corner_0, r.reason) for r in got) == [(f, 0.0, 0, None) for f in range(4)]
