@@ -68,14 +68,14 @@ def _(m):
 def _(m):
     # frames of every 100th place only, as the SQL has it; U-03-frames has them all
     step = F.lit(100).cast("long")
-    grid = lambda t: t.select("fight_id", F.explode(F.filter(F.sequence(F.ceil(F.col(S) / 100) * 100, F.greatest(F.col(E), F.ceil(F.col(S) / 100) * 100), step), lambda f: f <= F.col(E))).alias("frame"))
+    grid = lambda t: intervals.spread(t, "fight_id", S).select("fight_id", F.explode(F.filter(F.sequence(F.ceil(F.col(S) / 100) * 100, F.greatest(F.col(E), F.ceil(F.col(S) / 100) * 100), step), lambda f: f <= F.col(E))).alias("frame"))
     return grid(m.rounds).subtract(grid(m.excluded))
 
 
 @query("U-03-frames", IN_ROUND_SQL + " SELECT fight_id, frame FROM inr EXCEPT SELECT x.fight_id, t.f FROM excluded x, range(1, 45000) t(f) WHERE t.f BETWEEN x.start_frame AND x.end_frame")
 def _(m):
     # the whole difference of U-03, by intervals; only what remains is exploded
-    left = intervals.scored_spans(m.rounds, m.excluded, "fight_id")
+    left = intervals.spread(intervals.scored_spans(m.rounds, m.excluded, "fight_id"), "fight_id", S)
     return left.select("fight_id", F.explode(F.sequence(S, E)).alias("frame"))
 
 

@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+from spanframe.plans import QUERIES
 from spanframe.plans.events import stepped_sample
 from spanframe.plans.statistics import next_pending
 
@@ -28,3 +29,10 @@ def test_next_pending_never_shrinks_a_window(spark):
     t = next_pending(spark.createDataFrame(rows, "action string, fight_id long, frame long, event_id long, is_verified boolean"))
     assert sorted(map(tuple, t.collect()), key=lambda r: r[1]) == [("a", 2, 3), ("a", 3, 5), ("a", 5, 3), ("a", 6, 3), ("b", 7, None), ("c", 8, None)]
     assert "unboundedfollowing" not in plan(t).lower()
+
+
+def test_frames_explode_in_many_tasks(spark):
+    for name in ("U-03-frames", "U-03"):
+        t = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert name == "U-03" or t.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        assert "RepartitionByExpression" in plan(t)
