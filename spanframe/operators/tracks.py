@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.functions.geometry import box, centred, cornered, drift, skeleton_hull
+from spanframe.functions.geometry import box, centred, cornered, off_centre, skeleton_hull, torso_centre
 from spanframe.operators.folds import fold_arrays
+from spanframe.operators.intervals import spread
 
 #: Frames of a block.
 BLOCK = 8192
@@ -72,31 +73,34 @@ def smooth_boxes(boxes: DataFrame, *keys: str, fps: float, block: int = BLOCK) -
     (edges repeat their last value) and a running polynomial fit (at edges the fit of
     the first or last full window); windows shrink to the length of what they run over.
     A box that then lies off its skeleton becomes the observed one again, and no box is
-    smaller than its skeleton. All are windows and array sums over blocks with margins,
-    so a key of any length is many tasks.
+    smaller than its skeleton. Rows without a key or frame are left out.
+
+    All are windows and array sums over blocks of frames with margins, dealt once, so a
+    key of any length is many tasks. Of a skeleton only its torso's centre and its hull
+    are dealt.
     """
     most, median, fit = max(1, round(fps * GAP_SECONDS)), odd_frames(MEDIAN_SECONDS, fps), odd_frames(FIT_SECONDS, fps)
-    t = gap_sessions(boxes.select(*keys, "frame", "box", "skeleton"), list(keys), "frame", most, block)
-    runs = t.groupBy(*keys, "session").agg(F.count(F.lit(1)).alias("_rows"), F.max("frame").alias("_end"))
-    t = t.join(runs, [*keys, "session"])
-    alone = t.where("_rows = 1").select(*keys, "frame", "box", F.lit(False).alias("filled"))
-    t = t.where("_rows > 1").withColumn("_c", centred(F.col("box")))
-    # every frame up to the next row, the gaps on a straight line; a gap may cross a block
-    order = Window.partitionBy(*keys, "session").orderBy("frame")
-    t = t.withColumns({"_next": F.lead("frame").over(order), "_nc": F.lead("_c").over(order)})
-    t = t.withColumn("_f", F.explode(F.sequence("frame", F.coalesce(F.col("_next") - 1, F.col("frame")))))
+    # what a frame looks at lies within fit + median frames, and so does a row within ``most`` frames of each
+    margin = fit + median + most
+    place = lambda frame: F.floor((frame + block // 2) / block)
+    t = boxes.dropna(subset=[*keys, "frame"]).select(*keys, "frame", "box", "skeleton")
+    t = t.withColumn("_block", F.explode(F.sequence(place(F.col("frame") - margin), place(F.col("frame") + margin))))
+    # after the generator, lest the optimizer makes the skeleton anew for every use
+    t = t.select(*keys, "_block", "frame", "box", torso_centre(F.col("skeleton")).alias("_torso"), skeleton_hull(F.col("skeleton")).alias("_hull"))
+    t = spread(t, *keys, "_block").withColumn("_c", centred(F.col("box")))
+    along = Window.partitionBy(*keys, "_block").orderBy("frame")
+    t = t.withColumns({"_begins": F.coalesce(F.col("frame") - F.lag("frame").over(along) > most, F.lit(True)), "_next": F.lead("frame").over(along), "_nc": F.lead("_c").over(along)})
+    t = t.withColumn("session", F.last(F.when(F.col("_begins"), F.col("frame")), ignorenulls=True).over(along))
+    # every frame up to the next row, the gaps on a straight line
+    until = F.when(F.col("_next") - F.col("frame") <= most, F.col("_next") - 1).otherwise(F.col("frame"))
+    t = t.withColumn("_f", F.explode(F.sequence("frame", until)))
     step = F.col("_f") - F.col("frame")
     line = lambda p: F.when(step == 0, F.col(f"_c.{p}")).otherwise((F.col(f"_nc.{p}") - F.col(f"_c.{p}")) / (F.col("_next") - F.col("frame")) * step + F.col(f"_c.{p}"))
-    filled = step > 0
-    t = t.select(
-        *keys, "session", F.col("_f").alias("frame"), (F.col("_f") - F.col("session")).alias("_i"), (F.col("_end") - F.col("session") + 1).alias("_n"), filled.alias("filled"),
-        F.when(~filled, F.col("box")).alias("box"), F.when(~filled, F.col("skeleton")).alias("skeleton"), *(line(p).alias(p) for p in _PARTS),
-    )
-    margin = fit + median
-    home = F.floor(F.col("_i") / block)
-    t = t.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.col("_i") - margin, F.lit(0)) / block), F.floor((F.col("_i") + margin) / block))))
-    t = t.where(F.col("_block") <= F.floor((F.col("_n") - 1) / block))
-    here = Window.partitionBy(*keys, "session", "_block").orderBy("_i")
+    seen = lambda c: F.when(step == 0, F.col(c)).alias(c)
+    t = t.select(*keys, "_block", "session", F.col("_f").alias("frame"), (step > 0).alias("filled"), *map(seen, ("box", "_torso", "_hull")), *(line(p).alias(p) for p in _PARTS))
+    here = Window.partitionBy(*keys, "_block", "session").orderBy("frame")
+    # of a run that goes on beyond the margin what is there is enough
+    t = t.withColumns({"_i": F.col("frame") - F.col("session"), "_n": F.max("frame").over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.col("session") + 1})
     for p in _PARTS:
         middle = F.col(p)
         for width in range(3, median + 1, 2):  # the widest that fits
@@ -104,7 +108,7 @@ def smooth_boxes(boxes: DataFrame, *keys: str, fps: float, block: int = BLOCK) -
             middle = F.when(F.col("_n") >= width, F.get(values, F.lit(width // 2))).otherwise(middle)
         t = t.withColumn(f"_m{p}", middle)
     around = here.rowsBetween(-(fit - 1), fit - 1)
-    t = t.withColumn("_all", F.collect_list(F.struct("_i", *(f"_m{p}" for p in _PARTS))).over(around)).where(F.col("_block") == home)
+    t = t.withColumn("_all", F.collect_list(F.struct("_i", *(f"_m{p}" for p in _PARTS))).over(around)).where(F.col("_block") == place(F.col("frame")))
     width = F.least(F.lit(fit), F.col("_n") - 1 + F.col("_n") % 2).cast("int")
     start = F.least(F.greatest(F.col("_i") - F.floor(width / 2), F.lit(0)), F.col("_n") - width)
     first = F.get("_all", F.lit(0))["_i"]
@@ -114,12 +118,12 @@ def smooth_boxes(boxes: DataFrame, *keys: str, fps: float, block: int = BLOCK) -
     t = t.withColumns({"_w": F.when(width > DEGREE, row), "_v": values})
     fitted = lambda p: F.when(F.col("_w").isNotNull(), F.aggregate(F.zip_with("_v", "_w", lambda v, w: v[f"_m{p}"] * w), F.lit(0.0), lambda a, x: a + x)).otherwise(F.col(f"_m{p}"))
     smooth = cornered(F.struct(*(fitted(p).alias(p) for p in _PARTS)))
-    t = t.select(*keys, "frame", "filled", "box", "skeleton", smooth.alias("_s"))
-    kept = F.when(~F.col("filled") & (drift(F.col("_s"), F.col("skeleton")) > DRIFT_RATIO), F.col("box")).otherwise(F.col("_s"))
-    t = t.withColumn("_s", kept).withColumn("_hull", skeleton_hull(F.col("skeleton")))
+    t = t.select(*keys, "frame", "filled", "box", "_torso", "_hull", (F.col("_n") == 1).alias("_alone"), smooth.alias("_s"))
+    kept = F.when(~F.col("filled") & (off_centre(F.col("_s"), F.col("_torso")) > DRIFT_RATIO), F.col("box")).otherwise(F.col("_s"))
+    t = t.withColumn("_s", kept)
     s, hull = F.col("_s"), F.col("_hull")
     grown = F.when(hull.isNull(), s).otherwise(box(F.least(s["x1"], hull["x1"]), F.least(s["y1"], hull["y1"]), F.greatest(s["x2"], hull["x2"]), F.greatest(s["y2"], hull["y2"])))
-    return alone.unionByName(t.select(*keys, "frame", grown.alias("box"), "filled"))
+    return t.select(*keys, "frame", F.when(F.col("_alone"), F.col("box")).otherwise(grown).alias("box"), "filled")
 
 
 # ---------------------------------------------------------------- identities

@@ -3,6 +3,9 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
+from spanframe.operators import tracks
 from spanframe.plans import QUERIES
 from spanframe.plans.events import stepped_sample
 from spanframe.plans.statistics import next_pending
@@ -36,3 +39,17 @@ def test_frames_explode_in_many_tasks(spark):
         t = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert name == "U-03" or t.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
         assert "RepartitionByExpression" in plan(t)
+
+
+def test_smoothing_deals_small_rows_of_one_key_to_many_tasks(spark):
+    joints = F.expr("transform(sequence(0, 16), i -> array(id + i % 3 * 8.0D, 100 + i * 4.0D, 0.9D))")
+    box = F.expr("named_struct('x1', id - 5.0D, 'y1', 95.0D, 'x2', id + 25.0D, 'y2', 170.0D)")
+    t = spark.range(400).select((F.col("id") % 1).alias("key"), F.col("id").alias("frame"), box.alias("box"), joints.alias("skeleton"))
+    t = tracks.smooth_boxes(t, "key", fps=50.0, block=32)
+    # dealt once, and without the skeletons
+    physical = plan(t).split("== Physical Plan ==")[1]
+    assert physical.count("Exchange") == 1 and "Join" not in physical
+    above = physical.split("Exchange")[0]
+    assert "_hull" in above and "skeleton" not in above
+    assert t.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert t.select(F.spark_partition_id()).distinct().count() > 1 and t.count() == 400
