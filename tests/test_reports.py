@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from spanframe.operators import series
+from spanframe.plans import QUERIES
 from spanframe.sources import reports
 
 
@@ -46,3 +47,29 @@ def test_series(spark):
     r = spark.createDataFrame(readings, "fight_id long, frame long, event_id long, v long")
     for block in (32, 8192):
         assert {(x.fight_id, x.frame): x.v for x in series.debug_series(t, r, ["v"], block=block).collect()} == want
+
+
+def test_series_share_a_fixed_number_of_files(spark, tmp_path):
+    schema = "fight_id long, event_id long, frame long, hit boolean, reading int"
+    rows = [(f if f else None, e, 90 - e // 2, [True, False, None][e % 3], e if e % 4 else None) for f in range(300) for e in range(6)]
+    t = spark.createDataFrame(rows, schema)
+    folder = f"file://{tmp_path}/series"
+    reports.write_series(t.repartition(3), folder, "fight_id", ["frame", "event_id"])
+    files = list((tmp_path / "series").glob("folder=*/*.csv"))
+    assert 32 < len(files) == len({f.parent for f in files}) <= reports.SERIES_FOLDERS
+    whole = reports.read_series(spark, folder, t.schema, "fight_id")
+    assert whole.schema == t.schema and sorted(map(repr, map(tuple, whole.collect()))) == sorted(map(repr, rows))
+    one = reports.read_series(spark, folder, t.schema, "fight_id", only=7)
+    assert sorted(map(repr, map(tuple, one.collect()))) == sorted(repr(r) for r in rows if r[0] == 7)
+    assert one.select(F.input_file_name()).distinct().count() == 1
+    for f in files:
+        head, *lines = f.read_text().splitlines()
+        assert head == "fight_id,event_id,frame,hit,reading"
+        keys = [tuple(int(x) if x.strip('"') else -1 for x in (r.split(",")[i] for i in (0, 2, 1))) for r in lines]
+        assert keys == sorted(keys)
+
+
+def test_files_of_s22_do_not_grow_with_the_fights(spark):
+    t = QUERIES["S-22"](spark, "/root/testdata/sf0.01")
+    fights = t.select("fight_id").distinct().count()
+    assert len(t.inputFiles()) <= reports.SERIES_FOLDERS < fights
